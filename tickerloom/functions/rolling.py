@@ -59,8 +59,10 @@ def nonzero(x) -> Column:
 
 
 def rolling_z(x, n: int, w: WindowSpec, m: int | None = None) -> Column:
-    x = _col(x)
-    return (x - rolling_mean(x, n, w, m)) / nonzero(rolling_std(x, n, w, m))
+    x, f = _col(x), trailing(w, n)
+    return F.when(
+        F.count(x).over(f) >= (n if m is None else m), (x - F.avg(x).over(f)) / nonzero(F.stddev_samp(x).over(f))
+    )
 
 
 def z60(x, w: WindowSpec) -> Column:
@@ -87,4 +89,5 @@ def ema(x, span: int, w: WindowSpec, tol: float = 1e-7) -> Column:
 
 
 def clip(x, lo: float, hi: float) -> Column:
-    return F.greatest(F.least(_col(x), F.lit(hi)), F.lit(lo))
+    x = _col(x)  # least/greatest skip NULLs, hence the guard
+    return F.when(x.isNotNull(), F.greatest(F.least(x, F.lit(hi)), F.lit(lo)))

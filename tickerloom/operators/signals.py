@@ -375,7 +375,10 @@ def orthogonalize(df: DataFrame, target: str, regressors: Sequence[str], out: st
     out = out or f"{target}_orth"
     df = df.withColumn("_res", F.col(target))
     for x in regressors:
-        df = join_date_stats(df, {"_b": F.regr_slope("_res", x), "_a": F.regr_intercept("_res", x)})
+        both = F.col("_res").isNotNull() & F.col(x).isNotNull()
+        y_, x_ = F.when(both, F.col("_res")), F.when(both, F.col(x))
+        slope = F.try_divide(F.covar_pop(y_, x_), F.var_pop(x_))
+        df = join_date_stats(df, {"_b": slope, "_a": F.avg(y_) - slope * F.avg(x_)})
         fit = F.coalesce(F.col("_a") + F.col("_b") * F.col(x), F.lit(0.0))
         df = df.withColumn("_res", F.col("_res") - fit).drop("_a", "_b")
     return df.withColumnRenamed("_res", out)
@@ -388,7 +391,7 @@ def stationarity(df: DataFrame, column: str = "close") -> DataFrame:
     df = df.withColumns({"_x": prev, "_dx": F.col(column) - prev})
     sums = df.groupBy("ticker").agg(
         F.regr_count("_dx", "_x").alias("n_obs"),
-        F.regr_slope("_dx", "_x").alias("coefficient"),
+        F.try_divide(F.regr_sxy("_dx", "_x"), F.regr_sxx("_dx", "_x")).alias("coefficient"),
         F.regr_sxx("_dx", "_x").alias("_sxx"),
         F.regr_syy("_dx", "_x").alias("_syy"),
     )

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("lake", "features", "signals")
+MODULES = ("lake", "features", "signals", "research")
 
 
 def load_all() -> None:

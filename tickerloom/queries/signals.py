@@ -47,7 +47,10 @@ FORMULAS: dict[str, tuple[list[dict[str, str]], str]] = {
         [{"a": f"{ema_sql('close', 12)} - {ema_sql('close', 26)}"}, {"b": f"a - {ema_sql('a', 9)}"}],
         z60("b"),
     ),
-    "bollinger_bands": ([], f"greatest(-1.0, least(1.0, -{rz('close', 20)} / 2.0))"),
+    "bollinger_bands": (
+        [{"a": f"-{rz('close', 20)} / 2.0"}],
+        "CASE WHEN a IS NOT NULL THEN greatest(-1.0, least(1.0, a)) END",
+    ),
     "rsi": (
         [{"u": f"CASE WHEN {MOVE} > 0 THEN {MOVE} WHEN {MOVE} <= 0 THEN 0 END",
           "d": f"CASE WHEN {MOVE} < 0 THEN -{MOVE} WHEN {MOVE} >= 0 THEN 0 END"}],

@@ -11,7 +11,7 @@ TRADES = """trades AS (
 BARS = TRADES + """,
 bars AS (
   SELECT ticker, date, arg_min(price, seq) AS open, max(price) AS high, min(price) AS low,
-         arg_max(price, seq) AS close, CAST(sum(qty) AS BIGINT) AS volume, sum(amount) / sum(qty) AS vwap
+         arg_max(price, seq) AS close, CAST(sum(qty) AS BIGINT) AS volume, CAST(sum(CAST(round(amount * 100) AS BIGINT)) AS DOUBLE) / 100.0::DOUBLE / sum(qty) AS vwap
   FROM trades GROUP BY ticker, date)"""
 
 SECTORS = """sectors AS (

@@ -26,6 +26,9 @@ def local_session(cores: int | str = 8, memory: str = "12g", partitions: int = 8
         b.config("spark.ui.enabled", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(partitions))
+        # windows are compute-heavy per byte: on a handful of cores keep all partitions
+        .config("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -40,7 +40,7 @@ def bars(spark: SparkSession, root: str) -> DataFrame:
             F.min("price").alias("low"),
             F.max_by("price", "seq").alias("close"),
             F.sum("qty").cast("long").alias("volume"),
-            (F.sum("amount") / F.sum("qty")).alias("vwap"),
+            (F.sum(F.round(F.col("amount") * 100).cast("long")) / 100.0 / F.sum("qty")).alias("vwap"),
         )
     )
 
