@@ -46,6 +46,11 @@ def ic_weights(ics: Mapping[str, Column], method: str = "positive_ic") -> dict[s
     return {s: F.when(whole > 0, c / whole).otherwise(F.lit(1.0 / len(raw))) for s, c in raw.items()}
 
 
+def blend(weights: Mapping[str, Column]) -> Column:
+    """Weighted sum of signals, at 12 places so that scores equal up to rounding noise rank as ties."""
+    return F.round(total([w * F.coalesce(s, F.lit(0.0)) for s, w in weights.items()]), 12)
+
+
 def wide_ic(cs_ic: DataFrame, signals: Sequence[str]) -> DataFrame:
     """One row per date, one column per signal."""
     return cs_ic.groupBy("date").agg(*[F.max(F.when(F.col("signal") == s, F.col("cs_ic"))).alias(s) for s in signals])
@@ -111,7 +116,7 @@ class IcWeightedEnsemble:
 
     @staticmethod
     def _score(df: DataFrame, signals: Sequence[str]) -> DataFrame:
-        return df.withColumn("ensemble_score", total([F.col(f"w_{s}") * F.coalesce(s, F.lit(0.0)) for s in signals]))
+        return df.withColumn("ensemble_score", blend({s: F.col(f"w_{s}") for s in signals}))
 
 
 def run_ensemble(df: DataFrame, config: EnsembleConfig = EnsembleConfig(), signals: Sequence[str] | None = None) -> DataFrame:
@@ -141,7 +146,7 @@ def static_ensemble(df: DataFrame, signals: Sequence[str], horizon: int = 5, met
     table = one.select(F.inline(F.array(*[
         F.struct(F.lit(s).alias("signal"), F.lit(ic.get(s, 0.0)).alias("ic"), c.alias("weight")) for s, c in weights.items()])))
     w = {r["signal"]: r["weight"] for r in table.collect()}
-    return table, df.withColumn("ensemble_score", total([F.lit(w[s]) * F.coalesce(s, F.lit(0.0)) for s in signals]))
+    return table, df.withColumn("ensemble_score", blend({s: F.lit(w[s]) for s in signals}))
 
 
 def validate_ensemble(

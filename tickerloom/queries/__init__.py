@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("lake", "features", "signals", "research")
+MODULES = ("lake", "features", "signals", "research", "portfolio")
 
 
 def load_all() -> None:

@@ -48,8 +48,8 @@ def gold_range_load(spark, root):
 @query(
     "bronze_reload",
     ctes(BARS, ACTIONS, DIVIDENDS) + """
- SELECT 'daily' AS dataset, ticker, date, floor((close) * 1e6 + 0.5) / 1e6 AS amount FROM bars WHERE date BETWEEN DATE '1996-01-01' AND DATE '2000-12-31'
- UNION ALL SELECT 'dividends', ticker, ex_date, floor((amount) * 1e6 + 0.5) / 1e6 FROM dividends WHERE ex_date BETWEEN DATE '1996-01-01' AND DATE '2000-12-31'
+ SELECT 'daily' AS dataset, ticker, date, floor((close) * 1e6 + 0.501) / 1e6 AS amount FROM bars WHERE date BETWEEN DATE '1996-01-01' AND DATE '2000-12-31'
+ UNION ALL SELECT 'dividends', ticker, ex_date, floor((amount) * 1e6 + 0.501) / 1e6 FROM dividends WHERE ex_date BETWEEN DATE '1996-01-01' AND DATE '2000-12-31'
  UNION ALL SELECT 'corporate_actions', ticker, date, factor FROM actions WHERE date BETWEEN DATE '1996-01-01' AND DATE '2000-12-31'""",
 )
 def bronze_reload(spark, root):
@@ -67,7 +67,7 @@ def bronze_reload(spark, root):
 
 @query(
     "lazy_filtered_scan",
-    "SELECT 'S' || CAST(l_suppkey AS VARCHAR) AS ticker, CAST(l_shipdate AS DATE) AS date, floor((l_extendedprice / l_quantity) * 1e6 + 0.5) / 1e6 AS price "
+    "SELECT 'S' || CAST(l_suppkey AS VARCHAR) AS ticker, CAST(l_shipdate AS DATE) AS date, floor((l_extendedprice / l_quantity) * 1e6 + 0.501) / 1e6 AS price "
     "FROM lineitem WHERE l_shipdate >= DATE '1998-01-01' AND l_quantity >= 10",
 )
 def lazy_filtered_scan(spark, root):
@@ -169,7 +169,7 @@ def normalise_epoch_bars(spark, root):
 
 @query(
     "normalise_dividends",
-    ctes(BARS, DIVIDENDS) + " SELECT ticker, ex_date, floor((amount) * 1e6 + 0.5) / 1e6 AS amount FROM dividends WHERE ex_date > DATE '1996-01-02' AND ex_date <= DATE '2001-01-31'",
+    ctes(BARS, DIVIDENDS) + " SELECT ticker, ex_date, floor((amount) * 1e6 + 0.501) / 1e6 AS amount FROM dividends WHERE ex_date > DATE '1996-01-02' AND ex_date <= DATE '2001-01-31'",
 )
 def normalise_dividends(spark, root):
     divs = market.dividends(market.bars(spark, root))
@@ -179,7 +179,7 @@ def normalise_dividends(spark, root):
 @query(
     "normalise_splits",
     """SELECT 'S' || CAST(l_suppkey AS VARCHAR) AS ticker, CAST(l_shipdate AS DATE) AS date, 'split' AS action_type,
-  floor((l_quantity / nullif(l_linenumber - 1, 0)) * 1e6 + 0.5) / 1e6 AS factor FROM lineitem WHERE l_linenumber <> 1""",
+  floor((l_quantity / nullif(l_linenumber - 1, 0)) * 1e6 + 0.501) / 1e6 AS factor FROM lineitem WHERE l_linenumber <> 1""",
 )
 def normalise_splits(spark, root):
     raw = market.table(spark, root, "lineitem").select(
@@ -224,8 +224,8 @@ def fetch_plan(spark, root):
 
 @query(
     "append_unseen_bars",
-    ctes(BARS) + """ SELECT ticker, date, floor((close) * 1e6 + 0.5) / 1e6 AS close FROM bars WHERE date <= DATE '1999-06-30'
- UNION ALL SELECT ticker, date, floor((close + 1) * 1e6 + 0.5) / 1e6 FROM bars WHERE date > DATE '1999-06-30'""",
+    ctes(BARS) + """ SELECT ticker, date, floor((close) * 1e6 + 0.501) / 1e6 AS close FROM bars WHERE date <= DATE '1999-06-30'
+ UNION ALL SELECT ticker, date, floor((close + 1) * 1e6 + 0.501) / 1e6 FROM bars WHERE date > DATE '1999-06-30'""",
 )
 def append_unseen_bars(spark, root):
     b = market.bars(spark, root).select("ticker", "date", "close")
@@ -236,8 +236,8 @@ def append_unseen_bars(spark, root):
 
 @query(
     "upsert_newest_wins",
-    ctes(BARS) + """ SELECT ticker, date, floor((close) * 1e6 + 0.5) / 1e6 AS close FROM bars WHERE date <= DATE '1999-01-01'
- UNION ALL SELECT ticker, date, floor((close + 1) * 1e6 + 0.5) / 1e6 FROM bars WHERE date > DATE '1999-01-01'""",
+    ctes(BARS) + """ SELECT ticker, date, floor((close) * 1e6 + 0.501) / 1e6 AS close FROM bars WHERE date <= DATE '1999-01-01'
+ UNION ALL SELECT ticker, date, floor((close + 1) * 1e6 + 0.501) / 1e6 FROM bars WHERE date > DATE '1999-01-01'""",
 )
 def upsert_newest_wins(spark, root):
     b = market.bars(spark, root).select("ticker", "date", "close")
@@ -250,7 +250,7 @@ def upsert_newest_wins(spark, root):
     "fills_log",
     """SELECT strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S.%f') AS ts_utc, CAST(l_shipdate AS DATE) AS day,
   'S' || CAST(l_suppkey AS VARCHAR) AS ticker, CASE WHEN l_returnflag = 'R' THEN 'SELL' ELSE 'BUY' END AS side,
-  l_quantity AS shares, floor((l_extendedprice / l_quantity) * 1e6 + 0.5) / 1e6 AS price, floor((l_tax * l_quantity) * 1e6 + 0.5) / 1e6 AS commission,
+  l_quantity AS shares, floor((l_extendedprice / l_quantity) * 1e6 + 0.501) / 1e6 AS price, floor((l_tax * l_quantity) * 1e6 + 0.501) / 1e6 AS commission,
   CAST(l_partkey AS VARCHAR) AS exec_id, l_orderkey AS order_id FROM lineitem""",
 )
 def fills_log(spark, root):

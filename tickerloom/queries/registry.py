@@ -24,10 +24,11 @@ def query(name: str, sql: str | None = None):
 def r(x: Column | str, digits: int = 6) -> Column:
     """Rounded double for output: sums differ in their last bits between engines.
 
-    Half-up by floor is the same arithmetic everywhere, so exact ties agree too.
+    The boundary lies just beside the half, so a value that is a tie but for its last bit
+    falls clearly on one side.
     """
     scale = float(10**digits)
-    return F.floor((F.col(x) if isinstance(x, str) else x) * scale + 0.5) / F.lit(scale)
+    return F.floor((F.col(x) if isinstance(x, str) else x) * scale + 0.501) / F.lit(scale)
 
 
 def rounded(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:

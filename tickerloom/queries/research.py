@@ -377,12 +377,12 @@ def weights_sql(method: str, cols: list[str], source: str, keep: str = "date") -
 
 
 def _weights_query(method: str) -> None:
-    names = ", ".join(f"{sr(f'w{k}', 9)} AS w_{s}" for k, s in enumerate(CORE))
+    names = ", ".join(f"{sr(f'w{k}')} AS w_{s}" for k, s in enumerate(CORE))
 
     @query(f"ic_weights_{method}", ctes(*CS5, WIDE, f"ws AS ({weights_sql(method, ['i0', 'i1', 'i2', 'i3'], 'wide')})") + f" SELECT date, {names} FROM ws WHERE date IN (SELECT date FROM ic WHERE ic IS NOT NULL)")
     def run(spark, root):
         wide = ensemble.wide_ic(metrics.cross_sectional_ic(panel(spark, root), CORE, [5]), CORE)
-        return wide.select("date", *[r(c, 9).alias(f"w_{s}") for s, c in ensemble.ic_weights({s: F.col(s) for s in CORE}, method).items()])
+        return wide.select("date", *[r(c).alias(f"w_{s}") for s, c in ensemble.ic_weights({s: F.col(s) for s in CORE}, method).items()])
 
 
 for _m in ensemble.METHODS:
@@ -397,7 +397,7 @@ def ensemble_sql() -> tuple[str, ...]:
         *CS5, WIDE, f"mn AS (SELECT *, {mean} FROM wide WINDOW f AS (ORDER BY date ROWS 62 PRECEDING))",
         f"kn AS (SELECT *, {known}, row_number() OVER (ORDER BY date) - 1 AS pos FROM mn)", f"hd AS (SELECT date, {held} FROM kn a)",
         f"ws AS ({weights_sql('positive_ic', ['h0', 'h1', 'h2', 'h3'], 'hd')})",
-        "ens AS (SELECT panel.*, w0, w1, w2, w3, " + " + ".join(f"w{k} * coalesce({s}, 0)" for k, s in enumerate(CORE)) + " AS signal_ensemble FROM panel JOIN ws ON panel.date = ws.date)",
+        "ens AS (SELECT panel.*, w0, w1, w2, w3, round(" + " + ".join(f"w{k} * coalesce({s}, 0)" for k, s in enumerate(CORE)) + ", 12) AS signal_ensemble FROM panel JOIN ws ON panel.date = ws.date)",
     )
 
 
@@ -439,7 +439,7 @@ def static_ensemble_weights(spark, root):
 
 @query(
     "static_ensemble_ic",
-    ctes(*IC5, STATIC_W, "se AS (SELECT 1 AS k, " + " + ".join(f"(SELECT weight FROM sw WHERE signal = '{s}') * coalesce({s}, 0)" for s in CORE) + " AS s, forward_return_5 AS f FROM panel WHERE forward_return_5 IS NOT NULL)",
+    ctes(*IC5, STATIC_W, "se AS (SELECT 1 AS k, round(" + " + ".join(f"(SELECT weight FROM sw WHERE signal = '{s}') * coalesce({s}, 0)" for s in CORE) + ", 12) AS s, forward_return_5 AS f FROM panel WHERE forward_return_5 IS NOT NULL)",
          ic_sql("k", 100, "se", "sic")) + f" SELECT {sr('ic')} AS ic, {sr('win_rate')} AS win_rate, n_obs FROM sic",
 )
 def static_ensemble_ic(spark, root):

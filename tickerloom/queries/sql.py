@@ -79,8 +79,8 @@ LAKE = ctes(BARS, SECTORS, ACTIONS, DIVIDENDS, SPLIT_BARS, dividend_bars("split_
 
 
 def r(expr: str, digits: int = 6) -> str:
-    """Rounded double, half up by floor."""
-    return f"floor(CAST({expr} AS DOUBLE) * 1e{digits} + 0.5) / 1e{digits}"
+    """Rounded double; the boundary lies just beside the half."""
+    return f"floor(CAST({expr} AS DOUBLE) * 1e{digits} + 0.501) / 1e{digits}"
 
 
 def frame(n: int, keys: str = "ticker", ts: str = "date") -> str:
