@@ -171,9 +171,30 @@ def inverse_volatility(windows: DataFrame, lookback: int) -> DataFrame:
     return rows.join(F.broadcast(total), "rebalance_date").withColumn("w", F.col("_i") / F.col("_all")).drop("_i", "_all")
 
 
+def _parity_block(pdf: pd.DataFrame, lookback: int, iterations: int, tol: float, target_risk: float | None) -> pd.DataFrame:
+    """The same iteration for one rebalance date."""
+    x, var, w = np.stack(pdf["x"].to_numpy()), pdf["variance"].to_numpy(), pdf["w"].to_numpy()
+    d, n = float(pdf["delta"].iloc[0]), len(pdf)
+    p, own = x.T @ w, float((w * w) @ var)
+    for _ in range(iterations + 1):
+        c = ((1 - d) * p @ p / lookback + d * own) / n
+        a, b = (1 - d) * (x @ p) / lookback, d * var
+        new = (np.sqrt(a * a + 4 * b * c) - a) / (2 * b)
+        w = new / new.sum()
+        q = x.T @ w
+        moved = np.abs(q - p).max() / (np.abs(p).max() + 1e-300)
+        p, own = (p + q) / 2, (own + float((w * w) @ var)) / 2
+        if moved < tol:
+            break
+    if target_risk is not None:
+        vol = np.sqrt(((1 - d) * q @ q / lookback + d * float((w * w) @ var)) * DAYS)
+        w = w * target_risk / vol if vol > 0 else w
+    return pdf[["rebalance_date", "ticker", "x"]].assign(w=w)
+
+
 def risk_parity(
     windows: DataFrame, lookback: int, shrink: DataFrame | None = None, target_risk: float | None = None,
-    iterations: int = 60, tol: float = 1e-6,
+    iterations: int = 60, tol: float = 1e-6, one_task_assets: int = 50_000,
 ) -> DataFrame:
     """Long-only weights with equal risk contributions, one row per (rebalance_date, ticker).
 
@@ -181,11 +202,20 @@ def risk_parity(
     its own quadratic δ·v·w² + (1-δ)·(x·p/T)·w = c. Old and new vectors are averaged, which is the
     same as averaging the weights, so the state between steps is one vector per date: that is what
     comes to the driver, T + 3 numbers per rebalance date.
+
+    Where the largest date is counted at no more than ``one_task_assets`` assets (some 25 MB of
+    returns) each date is iterated inside its own task instead, without a job per step.
     """
     spark = windows.sparkSession
+    largest = windows.groupBy("rebalance_date").count().agg(F.max("count")).first()[0] or 0
     shrink = shrinkage(windows, lookback, 0.1) if shrink is None else shrink
     start = inverse_volatility(windows, lookback).join(F.broadcast(shrink.select("rebalance_date", "delta")), "rebalance_date")
     start = start.withColumn("delta", F.greatest("delta", F.lit(1e-3)))
+    if largest <= one_task_assets:
+        solved = start.select("rebalance_date", "ticker", "x", "variance", "w", "delta").groupBy("rebalance_date").applyInPandas(
+            lambda pdf: _parity_block(pdf, lookback, iterations, tol, target_risk),
+            "rebalance_date date, ticker string, x array<double>, w double")
+        return solved
     ensure_checkpoint_dir(spark)
     base = start.checkpoint()  # read once per step
     state = {r["rebalance_date"]: r for r in _portfolio_vector(base, lookback).collect()}
