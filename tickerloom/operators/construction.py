@@ -111,8 +111,15 @@ def shrinkage(windows: DataFrame, lookback: int, constant: float | None = None)
         delta = min(1.0, max(0.0, off_spread / t / off_sq)) if off_sq > 0 else 1.0
         return pd.DataFrame({"rebalance_date": [pdf["rebalance_date"].iloc[0]], "n_assets": [n], "delta": [delta]})
 
-    parts = windows.select("rebalance_date", "x").mapInPandas(
-        gram, "rebalance_date date, g array<double>, q array<double>, v double, n bigint")
+    block = "rebalance_date date, g array<double>, q array<double>, v double, n bigint"
+
+    def add_up(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"rebalance_date": [pdf["rebalance_date"].iloc[0]], "g": [np.sum(np.stack(pdf["g"].to_numpy()), axis=0)],
+                             "q": [np.sum(np.stack(pdf["q"].to_numpy()), axis=0)], "v": [pdf["v"].sum()], "n": [int(pdf["n"].sum())]})
+
+    # blocks of many partitions are added in two steps, so that no task receives them all
+    parts = windows.select("rebalance_date", "x").mapInPandas(gram, block).withColumn("_part", F.spark_partition_id() % 64)
+    parts = parts.groupBy("rebalance_date", "_part").applyInPandas(add_up, block)
     return parts.groupBy("rebalance_date").applyInPandas(combine, "rebalance_date date, n_assets bigint, delta double")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -109,30 +110,60 @@ def alert_counts(alerts: DataFrame) -> DataFrame:
     return alerts.groupBy("alert_type", "severity").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("acknowledged")).alias("unacknowledged"))
 
 
-def cooldown(alerts: DataFrame, seconds: int = 300, key: str = "alert_type", ts: str = "ts") -> DataFrame:
+def _next_allowed(times: np.ndarray, span: int) -> np.ndarray:
+    """Index of the first instant at least ``span`` after each instant."""
+    return np.searchsorted(times, times + span, side="left")
+
+
+def cooldown(alerts: DataFrame, seconds: int = 300, key: str = "alert_type", ts: str = "ts", chunk: str = "hour") -> DataFrame:
     """Keep an alert only if the last kept one of its type is at least ``seconds`` old.
 
-    Which rows are kept depends on the row kept before, but never across a silence of
-    ``seconds``: runs without such a silence are cut apart first and walked on their own. A long
-    run holds few kept rows; inside it time buckets of one cooldown shrink to their distinct
-    instants before the walk.
+    Which rows are kept depends on the one kept before, so each (type, chunk) is first turned into a
+    table "if the walk enters at this instant, its last kept instant here is that". A walk that comes
+    from the chunk before can only enter within ``seconds`` of the chunk's first instant, so the
+    tables are short; they are chained per type, and then every chunk walks on its own.
     """
-    w = Window.partitionBy(key).orderBy(ts)
-    t = F.unix_micros(ts)
-    gap = t - F.lag(t).over(w) >= seconds * 1_000_000
-    runs = alerts.withColumn("_run", F.sum(F.coalesce(gap, F.lit(True)).cast("long")).over(w.rangeBetween(Window.unboundedPreceding, 0)))
     span = seconds * 1_000_000
+    length = {"hour": 3600, "day": 86400}[chunk] * 1_000_000
+    if span > length:
+        length = span
+    key_type = alerts.schema[key].dataType.simpleString()
+    us = F.unix_micros(ts)
+    instants = alerts.select(key, F.floor(us / length).alias("_c"), us.alias("_us")).distinct()
+
+    def exits(pdf: pd.DataFrame) -> pd.DataFrame:
+        times = np.sort(pdf["_us"].to_numpy())
+        nxt, n = _next_allowed(times, span), len(times)
+        last = np.arange(n)
+        for i in range(n - 1, -1, -1):
+            if nxt[i] < n:
+                last[i] = last[nxt[i]]
+        reach = max(1, int(np.searchsorted(times, times[0] + span, side="left")) + 1)
+        return pd.DataFrame({key: pdf[key].iloc[0], "_c": pdf["_c"].iloc[0], "_in": times[:reach], "_out": times[last][:reach]})
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows, kept = [], None
+        for c, part in pdf.sort_values(["_c", "_in"]).groupby("_c", sort=True):
+            ins = part["_in"].to_numpy()
+            i = 0 if kept is None else int(np.searchsorted(ins, kept + span, side="left"))
+            if i == len(ins):  # nothing of this chunk is old enough
+                continue
+            rows.append((c, int(ins[i])))
+            kept = int(part["_out"].to_numpy()[i])
+        return pd.DataFrame({key: pdf[key].iloc[0], "_c": [r[0] for r in rows], "_in": [r[1] for r in rows]})
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_us", kind="stable").reset_index(drop=True)
-        times, keep, i = pdf["_us"].to_numpy(), [], 0
+        times = np.sort(pdf["_us"].to_numpy())
+        nxt, keep, i = _next_allowed(times, span), [], int(np.searchsorted(times, pdf["_in"].iloc[0]))
         while i < len(times):
-            keep.append(i)
-            i = max(i + 1, int(times.searchsorted(times[i] + span, side="left")))
-        return pdf.loc[keep, [key, "_us"]]
-
-    instants = runs.select(key, "_run", t.alias("_us")).distinct()
-    schema = f"{key} {alerts.schema[key].dataType.simpleString()}, _us bigint"
-    kept = instants.groupBy(key, "_run").applyInPandas(walk, schema)
-    firsts = alerts.withColumn("_us", t).withColumn("_n", F.row_number().over(Window.partitionBy(key, "_us").orderBy(*[c for c in alerts.columns if c not in (key, ts)])))
-    return firsts.filter(F.col("_n") == 1).join(kept, [key, "_us"]).drop("_us", "_n")
+            keep.append(int(times[i]))
+            i = int(nxt[i])
+        return pd.DataFrame({key: pdf[key].iloc[0], "_us": keep})
+
+    table = instants.groupBy(key, "_c").applyInPandas(exits, f"{key} {key_type}, _c bigint, _in bigint, _out bigint")
+    entry = table.groupBy(key).applyInPandas(chain, f"{key} {key_type}, _c bigint, _in bigint")
+    kept = instants.join(entry, [key, "_c"]).groupBy(key, "_c").applyInPandas(walk, f"{key} {key_type}, _us bigint")
+    others = [c for c in alerts.columns if c not in (key, ts)]
+    first = F.min(F.struct(*others)).alias("_r") if others else F.lit(None).alias("_r")
+    rows = alerts.groupBy(key, ts).agg(first).withColumn("_us", us)
+    return rows.join(kept, [key, "_us"]).select(key, ts, *[F.col(f"_r.{c}").alias(c) for c in others])

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("lake", "features", "signals", "research", "portfolio", "trading")
+MODULES = ("lake", "features", "signals", "research", "portfolio", "trading", "sinks")
 
 
 def load_all() -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 TRADES = """trades AS (
   SELECT 'S' || CAST(l_suppkey AS VARCHAR) AS ticker, CAST(l_shipdate AS DATE) AS date,
          l_extendedprice / l_quantity AS price, l_quantity AS qty, l_extendedprice AS amount,
-         row(l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS seq
+         row(l_orderkey, l_linenumber, l_extendedprice) AS seq
   FROM lineitem)"""
 
 BARS = TRADES + """,

@@ -401,7 +401,7 @@ def alert_cooldown(spark, root):
 
 # ── fills and positions ──
 FILLS = """fills AS (SELECT c_mktsegment AS account, 'S' || CAST(l_suppkey AS VARCHAR) AS ticker, CAST(l_shipdate AS DATE) AS date,
-  row(l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS seq, CASE WHEN l_linenumber IN (2, 4, 6) OR l_returnflag = 'R' THEN 'SELL' ELSE 'BUY' END AS side,
+  row(l_orderkey, l_linenumber, l_extendedprice) AS seq, CASE WHEN l_linenumber IN (2, 4, 6) OR l_returnflag = 'R' THEN 'SELL' ELSE 'BUY' END AS side,
   l_quantity AS shares, l_extendedprice / l_quantity AS price, l_quantity * 0.005::DOUBLE AS commission
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)"""
 # the entry price as an ordered fold over each key's whole list of fills
@@ -427,7 +427,7 @@ def position_ledger(spark, root):
 )
 def position_ledger_query(spark, root):
     out = position_ledger(spark, root)
-    return out.select("account", "ticker", "date", F.col("seq.l_orderkey").alias("order_key"), "side", "shares", r("price").alias("price"), "quantity",
+    return out.select("account", "ticker", "date", F.shiftright("seq", 27).alias("order_key"), "side", "shares", r("price").alias("price"), "quantity",
                       r("avg_cost", 4).alias("avg_cost"), r("realized_pnl", 3).alias("realized_pnl"), r("cash_flow", 2).alias("cash_flow"))
 
 
@@ -458,8 +458,9 @@ def order_fills(spark, root):
 
 VALUE = """pd AS (SELECT account, ticker, date, arg_max(after, n) AS q, arg_max(cash_flow, n) AS c FROM ledger GROUP BY ALL),
 gr AS (SELECT d.account, d.date, t.ticker FROM (SELECT DISTINCT account, date FROM fills) d JOIN (SELECT DISTINCT account, ticker FROM fills) t ON d.account = t.account),
-kn AS (SELECT g.account, g.date, last_value(q IGNORE NULLS) OVER w AS q, last_value(c IGNORE NULLS) OVER w AS c, last_value(close IGNORE NULLS) OVER w AS p
-  FROM gr g LEFT JOIN pd ON pd.account = g.account AND pd.ticker = g.ticker AND pd.date = g.date LEFT JOIN bars b ON b.ticker = g.ticker AND b.date = g.date WINDOW w AS (PARTITION BY g.account, g.ticker ORDER BY g.date)),
+gp AS (SELECT g.account, g.date, g.ticker, b.close AS p FROM gr g ASOF LEFT JOIN bars b ON b.ticker = g.ticker AND g.date >= b.date),
+kn AS (SELECT g.account, g.date, last_value(q IGNORE NULLS) OVER w AS q, last_value(c IGNORE NULLS) OVER w AS c, p
+  FROM gp g LEFT JOIN pd ON pd.account = g.account AND pd.ticker = g.ticker AND pd.date = g.date WINDOW w AS (PARTITION BY g.account, g.ticker ORDER BY g.date)),
 av AS (SELECT account, date, 1e8 + sum(coalesce(c, 0)) AS cash, sum(coalesce(q * p, 0)) AS positions_value FROM kn GROUP BY ALL),
 acct AS (SELECT *, cash + positions_value AS portfolio_value, cash + positions_value - lag(cash + positions_value, 1, 1e8) OVER (PARTITION BY account ORDER BY date) AS daily_pnl FROM av)"""
 MONEY = ("cash", "positions_value", "portfolio_value", "daily_pnl")
@@ -645,11 +646,11 @@ def anomalous_returns(spark, root):
          "m AS (SELECT *, CASE WHEN count(ic) OVER w >= 63 THEN avg(ic) OVER w END AS m FROM ic WHERE ic IS NOT NULL WINDOW w AS (PARTITION BY signal, horizon ORDER BY date ROWS 62 PRECEDING))",
          f"l AS (SELECT *, CASE horizon {' '.join(f'WHEN {h} THEN lag(m, {h}) OVER x' for h in HORIZONS)} END AS k FROM m WINDOW x AS (PARTITION BY signal, horizon ORDER BY date))",
          "o AS (SELECT *, lag(k, 63) OVER (PARTITION BY signal, horizon ORDER BY date) AS old FROM l)", "dr AS (SELECT *, CASE WHEN old > 0 THEN (old - k) / old END AS d FROM o)")
-    + f" SELECT date, signal, horizon, 'ic_degradation' AS alert_type, 'warning' AS severity, {sr('d', 4)} AS value, 0.3::DOUBLE AS threshold FROM dr WHERE d > 0.3",
+    + f" SELECT date, signal, horizon, 'ic_degradation' AS alert_type, 'warning' AS severity, {sr('d', 4)} AS value, 0.02::DOUBLE AS threshold FROM dr WHERE d > 0.02",
 )
 def ic_degradation_alerts(spark, root):
     cs = metrics.cross_sectional_ic(panel(spark, root), CORE, HORIZONS)
-    return rounded(monitor.ic_degradation(metrics.rolling_ic(cs, HORIZONS)), "value", digits=4)
+    return rounded(monitor.ic_degradation(metrics.rolling_ic(cs, HORIZONS), monitor.Thresholds(ic_drop=0.02)), "value", digits=4)
 
 
 def _alert_rows(spark, root):

@@ -207,5 +207,5 @@ def fills_log(fills: DataFrame) -> DataFrame:
 
 
 def append_fills(fills: DataFrame, path: str) -> None:
-    """Add to the log, one folder per UTC day."""
-    fills_log(fills).write.mode("append").partitionBy("day").json(path)
+    """Add to the log, one folder per UTC day; a task holds a narrow range of days, so few files are opened."""
+    fills_log(fills).repartitionByRange("day", "ts_utc", "exec_id").write.mode("append").partitionBy("day").json(path)
