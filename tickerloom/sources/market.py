@@ -23,7 +23,7 @@ def trade_seq() -> Column:
 
     A single long keeps min_by and max_by in the hash aggregate; a struct would force a sort.
     """
-    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
+    cents = F.floor(F.col("l_extendedprice") * 100 + 0.5)
     return F.shiftleft(F.col("l_orderkey"), 27) + F.shiftleft(F.col("l_linenumber").cast("long"), 24) + cents
 
 
@@ -49,7 +49,7 @@ def bars(spark: SparkSession, root: str) -> DataFrame:
             F.min("price").alias("low"),
             F.max_by("price", "seq").alias("close"),
             F.sum("qty").cast("long").alias("volume"),
-            (F.sum(F.round(F.col("amount") * 100).cast("long")) / 100.0 / F.sum("qty")).alias("vwap"),
+            (F.sum(F.floor(F.col("amount") * 100 + 0.5)) / 100.0 / F.sum("qty")).alias("vwap"),
         )
     )
 
