@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickerloom.functions.rolling import nonzero, pct_change, rolling_mean, rolling_std, rolling_z, series
-from tickerloom.plans.crosssection import join_date_stats, join_group_stats, with_cross_section_z
+from tickerloom.plans.crosssection import join_group_stats, with_cross_section_z
 from tickerloom.plans.ranks import average_rank
+from tickerloom.plans.scale import reuse
 
 HURST_LAGS = (2, 4, 8, 16)
 FRAC_D, FRAC_ROWS = 0.4, 20
@@ -54,8 +55,7 @@ def volume_features(df: DataFrame) -> DataFrame:
 
 def share_rank(df: DataFrame, keys: Sequence[str], value: str, out: str, spread: bool | None = None) -> DataFrame:
     """Average rank scaled to [0, 1]; a lone row gets 0.5."""
-    df = average_rank(df, keys, value, "_rank", spread)
-    df = join_date_stats(df, {"_count": F.count(value)}, keys)
+    df = average_rank(df, keys, value, "_rank", spread, count="_count")
     share = F.when(F.col("_count") > 1, (F.col("_rank") - 1) / (F.col("_count") - 1)).otherwise(F.lit(0.5))
     return df.withColumn(out, F.when(F.col(value).isNotNull(), share)).drop("_rank", "_count")
 
@@ -67,7 +67,7 @@ def cross_sectional_features(df: DataFrame, spread: bool | None = None) -> DataF
     if "vol_21d" not in df.columns:
         df = volatility_features(df)
     df = df.withColumn("_volume_21d", rolling_mean(F.col("volume").cast("double"), 21, w, 10))
-    df = with_cross_section_z(df, {"cs_return_zscore_21d": "return_21d"})
+    df = with_cross_section_z(reuse(df), {"cs_return_zscore_21d": "return_21d"})
     for value, out in (
         ("return_21d", "cs_return_rank_21d"),
         ("vol_21d", "cs_vol_rank_21d"),

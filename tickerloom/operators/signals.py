@@ -29,6 +29,7 @@ from tickerloom.functions.rolling import (
 )
 from tickerloom.operators.features import frac_diff, hurst, kalman_features, market_regime, share_rank
 from tickerloom.plans.crosssection import join_date_stats
+from tickerloom.plans.scale import reuse
 
 Stage = Mapping[str, Callable[[WindowSpec], Column]]
 
@@ -268,7 +269,7 @@ def generate(df: DataFrame, signals: Sequence[Signal | str], ts: str = "date") -
     if crossed:
         inputs = sorted({s.cross_section for s in crossed})
         aggs = {f"_avg{x}": F.avg(x) for x in inputs} | {f"_std{x}": F.stddev_samp(x) for x in inputs}
-        df = join_date_stats(df, aggs)
+        df = join_date_stats(reuse(df), aggs)  # the staged windows feed both the statistics and the rows
         df = df.withColumns(
             {
                 f"_z_{s.name}": (F.col(s.cross_section) - F.col(f"_avg{s.cross_section}"))

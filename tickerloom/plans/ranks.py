@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickerloom.plans.scale import fits_one_task
+from tickerloom.plans.scale import fits_one_task, reuse
 
 BANDS_PER_OCTAVE = 256
 
@@ -25,13 +25,19 @@ def value_band(x: Column) -> Column:
     return F.when(a == 0, F.lit(0)).when(x < 0, -band).otherwise(band).cast("long")
 
 
-def _window_rank(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
-    w = Window.partitionBy(*keys, F.col(value).isNull()).orderBy(value)
+def _window_rank(df: DataFrame, keys: Sequence[str], value: str, out: str, count: str | None) -> DataFrame:
+    group = Window.partitionBy(*keys, F.col(value).isNull())
+    w = group.orderBy(value)
     peers = F.count(F.lit(1)).over(w.rangeBetween(Window.currentRow, Window.currentRow))
-    return df.withColumn(out, F.when(F.col(value).isNotNull(), F.rank().over(w) + (peers - 1) / F.lit(2.0)))
+    known = F.col(value).isNotNull()
+    cols = {out: F.when(known, F.rank().over(w) + (peers - 1) / F.lit(2.0))}
+    if count:
+        cols[count] = F.when(known, F.count(F.lit(1)).over(group))
+    return df.withColumns(cols)
 
 
-def _spread_rank(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
+def _spread_rank(df: DataFrame, keys: Sequence[str], value: str, out: str, count: str | None) -> DataFrame:
+    df = reuse(df)  # read by both sides of the join below
     # 1. equal values collapse before the shuffle, so a value that fills a third of the table is one row
     distinct = (
         df.filter(F.col(value).isNotNull())
@@ -42,26 +48,30 @@ def _spread_rank(df: DataFrame, keys: Sequence[str], value: str, out: str) -> Da
     # 2. rows before each band: a small table, one row per (group, band)
     bands = distinct.groupBy(*keys, "_band").agg(F.sum("_n").alias("_bn"))
     before = Window.partitionBy(*keys).orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
-    bands = bands.withColumn("_before", F.coalesce(F.sum("_bn").over(before), F.lit(0))).drop("_bn")
+    whole = F.sum("_bn").over(Window.partitionBy(*keys))
+    bands = bands.withColumns({"_before": F.coalesce(F.sum("_bn").over(before), F.lit(0)), "_whole": whole}).drop("_bn")
     # 3. order only inside a band, then add what lies before it
     inside = Window.partitionBy(*keys, "_band").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     ranked = (
         distinct.withColumn("_upto", F.sum("_n").over(inside))
         .join(bands, [*keys, "_band"])
-        .select(*keys, value, (F.col("_before") + F.col("_upto") - (F.col("_n") - 1) / F.lit(2.0)).alias(out))
+        .select(*keys, value, (F.col("_before") + F.col("_upto") - (F.col("_n") - 1) / F.lit(2.0)).alias(out),
+                *([F.col("_whole").alias(count)] if count else []))
     )
     # 4. back to the rows; a hot value is a skewed key with one match, which AQE splits
     return df.join(ranked, [*keys, value], "left")
 
 
 def average_rank(
-    df: DataFrame, keys: Sequence[str], value: str, out: str, spread: bool | None = None
+    df: DataFrame, keys: Sequence[str], value: str, out: str, spread: bool | None = None, count: str | None = None
 ) -> DataFrame:
     """Add the 1-based average-tie rank of a double column within ``keys``; NULLs get none.
 
+    ``count`` names a column for the number of ranked rows of the group.
+
     Small inputs use one keyed window. Otherwise no group is ever ordered in one task:
     equal values are pre-aggregated and each group is cut into value bands.
     """
     if spread is None:
         spread = not fits_one_task(df)
-    return (_spread_rank if spread else _window_rank)(df, list(keys), value, out)
+    return (_spread_rank if spread else _window_rank)(df, list(keys), value, out, count)
