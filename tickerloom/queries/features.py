@@ -121,7 +121,28 @@ _register(
 )
 
 
-@query("features_kalman")
+def _kalman_sql() -> str:
+    """The filter with its covariance as an ordered fold over each ticker's closes."""
+    # covariance after the first row: one update from 1000 on the diagonal
+    a00, a01, a11 = 2000.05, 1000.0, 1000.001
+    s0 = a00 + 1.0
+    p = ((1 - a00 / s0) * a00, (1 - a00 / s0) * a01, a11 - a01 / s0 * a01)
+    start = f"{{'l': close, 't': 0.0::DOUBLE, 'a': {p[0]!r}::DOUBLE, 'b': {p[1]!r}::DOUBLE, 'c': {p[2]!r}::DOUBLE}}"
+    m00, m01, m11 = "(s.a + 2 * s.b + s.c + 0.05::DOUBLE)", "(s.b + s.c)", "(s.c + 0.001::DOUBLE)"
+    g0, g1, gap = f"({m00} / ({m00} + 1))", f"({m01} / ({m00} + 1))", "(y.l - s.l - s.t)"
+    step = (f"{{'l': s.l + s.t + {g0} * {gap}, 't': s.t + {g1} * {gap}, 'a': (1 - {g0}) * {m00}, 'b': (1 - {g0}) * {m01}, "
+            f"'c': {m11} - {g1} * {m01}}}")
+    f = "OVER (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING)"
+    return f"kal AS (SELECT ticker, date, close, list_reduce(list({start}) {f}, lambda s, y: {step}) AS st FROM bars)"
+
+
+KALMAN = _kalman_sql()
+
+
+@query(
+    "features_kalman",
+    ctes(BARS, KALMAN) + f" SELECT ticker, date, {sr('close')} AS close, {sr('st.l')} AS kalman_alpha, {sr('st.t')} AS kalman_beta FROM kal",
+)
 def features_kalman(spark, root):
     out = features.kalman_features(market.bars(spark, root).select("ticker", "date", "close"))
     return rounded(out, "close", "kalman_alpha", "kalman_beta")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tickerloom.functions.rolling import ema_rows
 from tickerloom.operators import signals
-from tickerloom.queries.features import REGIME, frac_sql, hurst_steps, _share
+from tickerloom.queries.features import KALMAN, REGIME, frac_sql, hurst_steps, _share
 from tickerloom.queries.registry import query, r, rounded
 from tickerloom.queries.sql import BARS, SECTORS, ctes, lag, pct, r as sr, rm, rs, rv, rz, stages, z60
 from tickerloom.sources import market
@@ -170,7 +170,10 @@ def signal_hurst_exponent(spark, root):
     return signals.hurst_signal(market.bars(spark, root)).select("ticker", "date", r(out).alias(out))
 
 
-@query("signal_kalman_filter")
+@query(
+    "signal_kalman_filter",
+    ctes(BARS, KALMAN, "kt AS (SELECT ticker, date, st.t AS x FROM kal)") + f" SELECT ticker, date, {sr(z60('x'))} AS signal_kalman_filter FROM kt",
+)
 def signal_kalman_filter(spark, root):
     out = "signal_kalman_filter"
     return signals.kalman_signal(market.bars(spark, root).select("ticker", "date", "close")).select("ticker", "date", r(out).alias(out))

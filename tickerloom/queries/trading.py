@@ -356,7 +356,10 @@ def stream_fill_metrics(spark, root):
     return spark.read.parquet(folder).select("ticker", "n_fills", r("shares").alias("shares"), r("cash_flow", 3).alias("cash_flow"))
 
 
-@query("stream_late_ticks")
+@query(
+    "stream_late_ticks",
+    ctes(TICKS, MINUTES) + f" SELECT count(*) AS bars, CAST(0 AS BIGINT) AS late_rows FROM minutes WHERE datetime + INTERVAL '1 minute' <= {CLOSED} - INTERVAL '1 hour'",
+)
 def stream_late_ticks(spark, root):
     """Bars and late rows with a one-hour delay."""
     folder, late = jobs.drain(jobs.tick_bars(tick_stream(spark, root), delay="1 hour"), "late-ticks")
@@ -367,7 +370,16 @@ def _score(df):
     return intraday.vwap_mean_reversion(df)
 
 
-@query("stream_warm_scores")
+TICK_MR = (
+    f"w0 AS (SELECT ticker, ts AS datetime, price AS close, volume, row_number() OVER (PARTITION BY ticker ORDER BY ts) AS seen, price / nullif({_tsum('price * volume', 60).replace('datetime', 'ts')} / nullif({_tsum('volume', 60).replace('datetime', 'ts')}, 0), 0) - 1 AS dev FROM ticks)",
+    f"w1 AS (SELECT *, -tanh({rz('dev', 60, 30, 'ticker', T)}) AS s FROM w0)",
+)
+
+
+@query(
+    "stream_warm_scores",
+    ctes(TICKS, *TICK_MR) + f" SELECT ticker, datetime, {sr('CASE WHEN seen >= 60 THEN coalesce(s, 0) ELSE 0 END')} AS signal_vwap_mean_reversion_60b FROM w1",
+)
 def stream_warm_scores(spark, root):
     folder = jobs.work_folder(spark, "warm-scores")
     t = tick_stream(spark, root)
@@ -381,12 +393,6 @@ def _alerts(t):
     return t.filter(F.col("price") > 150).select(F.col("ticker").alias("alert_type"), "ts", F.col("seq").alias("alert_id"), F.col("price").alias("value"))
 
 
-@query("stream_alert_cooldown")
-def stream_alert_cooldown(spark, root):
-    folder, _ = jobs.drain(jobs.alert_cooldown(_alerts(tick_stream(spark, root)), 6 * 3600), "cooldown")
-    return spark.read.parquet(folder)
-
-
 COOL = """al AS (SELECT ticker AS alert_type, ts, seq AS alert_id, price AS value FROM ticks WHERE price > 150),
 ord AS (SELECT *, row_number() OVER (PARTITION BY alert_type ORDER BY ts, alert_id) AS n FROM al),
 keep AS (SELECT alert_type, ts, alert_id, value, n, ts AS last_ts, TRUE AS kept FROM ord WHERE n = 1
@@ -394,7 +400,16 @@ keep AS (SELECT alert_type, ts, alert_id, value, n, ts AS last_ts, TRUE AS kept
     o.ts - k.last_ts >= INTERVAL '6 hours' FROM keep k JOIN ord o ON o.alert_type = k.alert_type AND o.n = k.n + 1)"""
 
 
-@query("alert_cooldown", ctes(TICKS, COOL).replace("WITH ", "WITH RECURSIVE ", 1) + " SELECT alert_type, ts, alert_id, value FROM keep WHERE kept")
+COOL_SQL = ctes(TICKS, COOL).replace("WITH ", "WITH RECURSIVE ", 1) + " SELECT alert_type, ts, alert_id, value FROM keep WHERE kept"
+
+
+@query("stream_alert_cooldown", COOL_SQL)
+def stream_alert_cooldown(spark, root):
+    folder, _ = jobs.drain(jobs.alert_cooldown(_alerts(tick_stream(spark, root)), 6 * 3600), "cooldown")
+    return spark.read.parquet(folder)
+
+
+@query("alert_cooldown", COOL_SQL)
 def alert_cooldown(spark, root):
     return monitor.cooldown(_alerts(market.ticks(spark, root)), 6 * 3600).select("alert_type", "ts", "alert_id", "value")
 
