@@ -17,19 +17,30 @@ ETFS = ("SPY", "QQQ", "IWM", "DIA")
 ETF_PREFIX = "X"
 
 # Sector of each known ticker.
-SECTOR_TICKERS = {
-    "Technology": "AAPL MSFT GOOGL GOOG META NVDA AMD INTC CRM ADBE XLK",
-    "Communication Services": "NFLX DIS",
-    "Financials": "JPM BAC WFC GS MS C BRK-B V MA XLF",
-    "Health Care": "JNJ UNH PFE ABBV MRK LLY XLV",
-    "Energy": "XOM CVX COP SLB XLE",
-    "Consumer Defensive": "PG KO PEP WMT COST XLP",
-    "Consumer Cyclical": "NKE TSLA AMZN XLY",
-    "Industrials": "CAT HON UNP BA GE XLI",
-    "Broad Market": "SPY QQQ IWM DIA",
-    "Utilities": "XLU",
-    "Materials": "XLB",
-    "Real Estate": "XLRE",
+SECTOR_OF = {
+    "AAPL": "Technology", "MSFT": "Technology", "GOOGL": "Technology",
+    "GOOG": "Technology", "META": "Technology", "NVDA": "Technology",
+    "AMD": "Technology", "INTC": "Technology", "CRM": "Technology",
+    "ADBE": "Technology", "NFLX": "Communication Services",
+    "JPM": "Financials", "BAC": "Financials", "WFC": "Financials",
+    "GS": "Financials", "MS": "Financials", "C": "Financials",
+    "BRK-B": "Financials", "V": "Financials", "MA": "Financials",
+    "JNJ": "Health Care", "UNH": "Health Care", "PFE": "Health Care",
+    "ABBV": "Health Care", "MRK": "Health Care", "LLY": "Health Care",
+    "XOM": "Energy", "CVX": "Energy", "COP": "Energy", "SLB": "Energy",
+    "PG": "Consumer Defensive", "KO": "Consumer Defensive",
+    "PEP": "Consumer Defensive", "WMT": "Consumer Defensive",
+    "COST": "Consumer Defensive", "NKE": "Consumer Cyclical",
+    "CAT": "Industrials", "HON": "Industrials", "UNP": "Industrials",
+    "BA": "Industrials", "GE": "Industrials",
+    "DIS": "Communication Services", "TSLA": "Consumer Cyclical",
+    "AMZN": "Consumer Cyclical",
+    "SPY": "Broad Market", "QQQ": "Broad Market", "IWM": "Broad Market",
+    "DIA": "Broad Market",
+    "XLF": "Financials", "XLE": "Energy", "XLK": "Technology",
+    "XLV": "Health Care", "XLI": "Industrials", "XLP": "Consumer Defensive",
+    "XLU": "Utilities", "XLB": "Materials", "XLRE": "Real Estate",
+    "XLY": "Consumer Cyclical",
 }
 
 DIMENSION_BYTES = 64 << 20
@@ -37,8 +48,7 @@ DIMENSION_BYTES = 64 << 20
 
 def static_sectors(df: DataFrame) -> DataFrame:
     """The fixed sector list as a table."""
-    rows = [(t, sector) for sector, names in SECTOR_TICKERS.items() for t in names.split()]
-    return df.sparkSession.createDataFrame(rows, "ticker string, sector string")
+    return df.sparkSession.createDataFrame(list(SECTOR_OF.items()), "ticker string, sector string")
 
 
 def enrich_with_sector(df: DataFrame, sectors: DataFrame | None = None) -> DataFrame:

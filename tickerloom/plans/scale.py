@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from tickerloom.session import ensure_checkpoint_dir
 
 # Above this much input a keyed group can no longer be trusted to fit one task.
-ONE_TASK_BYTES = 2 << 30
+ONE_TASK_BYTES = 512 << 20
 REUSE_BYTES = 64 << 30
 
 
