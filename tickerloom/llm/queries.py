@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickerloom.llm import mixing
+from tickerloom.llm import mixing, simhash
 from tickerloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,3 +26,8 @@ def query(name: str, sql: str | None = None):
 @query("op10_source_mix", mixing.SQL)
 def source_mix(spark: SparkSession, root: str) -> DataFrame:
     return mixing.mix_report(table(spark, root, "documents"))
+
+
+@query("op9_simhash_near_dedup")
+def simhash_near_dedup(spark: SparkSession, root: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, root, "documents"))
