@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickerloom.llm import mixing, simhash
+from tickerloom.llm import mixing, packing, simhash
 from tickerloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,3 +31,8 @@ def source_mix(spark: SparkSession, root: str) -> DataFrame:
 @query("op9_simhash_near_dedup")
 def simhash_near_dedup(spark: SparkSession, root: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, root, "documents"))
+
+
+@query("op1_harmonic_packing")
+def harmonic_packing(spark: SparkSession, root: str) -> DataFrame:
+    return packing.pack_report(table(spark, root, "documents"))
