@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickerloom.llm import mixing, packing, simhash
+from tickerloom.llm import mixing, packing, simhash, token_files
 from tickerloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,3 +36,8 @@ def simhash_near_dedup(spark: SparkSession, root: str) -> DataFrame:
 @query("op1_harmonic_packing")
 def harmonic_packing(spark: SparkSession, root: str) -> DataFrame:
     return packing.pack_report(table(spark, root, "documents"))
+
+
+@query("op4_token_id_files")
+def token_id_files(spark: SparkSession, root: str) -> DataFrame:
+    return token_files.round_trip(table(spark, root, "documents"))
