@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickerloom.llm import mixing, packing, simhash, token_files
+from tickerloom.llm import minhash, mixing, packing, simhash, token_files
 from tickerloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,3 +41,8 @@ def harmonic_packing(spark: SparkSession, root: str) -> DataFrame:
 @query("op4_token_id_files")
 def token_id_files(spark: SparkSession, root: str) -> DataFrame:
     return token_files.round_trip(table(spark, root, "documents"))
+
+
+@query("op7_minhash_fingerprints")
+def minhash_fingerprints(spark: SparkSession, root: str) -> DataFrame:
+    return minhash.edited_report(table(spark, root, "documents"))
