@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickerloom.llm import minhash, mixing, packing, simhash, token_files
+from tickerloom.llm import chunks, minhash, mixing, packing, simhash, token_files
 from tickerloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +46,8 @@ def token_id_files(spark: SparkSession, root: str) -> DataFrame:
 @query("op7_minhash_fingerprints")
 def minhash_fingerprints(spark: SparkSession, root: str) -> DataFrame:
     return minhash.edited_report(table(spark, root, "documents"))
+
+
+@query("op6_chunk_substring_dedup")
+def chunk_substring_dedup(spark: SparkSession, root: str) -> DataFrame:
+    return chunks.repeat_report(table(spark, root, "documents"))
