@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickerloom.llm import chunks, minhash, mixing, packing, simhash, token_files
+from tickerloom.llm import chunks, minhash, mixing, packing, quality, simhash, token_files, toxicity
 from tickerloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,13 @@ def minhash_fingerprints(spark: SparkSession, root: str) -> DataFrame:
 @query("op6_chunk_substring_dedup")
 def chunk_substring_dedup(spark: SparkSession, root: str) -> DataFrame:
     return chunks.repeat_report(table(spark, root, "documents"))
+
+
+@query("op5_subword_toxicity")
+def subword_toxicity(spark: SparkSession, root: str) -> DataFrame:
+    return toxicity.toxicity_report(table(spark, root, "documents"), table(spark, root, "labels"))
+
+
+@query("op8_attention_quality")
+def attention_quality(spark: SparkSession, root: str) -> DataFrame:
+    return quality.quality_report(table(spark, root, "documents"), table(spark, root, "labels"))
