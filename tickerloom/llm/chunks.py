@@ -31,8 +31,9 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from tickerloom.llm.common import batched_texts, concatenated, word_bounds
+from tickerloom.llm.common import WORD, batched_texts, concatenated, word_bounds
 
 MIN_WORDS = 20
 #: Share of words that may begin a chunk, before those too close to another are taken out.
@@ -114,32 +115,30 @@ def spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return runs.filter(F.col("words") >= min_words).drop("_run")
 
 
-def _without(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        out = []
-        for text, cuts in zip(frame["text"], frame["_cuts"]):
-            if cuts is not None and len(cuts):
-                raw, keep, at = text.encode("utf-8", "surrogatepass"), [], 0
-                for c in sorted(cuts, key=lambda c: c["at"]):
-                    keep.append(raw[at:c["at"]])
-                    at = c["stop"]
-                text = (b"".join(keep) + raw[at:]).decode("utf-8", "surrogatepass")
-            out.append(text)
-        frame["text"] = out
-        yield frame.drop(columns="_cuts")
+@F.pandas_udf(StringType())
+def _without(texts: pd.Series, begins: pd.Series, ends: pd.Series) -> pd.Series:
+    """Texts less the byte ranges, which come in order."""
+    out = []
+    for text, a, b in zip(texts, begins, ends):
+        raw, keep, at = text.encode("utf-8", "surrogatepass"), [], 0
+        for i, j in zip(a, b):
+            keep.append(raw[at:i])
+            at = j
+        out.append((b"".join(keep) + raw[at:]).decode("utf-8", "surrogatepass"))
+    return pd.Series(out, dtype=object)
 
 
 def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with later copies of repeated passages taken out of their texts."""
     names = docs.columns
-    cuts = spans(docs, min_words).groupBy("doc_id", "row").agg(F.collect_list(F.struct("at", "stop")).alias("_cuts"))
-    cuts = cuts.withColumnRenamed("doc_id", "_id")
-    # the longest run of a document ends where its text does, so a document's list is bounded by its text
-    with_cuts = docs.join(cuts, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("row")), "left").drop("_id", "row")
+    # a document's list of spans is bounded by its text
+    cuts = spans(docs, min_words).groupBy("doc_id", "row").agg(F.array_sort(F.collect_list(F.struct("at", "stop"))).alias("_cuts"))
+    cuts = cuts.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "_cuts")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_row"))
+    with_cuts = docs.join(cuts, same, "left")
     untouched = with_cuts.filter("_cuts IS NULL").select(*names)
-    schema = docs.schema
-    touched = with_cuts.filter("_cuts IS NOT NULL").select(*names, "_cuts").mapInPandas(_without, schema)
-    return untouched.unionByName(touched.filter(F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]"))))
+    touched = with_cuts.filter("_cuts IS NOT NULL").withColumn("text", _without("text", "_cuts.at", "_cuts.stop")).select(*names)
+    return untouched.unionByName(touched.filter(F.regexp_like("text", F.lit(WORD))))
 
 
 def repeat_report(docs: DataFrame) -> DataFrame:
