@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickerloom.llm import chunks, minhash, mixing, packing, quality, simhash, token_files, toxicity
+from tickerloom.llm import chunks, forest, minhash, mixing, packing, quality, simhash, token_files, toxicity
 from tickerloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,8 @@ def subword_toxicity(spark: SparkSession, root: str) -> DataFrame:
 @query("op8_attention_quality")
 def attention_quality(spark: SparkSession, root: str) -> DataFrame:
     return quality.quality_report(table(spark, root, "documents"), table(spark, root, "labels"))
+
+
+@query("op3_projection_forest")
+def projection_forest(spark: SparkSession, root: str) -> DataFrame:
+    return forest.nearest(table(spark, root, "embeddings"))
