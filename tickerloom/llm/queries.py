@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickerloom.llm import chunks, forest, minhash, mixing, packing, quality, simhash, token_files, toxicity
+from tickerloom.llm import chunks, forest, licenses, minhash, mixing, packing, quality, simhash, token_files, toxicity
 from tickerloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,8 @@ def attention_quality(spark: SparkSession, root: str) -> DataFrame:
 @query("op3_projection_forest")
 def projection_forest(spark: SparkSession, root: str) -> DataFrame:
     return forest.nearest(table(spark, root, "embeddings"))
+
+
+@query("op2_license_families")
+def license_families(spark: SparkSession, root: str) -> DataFrame:
+    return licenses.license_report(table(spark, root, "documents"))
