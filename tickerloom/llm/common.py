@@ -101,8 +101,8 @@ def word_bounds(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
-def batched_texts(texts: Sequence[str | None], size: int = 4 << 20):
-    """Slices of a batch whose texts hold about ``size`` characters, so arrays stay bounded."""
+def batched_texts(texts: Sequence[str | None], size: int = 1 << 20):
+    """Slices of a batch whose texts hold about ``size`` characters, so that arrays stay small."""
     start, n = 0, 0
     for i, t in enumerate(texts):
         n += len(t or "")

@@ -8,7 +8,7 @@ probability reaches ``SURE`` and if the paragraph shares enough word pairs with
 templates; all else is unknown.
 
 Weights are kept sparse by an L1 penalty, and pieces that meet fewer than two n-grams with a weight for a
-family are unknown at once. Whole texts are read, as numpy arrays over a few megabytes of a batch. Corpus paragraphs for
+family are unknown at once. Whole texts are read, as numpy arrays over a megabyte of a batch. Corpus paragraphs for
 training come from at most ``SAMPLE`` documents (a documented bound, drawn by hash of the id).
 
 Defined cases: a null or blank text has no paragraph and no licence (family and probability null, counts

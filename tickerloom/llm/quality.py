@@ -5,7 +5,7 @@ by shares of byte classes and by how its words repeat, and encoded as h = tanh(W
 a = softmax(w (tanh(V h) * sigmoid(U h))) weighs a document's passages, and the label is read from the
 weighted sum of their codes. Encoder, attention and read-out learn together from document labels.
 
-All passages of whole texts are scored, as numpy arrays over a few megabytes of a batch. The model is
+All passages of whole texts are scored, as numpy arrays over a megabyte of a batch. The model is
 a few kilobytes, fitted on at most ``SAMPLE`` labelled documents (a documented bound) outside the
 held-out third. Defined cases: null and blank texts score 0; without labels of both kinds the others get the
 smoothed base rate; rows that repeat an id are scored each for itself; an empty table gives no rows.

@@ -11,7 +11,7 @@ import regex
 
 #: Name of the default vocabulary file; its place is looked up where a task runs.
 VOCABULARY = "byte_bpe_50k.json"
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _ODD = re.compile(r" (?:\s|\Z)")

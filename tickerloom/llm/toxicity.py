@@ -8,7 +8,7 @@ model finds most toxic, against clean documents' worst and random windows. A doc
 those of its worst window, turned into a probability on documents kept out of the fit.
 
 The model is linear in the embeddings: to score, each hashed n-gram has one number, a table of half a
-megabyte that is broadcast. Whole texts are scored, a few megabytes of a batch at a time.
+megabyte that is broadcast. Whole texts are scored, a megabyte of a batch at a time.
 
 Fitted on at most ``SAMPLE`` labelled documents (a documented bound), outside the held-out third.
 Defined cases: null and blank texts score 0; without labels of both kinds all others get the smoothed
