@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tickerloom.llm.common import written
 
-TREES, SAMPLE, LEAF = 4, 65_536, 256
+TREES, SAMPLE, LEAF = 4, 32_768, 256
 MOST_LEVELS = 13
 PICKED = 4
 RECALL, MEASURED, BAR = 0.95, 128, 8192
