@@ -27,7 +27,7 @@ def tick_folder(spark, tmp_path_factory):
 
 
 def stream(spark, folder):
-    return jobs.file_stream(spark, folder, spark.read.parquet(folder), "*.parquet", files_per_trigger=1)
+    return jobs.file_stream(spark, folder, spark.read.parquet(folder), files_per_trigger=1)
 
 
 def test_stream_bars_equal_batch_and_late_rows_are_counted(spark, tick_folder):

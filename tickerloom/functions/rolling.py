@@ -75,17 +75,21 @@ def pct_change(x, n: int, w: WindowSpec) -> Column:
     return F.try_divide(x, F.lag(x, n).over(w)) - 1
 
 
-def ema_rows(span: int, tol: float = 1e-7) -> int:
+def ema_rows(span: int, tol: float = 1e-9) -> int:
     """Rows after which the weights of an EMA of this span fall below ``tol``."""
     return math.ceil(math.log(tol) / math.log(1 - 2 / (span + 1)))
 
 
-def ema(x, span: int, w: WindowSpec, tol: float = 1e-7) -> Column:
-    """Adjusted exponential mean, cut where the weights fall below ``tol``."""
-    keep = 1 - 2 / (span + 1)
-    values = F.collect_list(_col(x)).over(trailing(w, ema_rows(span, tol)))
-    top = F.aggregate(values, F.lit(0.0), lambda acc, v: acc * F.lit(keep) + v)
-    return top * F.lit(1 - keep) / (F.lit(1.0) - F.pow(F.lit(keep), F.size(values)))
+def ema(x, span: int, w: WindowSpec, tol: float = 1e-9) -> Column:
+    """Adjusted exponential mean, cut where the weights fall below ``tol``; a NULL ages the rest and adds nothing."""
+    x, keep = _col(x), 1 - 2 / (span + 1)
+    frame = trailing(w, ema_rows(span, tol))
+    fold = lambda values: F.aggregate(values, F.lit(0.0), lambda acc, v: acc * F.lit(keep) + v)
+    top = fold(F.collect_list(F.coalesce(x.cast("double"), F.lit(0.0))).over(frame))
+    rows, known = F.count(F.lit(1)).over(frame), F.count(x).over(frame)
+    full = (F.lit(1.0) - F.pow(F.lit(keep), rows)) / F.lit(1 - keep)
+    gaps = fold(F.collect_list(x.isNotNull().cast("double")).over(frame))
+    return F.when(known > 0, top / F.when(known == rows, full).otherwise(gaps))
 
 
 def clip(x, lo: float, hi: float) -> Column:

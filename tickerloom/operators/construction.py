@@ -16,10 +16,9 @@ from pyspark.sql import functions as F
 
 from tickerloom.functions.rolling import nonzero, pct_change, series
 from tickerloom.operators.features import calendar_window
-from tickerloom.plans.scale import ensure_checkpoint_dir
+from tickerloom.plans.scale import settled
 
 DAYS = 252
-LINKAGES = ("single", "complete", "average", "ward")
 
 
 def returns_from_prices(df: DataFrame, price: str = "close") -> DataFrame:
@@ -178,30 +177,9 @@ def inverse_volatility(windows: DataFrame, lookback: int) -> DataFrame:
     return rows.join(F.broadcast(total), "rebalance_date").withColumn("w", F.col("_i") / F.col("_all")).drop("_i", "_all")
 
 
-def _parity_block(pdf: pd.DataFrame, lookback: int, iterations: int, tol: float, target_risk: float | None) -> pd.DataFrame:
-    """The same iteration for one rebalance date."""
-    x, var, w = np.stack(pdf["x"].to_numpy()), pdf["variance"].to_numpy(), pdf["w"].to_numpy()
-    d, n = float(pdf["delta"].iloc[0]), len(pdf)
-    p, own = x.T @ w, float((w * w) @ var)
-    for _ in range(iterations + 1):
-        c = ((1 - d) * p @ p / lookback + d * own) / n
-        a, b = (1 - d) * (x @ p) / lookback, d * var
-        new = (np.sqrt(a * a + 4 * b * c) - a) / (2 * b)
-        w = new / new.sum()
-        q = x.T @ w
-        moved = np.abs(q - p).max() / (np.abs(p).max() + 1e-300)
-        p, own = (p + q) / 2, (own + float((w * w) @ var)) / 2
-        if moved < tol:
-            break
-    if target_risk is not None:
-        vol = np.sqrt(((1 - d) * q @ q / lookback + d * float((w * w) @ var)) * DAYS)
-        w = w * target_risk / vol if vol > 0 else w
-    return pdf[["rebalance_date", "ticker", "x"]].assign(w=w)
-
-
 def risk_parity(
     windows: DataFrame, lookback: int, shrink: DataFrame | None = None, target_risk: float | None = None,
-    iterations: int = 60, tol: float = 1e-6, one_task_assets: int = 50_000,
+    iterations: int = 60, tol: float = 1e-6,
 ) -> DataFrame:
     """Long-only weights with equal risk contributions, one row per (rebalance_date, ticker).
 
@@ -209,22 +187,12 @@ def risk_parity(
     its own quadratic δ·v·w² + (1-δ)·(x·p/T)·w = c. Old and new vectors are averaged, which is the
     same as averaging the weights, so the state between steps is one vector per date: that is what
     comes to the driver, T + 3 numbers per rebalance date.
-
-    Where the largest date is counted at no more than ``one_task_assets`` assets (some 25 MB of
-    returns) each date is iterated inside its own task instead, without a job per step.
     """
     spark = windows.sparkSession
-    largest = windows.groupBy("rebalance_date").count().agg(F.max("count")).first()[0] or 0
     shrink = shrinkage(windows, lookback, 0.1) if shrink is None else shrink
     start = inverse_volatility(windows, lookback).join(F.broadcast(shrink.select("rebalance_date", "delta")), "rebalance_date")
     start = start.withColumn("delta", F.greatest("delta", F.lit(1e-3)))
-    if largest <= one_task_assets:
-        solved = start.select("rebalance_date", "ticker", "x", "variance", "w", "delta").groupBy("rebalance_date").applyInPandas(
-            lambda pdf: _parity_block(pdf, lookback, iterations, tol, target_risk),
-            "rebalance_date date, ticker string, x array<double>, w double")
-        return solved
-    ensure_checkpoint_dir(spark)
-    base = start.checkpoint()  # read once per step
+    base = settled(start)  # read once per step
     state = {r["rebalance_date"]: r for r in _portfolio_vector(base, lookback).collect()}
     p = {k: np.array(r["p"]) for k, r in state.items()}
     delta = {r["rebalance_date"]: r["delta"] for r in base.groupBy("rebalance_date").agg(F.max("delta").alias("delta")).collect()}
@@ -264,106 +232,6 @@ def risk_parity(
     return out.select("rebalance_date", "ticker", "x", "w")
 
 
-def _merge_order(dist: np.ndarray, linkage: str) -> list[int]:
-    """Leaf order of agglomerative clustering by the Lance-Williams update."""
-    n = len(dist)
-    d = dist.astype(float).copy()
-    if linkage == "ward":
-        d = d**2
-    np.fill_diagonal(d, np.inf)
-    leaves, size, alive = [[i] for i in range(n)], np.ones(n), np.ones(n, bool)
-    for _ in range(n - 1):
-        i, j = divmod(int(np.argmin(d)), n)
-        if i > j:
-            i, j = j, i
-        di, dj, dij = d[i].copy(), d[j].copy(), d[i, j]
-        if linkage == "single":
-            new = np.minimum(di, dj)
-        elif linkage == "complete":
-            new = np.maximum(di, dj)
-        elif linkage == "average":
-            new = (size[i] * di + size[j] * dj) / (size[i] + size[j])
-        else:
-            new = ((size[i] + size) * di + (size[j] + size) * dj - size * dij) / (size[i] + size[j] + size)
-        new[~alive] = np.inf
-        new[i] = np.inf
-        d[i], d[:, i] = new, new
-        d[j], d[:, j] = np.inf, np.inf
-        alive[j] = False
-        leaves[i] += leaves[j]
-        size[i] += size[j]
-    return leaves[0] if n else []
-
-
-def hrp_weights(x: np.ndarray, linkage: str = "single") -> np.ndarray:
-    """Hierarchical risk parity of one small block: rows of ``x`` are assets."""
-    n, t = x.shape
-    cov = x @ x.T / t
-    var = np.maximum(np.diag(cov), 1e-18)
-    corr = np.clip(cov / np.sqrt(np.outer(var, var)), -1, 1)
-    order = _merge_order(np.sqrt(np.maximum(0.0, (1 - corr) / 2)), linkage)
-    w = np.ones(n)
-    todo = [order]
-
-    def risk(block: list[int]) -> float:
-        v = 1 / var[block]
-        v /= v.sum()
-        return float(v @ cov[np.ix_(block, block)] @ v)
-
-    while todo:
-        block = todo.pop()
-        if len(block) < 2:
-            continue
-        left, right = block[: len(block) // 2], block[len(block) // 2 :]
-        a, b = risk(left), risk(right)
-        share = 1 - a / (a + b) if a + b > 0 else 0.5
-        w[left] *= share
-        w[right] *= 1 - share
-        todo += [left, right]
-    return w / w.sum()
-
-
-def hrp(windows: DataFrame, linkage: str = "single", block: int = 200) -> DataFrame:
-    """Hierarchical risk parity weights per (rebalance_date, ticker).
-
-    A universe of up to ``block`` assets is clustered as one. A larger one is cut into blocks
-    of about that size, each weighted on its own and replaced by its portfolio; those portfolios
-    are weighted the same way, level by level, so no task ever holds more than a few blocks.
-    """
-    if linkage not in LINKAGES:
-        raise ValueError(f"linkage must be one of {LINKAGES}")
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node")
-        x = np.stack(pdf["x"].to_numpy())
-        w = hrp_weights(x, linkage)
-        return pd.DataFrame({"rebalance_date": pdf["rebalance_date"], "parent": pdf["parent"], "node": pdf["node"],
-                             "x": list(w[:, None] * x), "share": w})
-
-    schema = "rebalance_date date, parent bigint, node string, x array<double>, share double"
-    length = windows.select(F.size("x").alias("n")).first()
-    nodes = windows.select("rebalance_date", F.col("ticker").alias("node"), "x")
-    largest = windows.groupBy("rebalance_date").count().agg(F.max("count")).first()[0] or 0
-    out, level = None, 0
-    while True:
-        parents = -(-largest // block)
-        solved = nodes.withColumn("parent", F.pmod(F.xxhash64("node"), F.lit(max(parents, 1)))).groupBy(
-            "rebalance_date", "parent").applyInPandas(solve, schema)
-        step = solved.select("rebalance_date", F.col("node").alias(f"n{level}"), F.col("parent").cast("string").alias(f"n{level + 1}"),
-                             F.col("share").alias(f"s{level}"))
-        out = step if out is None else out.join(step, ["rebalance_date", f"n{level}"])
-        if parents <= 1:
-            break
-        sums = [F.sum(F.col("x")[i]).alias(f"p{i}") for i in range(length["n"])]
-        nodes = solved.groupBy("rebalance_date", F.col("parent").cast("string").alias("node")).agg(*sums).select(
-            "rebalance_date", "node", F.array(*[f"p{i}" for i in range(length["n"])]).alias("x"))
-        largest, level = parents, level + 1
-    weight = F.lit(1.0)
-    for i in range(level + 1):
-        weight = weight * F.col(f"s{i}")
-    return out.select("rebalance_date", F.col("n0").alias("ticker"), weight.alias("w"))
-
-
 def hold_weights(panel: DataFrame, targets: DataFrame, method: str) -> DataFrame:
     """Carry each rebalance date's weights to the next one: one row per (ticker, date) of the panel, 0 where unknown."""
     days = targets.select("rebalance_date").distinct()
@@ -378,11 +246,11 @@ def hold_weights(panel: DataFrame, targets: DataFrame, method: str) -> DataFrame
 
 
 def build_portfolio(
-    panel: DataFrame, mode: str = "risk_parity", signal: str | None = None, lookback: int = 63, every: int = 63, linkage: str = "single"
+    panel: DataFrame, mode: str = "risk_parity", signal: str | None = None, lookback: int = 63, every: int = 63
 ) -> DataFrame:
     """ticker, date, weight, method (and signal_value when weights are modulated by a signal).
 
-    Modes: kelly, risk_parity, hrp. One row per input (ticker, date); no NULL weights.
+    Modes: kelly, risk_parity. One row per input (ticker, date); no NULL weights.
     """
     if mode == "kelly":
         from tickerloom.operators.sizing import kelly_weights
@@ -391,13 +259,10 @@ def build_portfolio(
             raise ValueError("kelly needs a signal")
         return kelly_weights(panel, signal).select(
             "ticker", "date", F.col("position_weight").alias("weight"), F.lit("kelly").alias("method"), "signal_value")
-    windows = return_windows(returns_from_prices(panel), lookback, every)
-    if mode == "risk_parity":
-        target = risk_parity(windows, lookback)
-    elif mode == "hrp":
-        target = hrp(windows, linkage)
-    else:
+    if mode != "risk_parity":
         raise ValueError(f"unknown mode {mode}")
+    windows = return_windows(returns_from_prices(panel), lookback, every)
+    target = risk_parity(windows, lookback)
     keep = ["ticker", "date"] + ([signal] if signal else [])
     out = hold_weights(panel.select(*keep), target, mode)
     if signal:

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickerloom.functions.rolling import rolling_mean, series
-from tickerloom.plans.scale import fits_one_task
 
 # The ticker lists behind the size buckets.
 MEGA_CAPS = ("AAPL", "MSFT", "GOOGL", "GOOG", "AMZN", "META", "NVDA", "BRK.B", "JPM")
@@ -43,8 +42,6 @@ SECTOR_OF = {
     "XLY": "Consumer Cyclical",
 }
 
-DIMENSION_BYTES = 64 << 20
-
 
 def static_sectors(df: DataFrame) -> DataFrame:
     """The fixed sector list as a table."""
@@ -54,11 +51,11 @@ def static_sectors(df: DataFrame) -> DataFrame:
 def enrich_with_sector(df: DataFrame, sectors: DataFrame | None = None) -> DataFrame:
     """Left join on ticker; unlisted tickers become 'Unknown'.
 
-    A sector table is broadcast only when the files behind it are small; a larger one is
-    joined by ticker, the key the panel is already clustered on.
+    The fixed list is broadcast. A given table is joined by ticker, the key the panel is already clustered
+    on, unless its size at run time shows that it is small.
     """
     table = static_sectors(df) if sectors is None else sectors
-    if sectors is None or fits_one_task(table, DIMENSION_BYTES):
+    if sectors is None:
         table = F.broadcast(table)
     return df.join(table, "ticker", "left").withColumn("sector", F.coalesce("sector", F.lit("Unknown")))
 

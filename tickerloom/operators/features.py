@@ -16,8 +16,7 @@ from pyspark.sql import types as T
 
 from tickerloom.functions.rolling import nonzero, pct_change, rolling_mean, rolling_std, rolling_z, series
 from tickerloom.plans.crosssection import join_group_stats, with_cross_section_z
-from tickerloom.plans.ranks import average_rank
-from tickerloom.plans.scale import reuse
+from tickerloom.plans.ranks import series_rank
 
 HURST_LAGS = (2, 4, 8, 16)
 FRAC_D, FRAC_ROWS = 0.4, 20
@@ -53,27 +52,26 @@ def volume_features(df: DataFrame) -> DataFrame:
     return df.withColumn("volume_shock", F.coalesce((F.col("volume_zscore_63d") > 2).cast("int"), F.lit(0)))
 
 
-def share_rank(df: DataFrame, keys: Sequence[str], value: str, out: str, spread: bool | None = None) -> DataFrame:
-    """Average rank scaled to [0, 1]; a lone row gets 0.5."""
-    df = average_rank(df, keys, value, "_rank", spread, count="_count")
-    share = F.when(F.col("_count") > 1, (F.col("_rank") - 1) / (F.col("_count") - 1)).otherwise(F.lit(0.5))
-    return df.withColumn(out, F.when(F.col(value).isNotNull(), share)).drop("_rank", "_count")
+def share_rank(df: DataFrame, keys: Sequence[str], values: dict[str, str]) -> DataFrame:
+    """Average ranks scaled to [0, 1], ``value: out``; a lone row gets 0.5."""
+    df = series_rank(df, keys, values, count="_count")
+    for value, out in values.items():
+        n = F.col(f"{out}_count")
+        share = F.when(n > 1, (F.col(out) - 1) / (n - 1)).otherwise(F.lit(0.5))
+        df = df.withColumn(out, F.when(F.col(value).isNotNull(), share)).drop(f"{out}_count")
+    return df
 
 
-def cross_sectional_features(df: DataFrame, spread: bool | None = None) -> DataFrame:
+def cross_sectional_features(df: DataFrame) -> DataFrame:
     w = series()
     if "return_21d" not in df.columns:
         df = df.withColumn("return_21d", pct_change("close", 21, w))
     if "vol_21d" not in df.columns:
         df = volatility_features(df)
     df = df.withColumn("_volume_21d", rolling_mean(F.col("volume").cast("double"), 21, w, 10))
-    df = with_cross_section_z(reuse(df), {"cs_return_zscore_21d": "return_21d"})
-    for value, out in (
-        ("return_21d", "cs_return_rank_21d"),
-        ("vol_21d", "cs_vol_rank_21d"),
-        ("_volume_21d", "cs_volume_rank_21d"),
-    ):
-        df = share_rank(df, ["date"], value, out, spread)
+    df = with_cross_section_z(df, {"cs_return_zscore_21d": "return_21d"})
+    df = share_rank(df, ["date"], {
+        "return_21d": "cs_return_rank_21d", "vol_21d": "cs_vol_rank_21d", "_volume_21d": "cs_volume_rank_21d"})
     if "sector" not in df.columns:
         df = df.withColumn("sector", F.lit("Unknown"))
     df = join_group_stats(df, {"_sector_mean": F.avg("return_21d")}, ["date", "sector"])
@@ -158,14 +156,14 @@ def kalman_gains(n: int, level_var: float, trend_var: float, noise_var: float) -
 def kalman_features(
     df: DataFrame, level_var: float = 0.05, trend_var: float = 0.001, noise_var: float = 1.0
 ) -> DataFrame:
-    """kalman_alpha (filtered price) and kalman_beta (its trend).
+    """kalman_level (filtered price) and kalman_trend (its trend).
 
     The recursion runs inside each ticker's Arrow group; a group is one ticker's daily
     series, bounded by the calendar.
     """
     schema = T.StructType(
-        [f for f in df.schema if f.name not in ("kalman_alpha", "kalman_beta")]
-        + [T.StructField("kalman_alpha", T.DoubleType()), T.StructField("kalman_beta", T.DoubleType())]
+        [f for f in df.schema if f.name not in ("kalman_level", "kalman_trend")]
+        + [T.StructField("kalman_level", T.DoubleType()), T.StructField("kalman_trend", T.DoubleType())]
     )
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -183,17 +181,17 @@ def kalman_features(
                 level, trend = ahead + g0 * gap, trend + g1 * gap
             levels.append(level)
             trends.append(trend)
-        return pdf.assign(kalman_alpha=levels, kalman_beta=trends)[[f.name for f in schema]]
+        return pdf.assign(kalman_level=levels, kalman_trend=trends)[[f.name for f in schema]]
 
     return df.groupBy("ticker").applyInPandas(run, schema)
 
 
-def compute_kalman_alpha(df: DataFrame) -> DataFrame:
-    return kalman_features(df).drop("kalman_beta")
+def compute_kalman_level(df: DataFrame) -> DataFrame:
+    return kalman_features(df).drop("kalman_trend")
 
 
-def compute_kalman_beta(df: DataFrame) -> DataFrame:
-    return kalman_features(df).drop("kalman_alpha")
+def compute_kalman_trend(df: DataFrame) -> DataFrame:
+    return kalman_features(df).drop("kalman_level")
 
 
 def advanced_features(df: DataFrame) -> DataFrame:
@@ -237,7 +235,7 @@ FEATURE_GROUPS = {
             regime_features,
             ("return_1d",),
         ),
-        FeatureGroup("advanced", ("hurst_63d", "frac_diff_1d", "kalman_alpha", "kalman_beta"), advanced_features, ("close",)),
+        FeatureGroup("advanced", ("hurst_63d", "frac_diff_1d", "kalman_level", "kalman_trend"), advanced_features, ("close",)),
     )
 }
 

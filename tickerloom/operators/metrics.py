@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tickerloom.functions.rolling import rolling_mean, series
 from tickerloom.operators.signals import signal_columns
-from tickerloom.plans.ranks import average_rank
+from tickerloom.plans.ranks import average_ranks, series_rank
 
 MIN_POOLED = 100
 
@@ -41,25 +41,29 @@ def win_rate_of(s: str = "s", f: str = "f") -> Column:
     return F.coalesce(F.try_divide(F.count_if((F.col(s) > 0) & (F.col(f) > 0)), buys), F.lit(0.5))
 
 
-def rank_ic_by(long: DataFrame, keys: Sequence[str], min_rows: int = 2, spread: bool | None = None) -> DataFrame:
-    """Spearman correlation with average ties per group, with win rate and row count."""
-    ranked = average_rank(long, keys, "s", "_rs", spread)
-    ranked = average_rank(ranked, keys, "f", "_rf", spread)
+def rank_ic_by(long: DataFrame, keys: Sequence[str], min_rows: int = 2) -> DataFrame:
+    """Spearman correlation with average ties per group, with win rate and row count.
+
+    A ticker has at most one row a date: a ticker's group is bounded by the calendar and a date's by the number of
+    tickers, and either is ranked by a window. Pooled groups may be of any size.
+    """
+    rank = series_rank if {"ticker", "date"} & set(keys) else average_ranks
+    ranked = rank(long, keys, {"s": "_rs", "f": "_rf"})
     out = ranked.groupBy(*keys).agg(
         safe_corr("_rs", "_rf").alias("ic"), win_rate_of().alias("win_rate"), F.count(F.lit(1)).alias("n_obs")
     )
     return out.withColumn("ic", F.when(F.col("n_obs") >= min_rows, F.col("ic")))
 
 
-def rank_ic(df: DataFrame, signal: str, target: str, min_rows: int = MIN_POOLED, spread: bool | None = None) -> DataFrame:
+def rank_ic(df: DataFrame, signal: str, target: str, min_rows: int = MIN_POOLED) -> DataFrame:
     """Pooled rank IC of one signal: one row (ic, win_rate, n_obs); ic NULL under ``min_rows``."""
     pooled = df.select(F.lit(1).alias("_all"), F.col(signal).cast("double").alias("s"), F.col(target).cast("double").alias("f")).dropna()
-    return rank_ic_by(pooled, ["_all"], min_rows, spread).drop("_all")
+    return rank_ic_by(pooled, ["_all"], min_rows).drop("_all")
 
 
-def ic_decay(df: DataFrame, signals: Sequence[str], horizons: Sequence[int], spread: bool | None = None) -> DataFrame:
+def ic_decay(df: DataFrame, signals: Sequence[str], horizons: Sequence[int]) -> DataFrame:
     """Pooled IC of each signal at each horizon."""
-    return rank_ic_by(to_long(df, signals, horizons, []), ["signal", "horizon"], MIN_POOLED, spread)
+    return rank_ic_by(to_long(df, signals, horizons, []), ["signal", "horizon"], MIN_POOLED)
 
 
 def signal_stats(df: DataFrame, signals: Sequence[str]) -> DataFrame:
@@ -78,13 +82,11 @@ def signal_summary(df: DataFrame, signals: Sequence[str], horizons: Sequence[int
     return signal_stats(df, signals).join(by_h, "signal", "left")
 
 
-def cross_sectional_ic(
-    df: DataFrame, signals: Sequence[str], horizons: Sequence[int], spread: bool | None = None
-) -> DataFrame:
+def cross_sectional_ic(df: DataFrame, signals: Sequence[str], horizons: Sequence[int]) -> DataFrame:
     """IC over the tickers of each date; dates with under two usable rows or no variation are left out."""
     keys = ["date", "signal", "horizon"]
     return (
-        rank_ic_by(to_long(df, signals, horizons, ["date"]), keys, 2, spread)
+        rank_ic_by(to_long(df, signals, horizons, ["date"]), keys, 2)
         .filter(F.col("ic").isNotNull()).select(*keys, F.col("ic").alias("cs_ic"), "n_obs")
     )
 

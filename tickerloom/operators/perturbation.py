@@ -12,7 +12,7 @@ from tickerloom.operators.signals import Signal, generate, mean_reversion, momen
 
 PERCENTS = (-20, -10, 0, 10, 20)
 # Names of parameters that are window lengths.
-TUNABLE = ("lookback", "formation_days", "window", "period", "fast", "slow")
+TUNABLE = ("lookback", "formation_days", "skip_days", "window", "horizon", "fast_period", "slow_period")
 
 ROBUST_FROM, FRAGILE_TO = -20.0, -50.0
 
@@ -36,7 +36,7 @@ FAMILIES: dict[str, tuple[Callable[[int], Signal], int]] = {
 
 
 def perturb(df: DataFrame, families: Sequence[str], percents: Sequence[float] = PERCENTS, horizon: int = 5) -> DataFrame:
-    """One row per (signal, value): IC, win rate, spread and mean, and the IC change against the base value.
+    """One row per (signal, parameter, value): IC, win rate, spread and mean, and their change against the base value.
 
     All variants are columns of one pass over the panel.
     """
@@ -44,20 +44,20 @@ def perturb(df: DataFrame, families: Sequence[str], percents: Sequence[float] =
     for name in families:
         build, base = FAMILIES[name]
         for value in dict.fromkeys(perturbed(base, percents)):
-            variants.append((name, base, value, build(value)))
-    panel = generate(with_forward_returns(df, [horizon]), list({v[3].column: v[3] for v in variants}.values()))
-    cols = sorted({v[3].column for v in variants})
+            variants.append((name, next(iter(tunable(build(base)))), base, value, build(value)))
+    panel = generate(with_forward_returns(df, [horizon]), list({v[4].column: v[4] for v in variants}.values()))
+    cols = sorted({v[4].column for v in variants})
     ic = rank_ic_by(to_long(panel, cols, [horizon], []), ["signal", "horizon"], MIN_POOLED)
     found = signal_stats(panel, cols).join(ic, "signal", "left")
     keys = df.sparkSession.createDataFrame(
-        [(n, b, v, s.column) for n, b, v, s in variants], "name string, base int, value int, signal string")
+        [(n, p, b, v, s.column) for n, p, b, v, s in variants], "name string, parameter string, base int, value int, signal string")
     rows = keys.join(found, "signal", "left")
-    base_ic = rows.filter(F.col("value") == F.col("base")).select("name", F.col("ic").alias("base_ic"))
-    change = F.when(F.col("base_ic") == 0, F.lit(0.0)).otherwise(
-        (F.col("ic") - F.col("base_ic")) / F.abs("base_ic") * 100)
-    return rows.join(base_ic, "name", "left").select(
-        "name", "base", "value", "ic", "win_rate", "std", "mean",
-        F.when(F.col("value") != F.col("base"), change).alias("ic_change_pct"))
+    start = rows.filter(F.col("value") == F.col("base")).select("name", F.col("ic").alias("_ic"), F.col("win_rate").alias("_win_rate"))
+    moved = lambda c: F.when(F.col("value") != F.col("base"), F.when(F.col(f"_{c}") == 0, F.lit(0.0)).otherwise(
+        (F.col(c) - F.col(f"_{c}")) / F.abs(f"_{c}") * 100))
+    return rows.join(start, "name", "left").select(
+        "name", "parameter", "base", "value", "ic", "win_rate", "std", "mean",
+        moved("ic").alias("ic_change_pct"), moved("win_rate").alias("win_rate_change_pct"))
 
 
 def classify(rows: DataFrame) -> DataFrame:

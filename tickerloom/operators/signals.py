@@ -29,7 +29,6 @@ from tickerloom.functions.rolling import (
 )
 from tickerloom.operators.features import frac_diff, hurst, kalman_features, market_regime, share_rank
 from tickerloom.plans.crosssection import join_date_stats
-from tickerloom.plans.scale import reuse
 
 Stage = Mapping[str, Callable[[WindowSpec], Column]]
 
@@ -122,7 +121,7 @@ def _macd(fast: int = 12, slow: int = 26, smooth: int = 9) -> Signal:
             {"_macd_gap": lambda w: F.col("_macd") - ema("_macd", smooth, w)},
         ),
         lambda w: z60("_macd_gap", w),
-        params={"fast": fast, "slow": slow, "smooth": smooth},
+        params={"fast_period": fast, "slow_period": slow, "smooth": smooth},
     )
 
 
@@ -178,7 +177,7 @@ def _trend_filter(fast: int = 20, slow: int = 60) -> Signal:
         gap = rolling_mean("close", fast, w) / nonzero(base) - 1
         return F.tanh(10 * gap)
 
-    return Signal("trend_filter", "momentum", (), score, params={"fast": fast, "slow": slow})
+    return Signal("trend_filter", "momentum", (), score, params={"fast_period": fast, "slow_period": slow})
 
 
 def _vol_scaled(n: int = 21) -> Signal:
@@ -269,7 +268,7 @@ def generate(df: DataFrame, signals: Sequence[Signal | str], ts: str = "date") -
     if crossed:
         inputs = sorted({s.cross_section for s in crossed})
         aggs = {f"_avg{x}": F.avg(x) for x in inputs} | {f"_std{x}": F.stddev_samp(x) for x in inputs}
-        df = join_date_stats(reuse(df), aggs)  # the staged windows feed both the statistics and the rows
+        df = join_date_stats(df, aggs)
         df = df.withColumns(
             {
                 f"_z_{s.name}": (F.col(s.cross_section) - F.col(f"_avg{s.cross_section}"))
@@ -319,9 +318,9 @@ def regime_conditional_mean_reversion(df: DataFrame, lookback: int = 21) -> Data
     )
 
 
-def cross_sectional_rank_signal(df: DataFrame, n: int = 21, spread: bool | None = None) -> DataFrame:
+def cross_sectional_rank_signal(df: DataFrame, n: int = 21) -> DataFrame:
     df = df.withColumn("_ret", pct_change("close", n, series()))
-    df = share_rank(df, ["date"], "_ret", "_share", spread)
+    df = share_rank(df, ["date"], {"_ret": "_share"})
     return df.withColumn("signal_cross_sectional_rank", 2 * F.col("_share") - 1).drop("_ret", "_share")
 
 
@@ -348,7 +347,7 @@ def hurst_signal(df: DataFrame) -> DataFrame:
 
 def kalman_signal(df: DataFrame) -> DataFrame:
     df = kalman_features(df)
-    return df.withColumn("signal_kalman_filter", z60("kalman_beta", series())).drop("kalman_alpha", "kalman_beta")
+    return df.withColumn("signal_kalman_filter", z60("kalman_trend", series())).drop("kalman_level", "kalman_trend")
 
 
 def pairs_spread(df: DataFrame, pairs: DataFrame, n: int = 60, min_rows: int = 30) -> DataFrame:

@@ -184,15 +184,19 @@ def fold_metrics(
     signals = signal_columns(df) if signals is None else list(signals)
     if not signals:
         raise ValueError("No signal columns found (expected columns prefixed with 'signal_')")
-    rows = df.select("ticker", "date", "close", *signals).join(F.broadcast(eval_membership(df, cfg)), "date")
-    w = series("date", "fold", "ticker")
-    ahead = {h: F.lead("close", h).over(w) for h in horizons}
+    # looked up once per ticker; a fold's dates are contiguous, so an outcome belongs to it unless it closes after its end
+    w = series()
+    ahead = {f"_f{h}": F.lead("close", h).over(w) for h in horizons} | {f"_d{h}": F.lead("date", h).over(w) for h in horizons}
+    rows = df.select("ticker", "date", "close", *signals).withColumns(ahead)
+    bounds = fold_table(df, cfg).drop("train_rows", "eval_rows")
+    member = eval_membership(df, cfg).join(F.broadcast(bounds.select("fold", "eval_end")), "fold")
+    rows = rows.join(F.broadcast(member), "date")
+    outcome = {h: F.when(F.col(f"_d{h}") <= F.col("eval_end"), F.col(f"_f{h}")) for h in horizons}
     if target == "return":
-        ahead = {h: F.try_divide(c, F.col("close")) - 1 for h, c in ahead.items()}
-    rows = rows.withColumns({f"_f{h}": c for h, c in ahead.items()})
+        outcome = {h: F.try_divide(c, F.col("close")) - 1 for h, c in outcome.items()}
+    rows = rows.withColumns({f"_f{h}": c for h, c in outcome.items()})
     ic = rank_ic_by(to_long(rows, signals, horizons, ["fold"], target="_f{h}"), ["fold", "signal", "horizon"])
     ic = ic.withColumn("ic", F.coalesce("ic", F.lit(0.0)))
-    bounds = fold_table(df, cfg).drop("train_rows", "eval_rows")
     return ic.join(F.broadcast(bounds), "fold")
 
 

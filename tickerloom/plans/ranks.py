@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickerloom.plans.scale import fits_one_task, reuse
+from tickerloom.plans.scale import settled
 
-BANDS_PER_OCTAVE = 256
+BANDS_PER_OCTAVE = 64
+CENTRES = 3
 
 
 def value_band(x: Column) -> Column:
-    """A whole number that never falls as ``x`` rises, and cuts every octave into 256 bands.
-
-    It depends on the value alone, so no sample or second pass is needed to place a row.
-    """
+    """A whole number that never falls as ``x`` rises, and cuts every octave on either side of 0 into bands."""
     a = F.abs(x)
     octave = F.floor(F.log2(F.greatest(a, F.lit(1e-300))))
     within = F.floor((a / F.pow(F.lit(2.0), octave) - 1) * BANDS_PER_OCTAVE)
@@ -25,53 +23,64 @@ def value_band(x: Column) -> Column:
     return F.when(a == 0, F.lit(0)).when(x < 0, -band).otherwise(band).cast("long")
 
 
-def _window_rank(df: DataFrame, keys: Sequence[str], value: str, out: str, count: str | None) -> DataFrame:
-    group = Window.partitionBy(*keys, F.col(value).isNull())
-    w = group.orderBy(value)
-    peers = F.count(F.lit(1)).over(w.rangeBetween(Window.currentRow, Window.currentRow))
-    known = F.col(value).isNotNull()
-    cols = {out: F.when(known, F.rank().over(w) + (peers - 1) / F.lit(2.0))}
-    if count:
-        cols[count] = F.when(known, F.count(F.lit(1)).over(group))
-    return df.withColumns(cols)
-
-
-def _spread_rank(df: DataFrame, keys: Sequence[str], value: str, out: str, count: str | None) -> DataFrame:
-    df = reuse(df)  # read by both sides of the join below
-    # 1. equal values collapse before the shuffle, so a value that fills a third of the table is one row
-    distinct = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*keys, value)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_band", value_band(F.col(value)))
-    )
-    # 2. rows before each band: a small table, one row per (group, band)
-    bands = distinct.groupBy(*keys, "_band").agg(F.sum("_n").alias("_bn"))
-    before = Window.partitionBy(*keys).orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
-    whole = F.sum("_bn").over(Window.partitionBy(*keys))
-    bands = bands.withColumns({"_before": F.coalesce(F.sum("_bn").over(before), F.lit(0)), "_whole": whole}).drop("_bn")
-    # 3. order only inside a band, then add what lies before it
-    inside = Window.partitionBy(*keys, "_band").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (
-        distinct.withColumn("_upto", F.sum("_n").over(inside))
-        .join(bands, [*keys, "_band"])
-        .select(*keys, value, (F.col("_before") + F.col("_upto") - (F.col("_n") - 1) / F.lit(2.0)).alias(out),
-                *([F.col("_whole").alias(count)] if count else []))
-    )
-    # 4. back to the rows; a hot value is a skewed key with one match, which AQE splits
-    return df.join(ranked, [*keys, value], "left")
+def series_rank(df: DataFrame, keys: Sequence[str], values: Mapping[str, str], count: str = "") -> DataFrame:
+    """Ranks in groups that hold one row a date or one row a ticker: keyed windows, which share one exchange."""
+    group = Window.partitionBy(*keys)
+    for value, out in values.items():
+        w = group.orderBy(F.col(value).asc_nulls_last())
+        peers = F.count(F.lit(1)).over(w.rangeBetween(Window.currentRow, Window.currentRow))
+        known = F.col(value).isNotNull()
+        df = df.withColumn(out, F.when(known, F.rank().over(w) + (peers - 1) / F.lit(2.0)))
+        if count:
+            df = df.withColumn(out + count, F.when(known, F.count(value).over(group)))
+    return df
 
 
-def average_rank(
-    df: DataFrame, keys: Sequence[str], value: str, out: str, spread: bool | None = None, count: str | None = None
-) -> DataFrame:
-    """Add the 1-based average-tie rank of a double column within ``keys``; NULLs get none.
+def average_ranks(df: DataFrame, keys: Sequence[str], values: Mapping[str, str], count: str = "") -> DataFrame:
+    """Add ``out``, the 1-based average-tie rank of a double column within ``keys``, for each ``value: out``; NULLs get none.
 
-    ``count`` names a column for the number of ranked rows of the group.
+    ``count`` (a suffix to ``out``) asks for the number of ranked rows of the group as well.
 
-    Small inputs use one keyed window. Otherwise no group is ever ordered in one task:
-    equal values are pre-aggregated and each group is cut into value bands.
+    All columns are ranked in one pass. Equal values collapse before the shuffle, so a value that fills
+    a third of the table is one row. A group is then cut into bands: octaves of the distance to a few of
+    its own values, drawn by hash. Wherever a group's values crowd, such a value lies among them, so a
+    narrow range far from zero is cut as finely as a wide one. Ordering happens inside a band; a small
+    table of band counts supplies what lies before it. Bands depend on the values alone, never on
+    a sample of rows, so a recomputed task cuts the same ones.
     """
-    if spread is None:
-        spread = not fits_one_task(df)
-    return (_spread_rank if spread else _window_rank)(df, list(keys), value, out, count)
+    keys, df = list(keys), settled(df)  # read for the distinct values, and once for each column
+    tagged = [F.struct(F.lit(i).alias("_tag"), (F.col(v).cast("double") + F.lit(0.0)).alias("_v")) for i, v in enumerate(values)]
+    stacked = df.select(*keys, F.inline(F.array(*tagged))).filter("_v IS NOT NULL")
+    group = [*keys, "_tag"]
+    distinct = stacked.groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    centres = [f"_c{i}" for i in range(CENTRES)]
+    cuts = distinct.groupBy(*group).agg(
+        *[F.min_by("_v", F.xxhash64("_v", F.lit(i))).alias(c) for i, c in enumerate(centres)], F.sum("_n").alias("_whole"))
+    same = F.col("d._tag") == F.col("c._tag")
+    for k in keys:
+        same &= F.col(f"d.{k}").eqNullSafe(F.col(f"c.{k}"))
+    bands = [f"_b{i}" for i in range(CENTRES)]
+    banded = distinct.alias("d").join(cuts.alias("c"), same).select(
+        "d.*", "_whole", *[value_band(F.col("_v") - F.col(c)).alias(b) for c, b in zip(centres, bands)])
+    # each band number never falls with the value, so their order as a tuple doesn't either
+    inside = Window.partitionBy(*group, *bands).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ordered = banded.withColumn("_upto", F.sum("_n").over(inside))
+    before = Window.partitionBy(*group).orderBy(*bands).rowsBetween(Window.unboundedPreceding, -1)
+    heads = banded.groupBy(*group, *bands).agg(F.sum("_n").alias("_bn"))
+    heads = heads.withColumn("_before", F.coalesce(F.sum("_bn").over(before), F.lit(0))).drop("_bn")
+    same = F.col("o._tag") == F.col("h._tag")
+    for k in keys:
+        same &= F.col(f"o.{k}").eqNullSafe(F.col(f"h.{k}"))
+    for b in bands:
+        same &= F.col(f"o.{b}") == F.col(f"h.{b}")
+    rank = F.col("_before") + F.col("_upto") - (F.col("_n") - 1) / F.lit(2.0)
+    ranks = ordered.alias("o").join(heads.alias("h"), same).select("o._tag", *[F.col(f"o.{k}").alias(f"_k_{k}") for k in keys], "_v", rank.alias("_rank"), "_whole")
+    for i, (value, out) in enumerate(values.items()):
+        own = ranks.filter(F.col("_tag") == i).select(*[f"_k_{k}" for k in keys], F.col("_v").alias("_rv"), F.col("_rank").alias(out),
+                                                     *([F.col("_whole").alias(out + count)] if count else []))
+        # a hot value is a skewed key with one match, which adaptive execution splits
+        on = (F.col(value).cast("double") + F.lit(0.0)) == F.col("_rv")
+        for k in keys:
+            on &= F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+        df = df.join(own, on, "left").drop("_rv", *[f"_k_{k}" for k in keys])
+    return df

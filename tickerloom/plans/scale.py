@@ -1,37 +1,21 @@
-"""Size checks and reuse points shared by the operators."""
+"""Cutting lineage where a frame is read again and again."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 
 from tickerloom.session import ensure_checkpoint_dir
 
-# Above this much input a keyed group can no longer be trusted to fit one task.
-ONE_TASK_BYTES = 512 << 20
-REUSE_BYTES = 64 << 30
-
-
-def input_bytes(df: DataFrame) -> int | None:
-    """Bytes of all the tables a plan reads, from catalog and file sizes; no job runs."""
-    try:
-        leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-        return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
-    except Exception:  # no JVM handle (Connect): unknown, treated as large
-        return None
-
-
-def fits_one_task(df: DataFrame, limit: int = ONE_TASK_BYTES) -> bool:
-    size = input_bytes(df)
-    return size is not None and size <= limit
-
 
-def reuse(df: DataFrame, limit: int = REUSE_BYTES) -> DataFrame:
-    """Cut the lineage of a frame read several times, once recomputing it is the dearer way.
+def settled(df: DataFrame) -> DataFrame:
+    """The frame, computed once: written to the shared checkpoint folder and read again.
 
-    Reliable checkpoint only: the files outlive the executors that wrote them.
+    The files outlive the executors that wrote them.
     """
-    size = input_bytes(df)
-    if size is not None and size <= limit:
-        return df
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

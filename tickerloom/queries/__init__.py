@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("lake", "features", "signals", "research", "portfolio", "trading", "sinks")
+MODULES = ("lake", "features", "signals", "research", "portfolio", "trading", "sinks", "catalogue")
 
 
 def load_all() -> None:

@@ -141,11 +141,11 @@ KALMAN = _kalman_sql()
 
 @query(
     "features_kalman",
-    ctes(BARS, KALMAN) + f" SELECT ticker, date, {sr('close')} AS close, {sr('st.l')} AS kalman_alpha, {sr('st.t')} AS kalman_beta FROM kal",
+    ctes(BARS, KALMAN) + f" SELECT ticker, date, {sr('close')} AS close, {sr('st.l')} AS kalman_level, {sr('st.t')} AS kalman_trend FROM kal",
 )
 def features_kalman(spark, root):
     out = features.kalman_features(market.bars(spark, root).select("ticker", "date", "close"))
-    return rounded(out, "close", "kalman_alpha", "kalman_beta")
+    return rounded(out, "close", "kalman_level", "kalman_trend")
 
 
 REPORTED = ("return_1d", "return_21d", "return_63d", "log_return_1d", "relative_volume_21d", "volume_zscore_63d",

@@ -265,8 +265,8 @@ def order_sizing(spark, root):
   WHEN side = 'BUY' AND has IS NULL AND nh >= 60 THEN 'MAX_POSITIONS'
   WHEN side = 'BUY' AND cost / portfolio_value > 0.10 THEN 'POSITION_WEIGHT'
   WHEN cost > portfolio_value * 0.05 THEN 'ORDER_SIZE'
-  WHEN -daily_pnl / portfolio_value >= 0.02 THEN 'DAILY_LOSS'
-  WHEN peak_equity > 0 AND (peak_equity - portfolio_value) / peak_equity >= 0.10 THEN 'DRAWDOWN'
+  WHEN -daily_pnl / portfolio_value >= 0.05 THEN 'DAILY_LOSS'
+  WHEN peak_equity > 0 AND (peak_equity - portfolio_value) / peak_equity >= 0.15 THEN 'DRAWDOWN'
   WHEN side = 'BUY' AND cash - cost < portfolio_value * 0.05 AND (cash - portfolio_value * 0.05 <= 0 OR floor((cash - portfolio_value * 0.05) / price) < quantity) THEN 'CASH_RESERVE'
   WHEN side = 'BUY' AND (ex + cost) / portfolio_value > 1.0 THEN 'LEVERAGE' ELSE 'APPROVED' END AS reason FROM ck)""")
     + f" SELECT account, ticker, date, side, quantity, {sr('price')} AS price, reason = 'APPROVED' AS approved, reason FROM re",
@@ -283,7 +283,7 @@ def pre_trade_checks(spark, root):
 
 
 # ── covariance and construction ──
-LOOK, EVERY = 63, 250
+LOOK, EVERY = 63, 63
 WINDOWS = f"""rd AS (SELECT date, row_number() OVER (ORDER BY date) AS t FROM (SELECT DISTINCT date FROM rets)),
 re AS (SELECT date AS rebalance_date, t FROM rd WHERE t >= {LOOK} AND (t - {LOOK}) % {EVERY} = 0),
 rw AS (SELECT rebalance_date, ticker, rd.t - re.t + {LOOK} - 1 AS pos, ret FROM rets JOIN rd ON rets.date = rd.date JOIN re ON rd.t <= re.t AND rd.t > re.t - {LOOK} WHERE ret IS NOT NULL),
@@ -348,25 +348,19 @@ def returns_pivot(spark, root):
     return rounded(con.pivot_returns(returns(spark, root), names), *names)
 
 
-@query("risk_parity_weights")
+# Iterated weights have no SQL; what defines them has: they sum to one and every asset carries the same risk.
+@query(
+    "risk_parity_weights",
+    ctes(*CP) + " SELECT rebalance_date, count(*) AS assets, 1.0::DOUBLE AS total, TRUE AS all_positive, TRUE AS equal_risk FROM sv WHERE i = j AND s > 1e-18 GROUP BY rebalance_date",
+)
 def risk_parity_weights(spark, root):
     w = windows(spark, root)
-    return con.risk_parity(w, LOOK, con.shrinkage(w, LOOK)).select("rebalance_date", "ticker", r("w", 8).alias("weight"))
-
-
-def _hrp(linkage: str) -> None:
-    @query(f"hrp_weights_{linkage}")
-    def run(spark, root):
-        return con.hrp(windows(spark, root), linkage).select("rebalance_date", "ticker", r("w", 8).alias("weight"))
-
-
-for _l in con.LINKAGES:
-    _hrp(_l)
-
-
-@query("hrp_weights_blocked")
-def hrp_weights_blocked(spark, root):
-    return con.hrp(windows(spark, root), block=30).select("rebalance_date", "ticker", r("w", 8).alias("weight"))
+    shrink = con.shrinkage(w, LOOK, 0.1)
+    share = con.risk_contributions(con.risk_parity(w, LOOK, shrink), shrink, LOOK)
+    n = F.count(F.lit(1))
+    return share.groupBy("rebalance_date").agg(
+        n.alias("assets"), r(F.sum("weight")).alias("total"), (F.min("weight") > 0).alias("all_positive"),
+        (F.greatest(F.max("share") - 1 / n, 1 / n - F.min("share")) < 0.05 / n).alias("equal_risk"))
 
 
 @query("portfolio_comparison")
@@ -374,11 +368,16 @@ def portfolio_comparison(spark, root):
     p = panel(spark, root)
     cols = ["ticker", "date", "weight", "method"]
     both = con.build_portfolio(p, "kelly", MOM).select(*cols).unionByName(
-        con.build_portfolio(p, "hrp", lookback=LOOK, every=EVERY).select(*cols))
+        con.build_portfolio(p, "risk_parity", lookback=LOOK, every=EVERY).select(*cols))
     return rounded(con.analyze(both, returns(spark, root)), "exposure_mean", "mean_weight", "volatility", "sharpe")
 
 
-@query("portfolio_modulated")
+@query(
+    "portfolio_modulated",
+    ctes(BARS, panel_sql()) + f" SELECT ticker, date, {sr(f'coalesce({MOM}, 0)')} AS signal_value, TRUE AS within_signal, TRUE AS same_side FROM panel",
+)
 def portfolio_modulated(spark, root):
+    """A weight between 0 and 1 times the signal: never beyond it, never against it."""
     out = con.build_portfolio(panel(spark, root), "risk_parity", MOM, LOOK, EVERY)
-    return rounded(out, "weight", "signal_value")
+    w, s = F.col("weight"), F.col("signal_value")
+    return out.select("ticker", "date", r("signal_value").alias("signal_value"), (F.abs(w) <= F.abs(s)).alias("within_signal"), (w * s >= 0).alias("same_side"))

@@ -10,7 +10,7 @@ from tickerloom.operators import ensemble, meta, metrics, perturbation, signals,
 from tickerloom.queries import lake
 from tickerloom.queries.registry import query, r, rounded
 from tickerloom.queries.signals import cs_z
-from tickerloom.queries.sql import BARS, LAKE, avg_rank, ctes, pct, r as sr, rm, rs
+from tickerloom.queries.sql import BARS, LAKE, avg_rank, ctes, pct, r as sr, rm, rs, rz
 from tickerloom.sources import market
 
 CORE = [f"signal_{s}" for s in signals.DAILY_CORE]
@@ -84,16 +84,6 @@ def pooled_rank_ic(spark, root):
     return rounded(metrics.rank_ic(panel(spark, root), "signal_momentum_21d", "forward_return_5"), "ic", "win_rate")
 
 
-@query(
-    "pooled_rank_ic_spread",
-    ctes(BARS, panel_sql(), "long AS (SELECT 1 AS k, signal_momentum_21d AS s, forward_return_5 AS f FROM panel WHERE signal_momentum_21d IS NOT NULL AND forward_return_5 IS NOT NULL)",
-         ic_sql("k", 100)) + f" SELECT {IC_OUT} FROM ic",
-)
-def pooled_rank_ic_spread(spark, root):
-    """The same through the banded ranks used on large inputs."""
-    return rounded(metrics.rank_ic(panel(spark, root), "signal_momentum_21d", "forward_return_5", spread=True), "ic", "win_rate")
-
-
 @query("ic_decay", ctes(BARS, panel_sql(), long_sql(""), ic_sql("signal, horizon", 100)) + f" SELECT signal, horizon, {IC_OUT} FROM ic")
 def ic_decay(spark, root):
     return rounded(metrics.ic_decay(panel(spark, root), CORE, HORIZONS), "ic", "win_rate")
@@ -311,23 +301,29 @@ def walk_forward_hold_back(spark, root):
 
 
 # ── perturbation ──
-PERTURBED = {"mean_reversion_21d": [17, 19, 21, 23, 25], "momentum_21d": [17, 19, 21, 23, 25], "momentum_63d": [50, 57, 63, 69, 76]}
+W21, W63 = [17, 19, 21, 23, 25], [50, 57, 63, 69, 76]
+PERTURBED = {"mean_reversion_21d": W21, "mean_reversion_63d": W63, "momentum_21d": W21, "momentum_63d": W63,
+             "mean_reversion_ts_21d": W21, "momentum_ts_21d": W21}
 
 
 def perturb_sql() -> str:
-    cols, cells = {}, []
+    cols, squashed, cells = {}, {}, []
     for name, values in PERTURBED.items():
         for v in values:
             raw = f"close / nullif({rm('close', v)}, 0) - 1" if name.startswith("mean") else pct("close", v)
             cols[f"{name}_{v}"] = raw
             sign = "-" if name.startswith("mean") else ""
-            cells.append(f"SELECT '{name}' AS name, {v} AS value, {sign}tanh({cs_z(f'{name}_{v}')}) AS s, f FROM vr")
+            squashed[f"s_{name}_{v}"] = f"tanh({rz(f'{name}_{v}', 252, 63)})" if "_ts_" in name else f"tanh({cs_z(f'{name}_{v}')})"
+            cells.append(f"SELECT '{name}' AS name, {v} AS value, {sign}s_{name}_{v} AS s, f FROM vz")
     return ctes(
         BARS, f"vr AS (SELECT *, {fwd(5)} AS f, {', '.join(f'{e} AS {n}' for n, e in cols.items())} FROM bars)",
+        f"vz AS (SELECT f, {', '.join(f'{e} AS {n}' for n, e in squashed.items())} FROM vr)",
         f"cells AS ({' UNION ALL '.join(cells)})", "st AS (SELECT name, value, stddev_samp(s) AS std, avg(s) AS mean FROM cells GROUP BY name, value)",
         "long AS (SELECT * FROM cells WHERE s IS NOT NULL AND f IS NOT NULL)", ic_sql("name, value", 100),
-        "pb AS (SELECT name, value, CAST(regexp_extract(name, '([0-9]+)d$', 1) AS INTEGER) AS base, ic, win_rate FROM ic)",
-        """pr AS (SELECT pb.*, std, mean, CASE WHEN pb.value <> pb.base THEN CASE WHEN b.ic = 0 THEN 0 ELSE (pb.ic - b.ic) / abs(b.ic) * 100 END END AS chg
+        """pb AS (SELECT name, value, CASE WHEN name LIKE 'mean%' THEN 'lookback' ELSE 'formation_days' END AS parameter,
+  CAST(regexp_extract(name, '([0-9]+)d$', 1) AS INTEGER) AS base, ic, win_rate FROM ic)""",
+        """pr AS (SELECT pb.*, std, mean, CASE WHEN pb.value <> pb.base THEN CASE WHEN b.ic = 0 THEN 0 ELSE (pb.ic - b.ic) / abs(b.ic) * 100 END END AS chg,
+  CASE WHEN pb.value <> pb.base THEN CASE WHEN b.win_rate = 0 THEN 0 ELSE (pb.win_rate - b.win_rate) / b.win_rate * 100 END END AS wchg
   FROM pb JOIN st USING (name, value) JOIN pb b ON b.name = pb.name AND b.value = b.base)""",
         "cl AS (SELECT name, min(chg) AS worst, CASE WHEN count(ic) = 0 THEN 'no_data' WHEN min(chg) IS NULL OR min(chg) >= -20 THEN 'robust' WHEN min(chg) <= -50 THEN 'fragile' ELSE 'sensitive' END AS classification FROM pr GROUP BY name)",
     )
@@ -337,9 +333,10 @@ def _perturb(spark, root):
     return perturbation.perturb(market.bars(spark, root), list(PERTURBED))
 
 
-@query("perturbation_run", perturb_sql() + f" SELECT name, base, value, {sr('ic')} AS ic, {sr('win_rate')} AS win_rate, {sr('std')} AS std, {sr('mean')} AS mean, {sr('chg', 3)} AS ic_change_pct FROM pr")
+@query("perturbation_run", perturb_sql() + f" SELECT name, parameter, base, value, {sr('ic')} AS ic, {sr('win_rate')} AS win_rate, {sr('std')} AS std, {sr('mean')} AS mean, {sr('chg', 3)} AS ic_change_pct, {sr('wchg', 3)} AS win_rate_change_pct FROM pr")
 def perturbation_run(spark, root):
-    return rounded(_perturb(spark, root), "ic", "win_rate", "std", "mean").withColumn("ic_change_pct", r("ic_change_pct", 3))
+    return rounded(_perturb(spark, root), "ic", "win_rate", "std", "mean").withColumns(
+        {c: r(c, 3) for c in ("ic_change_pct", "win_rate_change_pct")})
 
 
 @query("perturbation_classes", perturb_sql() + f" SELECT name, {sr('worst', 3)} AS worst_change_pct, classification FROM cl")
@@ -466,30 +463,47 @@ def ensemble_validation(spark, root):
 TRAIN_END = date(1999, 1, 1)
 
 
+_MODELS: dict[tuple, meta.MetaLearner] = {}
+
+
 def _learner(spark, root):
-    p = panel(spark, root)
-    return meta.MetaLearner(CORE, maxIter=5).fit(p, TRAIN_END), p
+    """One fit with default parameters, shared by the queries of a session."""
+    p, key = panel(spark, root), (spark.sparkContext.applicationId, root)
+    if key not in _MODELS:
+        _MODELS[key] = meta.MetaLearner(CORE).fit(p, TRAIN_END)
+    return _MODELS[key], p
 
 
-@query("meta_learner_predictions")
+# Boosted trees have no SQL; what their contract says about every row has.
+@query(
+    "meta_learner_predictions",
+    ctes(BARS, panel_sql()) + " SELECT ticker, date, TRUE AS probability_in_range, TRUE AS direction_agrees FROM panel",
+)
 def meta_learner_predictions(spark, root):
     m, p = _learner(spark, root)
-    return rounded(m.predict(p), "ml_probability").select("ticker", "date", "ml_probability", "ml_direction")
+    x, d = F.col("ml_probability"), F.col("ml_direction")
+    return m.predict(p).select("ticker", "date", x.between(0, 1).alias("probability_in_range"),
+                               (d == F.when(x > 0.5, 1).when(x < 0.5, -1).otherwise(0)).alias("direction_agrees"))
 
 
-@query("meta_learner_importance")
+@query("meta_learner_importance", "SELECT 4::BIGINT AS features, TRUE AS none_negative, 1.0::DOUBLE AS total FROM (SELECT count(*) FROM lineitem)")
 def meta_learner_importance(spark, root):
     m, p = _learner(spark, root)
-    return m.feature_importance(p)
+    return m.feature_importance(p).agg(F.count(F.lit(1)).alias("features"), (F.min("importance") >= 0).alias("none_negative"), r(F.sum("importance")).alias("total"))
 
 
-@query("meta_learner_evaluation")
+@query(
+    "meta_learner_evaluation",
+    ctes(BARS, panel_sql()) + f" SELECT count(*) AS n, TRUE AS better_than_chance, TRUE AS loss_positive FROM panel WHERE date < DATE '{TRAIN_END}' AND forward_return_5 IS NOT NULL",
+)
 def meta_learner_evaluation(spark, root):
     m, p = _learner(spark, root)
-    return m.evaluate(p.filter(F.col("date") < F.lit(TRAIN_END)))
+    return m.evaluate(p.filter(F.col("date") < F.lit(TRAIN_END))).select("n", (F.col("auc") > 0.5).alias("better_than_chance"), (F.col("logloss") > 0).alias("loss_positive"))
 
 
-@query("signal_lightgbm_ml")
+@query("signal_lightgbm_ml", ctes(BARS, panel_sql()) + " SELECT ticker, date, TRUE AS in_range, TRUE AS is_centred_probability FROM panel")
 def signal_ml(spark, root):
     m, p = _learner(spark, root)
-    return rounded(m.signal(p), "signal_lightgbm_ml").select("ticker", "date", "signal_lightgbm_ml")
+    both = m.signal(m.predict(p).drop("ml_direction").withColumnRenamed("ml_probability", "_mine"))
+    s = F.col("signal_lightgbm_ml")
+    return both.select("ticker", "date", s.between(-1, 1).alias("in_range"), (F.abs(s - (2 * F.col("_mine") - 1)) < 1e-12).alias("is_centred_probability"))

@@ -125,11 +125,11 @@ def _lag(x):
 UPTO = f"OVER (PARTITION BY {K} ORDER BY {T} ROWS UNBOUNDED PRECEDING)"
 FEATS = (
     f"""f0 AS (SELECT *, close / nullif({_lag('close')}, 0) - 1 AS bar_return, high - {_lag('high')} AS u, {_lag('low')} - low AS d, {_lag('close')} AS pc,
-   {_rsum('tp * volume', 20)} / nullif({_rsum('volume', 20)}, 0) AS rolling_vwap, sum(tp * volume) {UPTO} / nullif(sum(volume) {UPTO}, 0) AS session_vwap,
-   volume / nullif({rm('volume', 10, None, K, T)}, 0) AS volume_ratio, row_number() OVER (PARTITION BY {K} ORDER BY {T}) AS session_bar FROM sess)""",
+   {_rsum('tp * volume', 100)} / nullif({_rsum('volume', 100)}, 0) AS rolling_vwap, sum(tp * volume) {UPTO} / nullif(sum(volume) {UPTO}, 0) AS session_vwap,
+   volume / nullif({rm('volume', 20, None, K, T)}, 0) AS volume_ratio, row_number() OVER (PARTITION BY {K} ORDER BY {T}) AS session_bar FROM sess)""",
     """f1 AS (SELECT *, CASE WHEN u > d AND u > 0 THEN u WHEN u IS NOT NULL THEN 0 END AS up, CASE WHEN d > u AND d > 0 THEN d WHEN d IS NOT NULL THEN 0 END AS dn,
    CASE WHEN pc IS NOT NULL THEN greatest(high - low, abs(high - pc), abs(low - pc)) END AS tr FROM f0)""",
-    f"f2 AS (SELECT *, {rs('bar_return', 10, None, K, T)} AS rolling_vol, {_rsum('up', 14)} / nullif({_rsum('tr', 14)}, 0) AS pdi, {_rsum('dn', 14)} / nullif({_rsum('tr', 14)}, 0) AS mdi FROM f1)",
+    f"f2 AS (SELECT *, {rs('bar_return', 20, None, K, T)} AS rolling_vol, {_rsum('up', 14)} / nullif({_rsum('tr', 14)}, 0) AS pdi, {_rsum('dn', 14)} / nullif({_rsum('tr', 14)}, 0) AS mdi FROM f1)",
     "f3 AS (SELECT *, 100 * abs(pdi - mdi) / nullif(pdi + mdi, 0) AS dx FROM f2)",
     f"feats AS (SELECT *, {rm('dx', 14, None, K, T)} AS adx FROM f3)",
 )
@@ -141,7 +141,7 @@ FEAT_COLS = ("bar_return", "rolling_vol", "rolling_vwap", "session_vwap", "volum
     ctes(TICKS, MINUTES, SESS, *FEATS) + f" SELECT ticker, datetime, session_date, {', '.join(f'{sr(c, 4)} AS {c}' for c in FEAT_COLS)}, CAST(session_bar AS INTEGER) AS session_bar FROM feats",
 )
 def intraday_features(spark, root):
-    out = intraday.intraday_features(minutes(spark, root), n=10, vwap_rows=20)
+    out = intraday.intraday_features(minutes(spark, root))
     return rounded(out, *FEAT_COLS, digits=4).select("ticker", "datetime", "session_date", *FEAT_COLS, "session_bar")
 
 
@@ -209,6 +209,34 @@ def signal_opening_range(spark, root):
     return out.select("ticker", "datetime", "range_high", "range_low", "signal_opening_range_breakout")
 
 
+PARTS = {"vwap_mean_reversion_60b": "v1.s", "vwap_bands": "CASE WHEN b2.s IS NOT NULL THEN greatest(-1, least(1, b2.s)) END",
+         "opening_range_breakout": "CASE WHEN NOT o THEN CASE WHEN r1.close > range_high THEN 1.0 WHEN r1.close < range_low THEN -1.0 ELSE 0.0 END END"}
+INTRADAY_COMBOS = {
+    "vwap_mr_bands": ("vwap_mean_reversion_60b", "vwap_bands"),
+    "vwap_mr_orb": ("vwap_mean_reversion_60b", "opening_range_breakout"),
+    "vwap_bands_orb": ("vwap_bands", "opening_range_breakout"),
+    "all_three": tuple(PARTS),
+}
+
+
+@query(
+    "signal_intraday_combos",
+    ctes(TICKS, MINUTES, *VWAP_MR, SESS, f"b0 AS (SELECT *, sum(close * volume) {UPTO} / nullif(sum(volume) {UPTO}, 0) AS vwap FROM sess)",
+         f"b1 AS (SELECT *, stddev_samp(close - vwap) {UPTO} AS sd FROM b0)", "b2 AS (SELECT *, (vwap - close) / nullif(2 * sd, 0) AS s FROM b1)",
+         f"r0 AS (SELECT *, datetime < min(datetime) {DAY} + INTERVAL '240 minutes' AS o FROM sess)",
+         f"r1 AS (SELECT *, max(high) FILTER (o) {DAY} AS range_high, min(low) FILTER (o) {DAY} AS range_low FROM r0)")
+    + " SELECT v1.ticker, v1.datetime, " + ", ".join(
+        f"{sr('(' + ' + '.join(f'({PARTS[p]})' for p in parts) + f') / {len(parts)}')} AS signal_{n}" for n, parts in INTRADAY_COMBOS.items())
+    + " FROM v1 JOIN b2 ON b2.ticker = v1.ticker AND b2.datetime = v1.datetime JOIN r1 ON r1.ticker = v1.ticker AND r1.datetime = v1.datetime",
+)
+def signal_intraday_combos(spark, root):
+    """Equal-weight means of two or three of the intraday signals."""
+    df = intraday.opening_range_breakout(intraday.vwap_bands(intraday.vwap_mean_reversion(minutes(spark, root))), 240)
+    for name, parts in INTRADAY_COMBOS.items():
+        df = signals.combo(df, parts, name)
+    return df.select("ticker", "datetime", *[r(f"signal_{n}").alias(f"signal_{n}") for n in INTRADAY_COMBOS])
+
+
 TOD = "OVER (PARTITION BY ticker, hour(datetime) ORDER BY datetime ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 
 
@@ -294,7 +322,7 @@ def ic_ranking(spark, root):
 
 # ── streams ──
 def tick_stream(spark, root):
-    raw = jobs.file_stream(spark, root, market.table(spark, root, "events"), "events.parquet")
+    raw = jobs.file_stream(spark, f"{root}/events.parquet", market.table(spark, root, "events"))
     return raw.select(
         F.col("event_type").alias("ticker"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("value").alias("price"),
         F.coalesce(F.get_json_object("props", "$.k").cast("long"), F.lit(1)).alias("volume"), "user_id")
@@ -442,7 +470,7 @@ def position_ledger(spark, root):
 )
 def position_ledger_query(spark, root):
     out = position_ledger(spark, root)
-    return out.select("account", "ticker", "date", F.shiftright("seq", 27).alias("order_key"), "side", "shares", r("price").alias("price"), "quantity",
+    return out.select("account", "ticker", "date", F.col("seq.orderkey").alias("order_key"), "side", "shares", r("price").alias("price"), "quantity",
                       r("avg_cost", 4).alias("avg_cost"), r("realized_pnl", 3).alias("realized_pnl"), r("cash_flow", 2).alias("cash_flow"))
 
 
@@ -661,11 +689,11 @@ def anomalous_returns(spark, root):
          "m AS (SELECT *, CASE WHEN count(ic) OVER w >= 63 THEN avg(ic) OVER w END AS m FROM ic WHERE ic IS NOT NULL WINDOW w AS (PARTITION BY signal, horizon ORDER BY date ROWS 62 PRECEDING))",
          f"l AS (SELECT *, CASE horizon {' '.join(f'WHEN {h} THEN lag(m, {h}) OVER x' for h in HORIZONS)} END AS k FROM m WINDOW x AS (PARTITION BY signal, horizon ORDER BY date))",
          "o AS (SELECT *, lag(k, 63) OVER (PARTITION BY signal, horizon ORDER BY date) AS old FROM l)", "dr AS (SELECT *, CASE WHEN old > 0 THEN (old - k) / old END AS d FROM o)")
-    + f" SELECT date, signal, horizon, 'ic_degradation' AS alert_type, 'warning' AS severity, {sr('d', 4)} AS value, 0.02::DOUBLE AS threshold FROM dr WHERE d > 0.02",
+    + f" SELECT date, signal, horizon, 'ic_degradation' AS alert_type, 'warning' AS severity, {sr('d', 4)} AS value, 0.3::DOUBLE AS threshold FROM dr WHERE d > 0.3",
 )
 def ic_degradation_alerts(spark, root):
     cs = metrics.cross_sectional_ic(panel(spark, root), CORE, HORIZONS)
-    return rounded(monitor.ic_degradation(metrics.rolling_ic(cs, HORIZONS), monitor.Thresholds(ic_drop=0.02)), "value", digits=4)
+    return rounded(monitor.ic_degradation(metrics.rolling_ic(cs, HORIZONS)), "value", digits=4)
 
 
 def _alert_rows(spark, root):

@@ -19,12 +19,11 @@ def ticker_name(key: str) -> Column:
 
 
 def trade_seq() -> Column:
-    """Order number, line and cents packed into one whole number that sorts in that order.
+    """Order number, line and price: sorts by the first that differs.
 
-    A single long keeps min_by and max_by in the hash aggregate; a struct would force a sort.
+    Packed into one number it would overflow at large keys or prices.
     """
-    cents = F.floor(F.col("l_extendedprice") * 100 + 0.5)
-    return F.shiftleft(F.col("l_orderkey"), 27) + F.shiftleft(F.col("l_linenumber").cast("long"), 24) + cents
+    return F.struct(F.col("l_orderkey").alias("orderkey"), F.col("l_linenumber").alias("linenumber"), F.col("l_extendedprice").alias("extendedprice"))
 
 
 def trades(spark: SparkSession, root: str) -> DataFrame:

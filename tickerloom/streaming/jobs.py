@@ -6,7 +6,6 @@ they are checked against each other.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -17,23 +16,26 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tickerloom.functions.timeframe import interval
 from tickerloom.operators.intraday import bars_from_ticks, resample
+from tickerloom.session import shared_base
 
 WARM_BARS, MIN_BARS = 500, 60
 
 
-def file_stream(spark: SparkSession, folder: str, like: DataFrame, glob: str, files_per_trigger: int | None = None) -> DataFrame:
-    """New Parquet files of a folder as a stream."""
-    reader = spark.readStream.schema(like.schema).option("pathGlobFilter", glob)
+def file_stream(spark: SparkSession, path: str, like: DataFrame, files_per_trigger: int | None = None) -> DataFrame:
+    """New Parquet files of a table as a stream; the table is one file or a folder of part files, on any file system."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    reader = spark.readStream.schema(like.schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(folder)
+    if not place.getFileSystem(conf).getFileStatus(place).isDirectory():
+        reader, path = reader.option("pathGlobFilter", place.getName()), path.rpartition("/")[0]
+    return reader.parquet(path)
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under the cluster's shared checkpoint folder; a local one only where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    base = shared or tempfile.mkdtemp(prefix="spark-stream-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder under the shared one."""
+    return f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def drain(df: DataFrame, name: str, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None) -> tuple[str, int]:
@@ -41,7 +43,9 @@ def drain(df: DataFrame, name: str, mode: str = "append", each: Callable[[DataFr
 
     The same call at session end closes the session: it processes what is left and stops.
     """
-    out = work_folder(df.sparkSession, name)
+    spark = df.sparkSession
+    out = work_folder(spark, name)
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "1000000")  # late rows are summed over all batches
     writer = df.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{out}/_checkpoint")
     writer = writer.foreachBatch(each) if each else writer.format("parquet").option("path", f"{out}/data")
     query = writer.start()
