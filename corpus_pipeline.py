@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tickerloom.llm import chunks, mixing, packing, quality, simhash
 from tickerloom.llm.common import remove, table, written
+from tickerloom.llm.tokens import SMALL_CACHE
 
 
 def _recounted(docs: DataFrame) -> DataFrame:
@@ -43,7 +44,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 2048 ids."""
-    return packing.pack_report(docs)
+    return packing.pack_report(docs, cache_words=SMALL_CACHE)
 
 
 STAGES = [

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickerloom.llm.common import batched_texts
-from tickerloom.llm.tokens import encoder
+from tickerloom.llm.tokens import CACHE_WORDS, encoder
 
 CAPACITY, END_ID = 2048, 1
 SCHEMA = "doc_id long, row long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -44,11 +44,13 @@ def cut_lengths(n: int, capacity: int = CAPACITY) -> list[int]:
     return out
 
 
-def packed(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: str | None = None) -> DataFrame:
+def packed(
+    docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: str | None = None, cache_words: int = CACHE_WORDS
+) -> DataFrame:
     """One row per piece: where it lies in its document and in its sequence, and its ids (little-endian uint32)."""
 
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(vocabulary).encode
+        encode = encoder(vocabulary, cache_words).encode
         part = TaskContext.get().partitionId()
         end = end_id.to_bytes(4, "little")
         bins = rows = 0

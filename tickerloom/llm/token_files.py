@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tickerloom.llm import rangecoder
 from tickerloom.llm.common import batched_texts, shared_folder
 from tickerloom.llm.rangecoder import BLOCK, LANES
-from tickerloom.llm.tokens import encoder
+from tickerloom.llm.tokens import SMALL_CACHE, encoder
 
 END_ID = 2
 BLOCKS = "file long, block long, ids long, data binary"
@@ -34,7 +34,7 @@ BLOCKS = "file long, block long, ids long, data binary"
 
 def write(docs: DataFrame, path: str, end_id: int = END_ID, vocabulary: str | None = None) -> None:
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(vocabulary)
+        enc = encoder(vocabulary, SMALL_CACHE)
         size = enc.tokenizer.get_vocab_size()
         file, end = TaskContext.get().partitionId(), end_id.to_bytes(4, "little")
         held, docs_of, done = bytearray(), [], 0  # docs_of: (id, number of ids, place in held)
@@ -80,7 +80,7 @@ def read(spark: SparkSession, path: str, vocabulary: str | None = None) -> DataF
     """file, start (ids of the file's documents before), doc_id, ids (little-endian uint32) of each document."""
 
     def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        size = encoder(vocabulary).tokenizer.get_vocab_size()
+        size = encoder(vocabulary, SMALL_CACHE).tokenizer.get_vocab_size()
         now = -1
         at, doc_id, want, parts, got = 0, None, 0, [], 0
 

@@ -11,7 +11,8 @@ import regex
 
 #: Name of the default vocabulary file; its place is looked up where a task runs.
 VOCABULARY = "byte_bpe_50k.json"
-CACHE_WORDS = 300_000
+#: Words of a generation of the cache, of which two are kept; the smaller one is for workers that hold other large arrays.
+CACHE_WORDS, SMALL_CACHE = 400_000, 120_000
 
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _ODD = re.compile(r" (?:\s|\Z)")
@@ -55,7 +56,8 @@ class Encoder:
         self.cache_words = cache_words
         self.letters = _byte_letters()
         self.words: dict[str, bytes] = {}  # the word with a space before it
-        self.others: dict[str, bytes] = {}  # pieces without one
+        self.older: dict[str, bytes] = {}  # those of the generation before, from which words in use move up
+        self.others: dict[str, bytes] = {}  # pieces without a space
         self.model = self.tokenizer.model
 
     def _piece(self, piece: str) -> bytes:
@@ -68,7 +70,8 @@ class Encoder:
             known, key = (self.words, p[1:]) if p[0] == " " and len(p) > 1 else (self.others, p)
             got = known.get(key)
             if got is None:
-                got = known[key] = self._piece(p)
+                got = self.older.get(key) if known is self.words else None
+                got = known[key] = self._piece(p) if got is None else got
             out.append(got)
         return b"".join(out)
 
@@ -78,7 +81,7 @@ class Encoder:
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers; null is an empty text."""
         out = []
-        words = self.words
+        words, older = self.words, self.older
         for text in texts:
             if not text:
                 out.append(b"")
@@ -86,8 +89,10 @@ class Encoder:
             if not self.by_word or _ODD.search(text):
                 out.append(self._whole(text))
                 continue
-            if len(words) > self.cache_words or len(self.others) > self.cache_words:
-                words.clear()
+            if len(words) > self.cache_words:
+                self.words, self.older = {}, words
+                words, older = self.words, self.older
+            if len(self.others) > self.cache_words:
                 self.others.clear()
             first, *rest = text.split(" ")
             try:
@@ -95,18 +100,19 @@ class Encoder:
             except KeyError:
                 for w in set(rest):
                     if w not in words:
-                        words[w] = self._pieces(" " + w)
+                        got = older.get(w)
+                        words[w] = self._pieces(" " + w) if got is None else got
                 tail = b"".join(map(words.__getitem__, rest))
             out.append(self._pieces(first) + tail if first else tail)
         return out
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str | None = None) -> Encoder:
+def encoder(path: str | None = None, cache_words: int = CACHE_WORDS) -> Encoder:
     """The encoder of this Python worker, kept from task to task."""
-    path = vocabulary_path(path)
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    key = (vocabulary_path(path), cache_words)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(*key)
+    return _ENCODERS[key]
