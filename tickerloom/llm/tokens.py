@@ -12,7 +12,7 @@ import regex
 #: Name of the default vocabulary file; its place is looked up where a task runs.
 VOCABULARY = "byte_bpe_50k.json"
 #: Words of a generation of the cache, of which two are kept; the smaller one is for workers that hold other large arrays.
-CACHE_WORDS, SMALL_CACHE = 400_000, 120_000
+CACHE_WORDS, SMALL_CACHE = 800_000, 120_000
 
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _ODD = re.compile(r" (?:\s|\Z)")
