@@ -116,3 +116,20 @@ def test_no_labels_nulls_and_clashing_names(spark):
             assert sorted(r["score"] for r in rows) == [0.0, 0.0, 0.5, 0.5]
             assert report(docs.limit(0), labels).count() == 0
     assert Q.accepted(docs, none).columns == docs.columns
+
+
+def test_scores_mean_the_same_when_the_sample_evens_the_labels_out(spark):
+    rng = random.Random(7)
+    kinds = {"ALL! CAPS! 12 | * HERE! " * 4: 0.95, "plain words in a quiet line " * 4: 0.8}
+    rows = [(i, text, int(rng.random() < share)) for i in range(3000) for text, share in [list(kinds.items())[i % 2]]]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y, 1 - y) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    known = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    for module, good in ((Q, lambda s: s), (T, lambda s: 1 - s)):
+        got = good(module.score(module.trained(docs, labels, rows=300), list(kinds)))  # 150 of either label
+        for s, text in zip(got, kinds):
+            want = np.mean([y for _, t, y in known if t == text])
+            assert abs(s - want) < 0.12, (module.__name__, s, want)
+    few = [("x", 0)] * 40 + [("x", 1)]
+    assert abs(Q.fit([("", y) for _, y in few], (0.1, 1.0))["base"] - 1.5 / 402) < 1e-9
+    assert abs(T.fit(few, (0.1, 1.0))["base"] - 1.5 / 402) < 1e-9

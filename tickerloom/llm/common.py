@@ -55,8 +55,8 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, seed: str) -> list[tuple[str, int]]:
-    """(text, label) of at most about ``rows`` labelled documents outside the held-out third.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, seed: str) -> tuple[list[tuple[str, int]], tuple[float, float]]:
+    """(text, label) of at most about ``rows`` labelled documents outside the held-out third, and the share taken of either label.
 
     Ids are drawn by hash, so the sample depends on neither row order nor partitions. A label is
     used once per id: ids that the labels mark both ways are left out. The sampled labels have a
@@ -70,16 +70,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, s
     )
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
-        return []
+        return [], (1.0, 1.0)
     # half of the rows for either class where it has as many
     small = min(counts.get(0, 0), counts.get(1, 0))
     take = {k: rows - small if n > small and small < rows // 2 else rows // 2 for k, n in counts.items()}
+    share = {k: min(1.0, take[k] / n) for k, n in counts.items()}
     keep = F.lit(False)
-    for k, n in counts.items():
-        keep |= (F.col("y") == k) & (F.col("_h") < F.lit(int(min(1.0, take[k] / n) * 2**32)))
+    for k in counts:
+        keep |= (F.col("y") == k) & (F.col("_h") < F.lit(int(share[k] * 2**32)))
     chosen = known.filter(keep).select("doc_id", "y")
     got = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id").collect()
-    return sorted((r["text"], r["y"]) for r in got)
+    return sorted((r["text"], r["y"]) for r in got), (share.get(0, 1.0), share.get(1, 1.0))
 
 
 def clean_names(df: DataFrame, names: Sequence[str]) -> DataFrame:

@@ -43,6 +43,17 @@ def platt(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]
     return float(w[0] / scale), float(w[1])
 
 
+def base_rate(y: np.ndarray, taken: tuple[float, float]) -> float:
+    """Smoothed share of label 1 among all labels, from a sample that took the shares ``taken`` of label 0 and 1."""
+    zeros, ones = (y == 0).sum() / taken[0], (y == 1).sum() / taken[1]
+    return float((ones + 0.5) / (zeros + ones + 1))
+
+
+def prior_shift(taken: tuple[float, float]) -> float:
+    """What turns log odds learnt from such a sample into those among all labels."""
+    return float(np.log(taken[0]) - np.log(taken[1]))
+
+
 def runs(count: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Cut each text's words into windows of ``size`` (its last one shorter): text and number of words of each window.
 

@@ -7,7 +7,8 @@ weighted sum of their codes. Encoder, attention and read-out learn together from
 
 All passages of whole texts are scored, as numpy arrays over a megabyte of a batch. The model is
 a few kilobytes, fitted on at most ``SAMPLE`` labelled documents (a documented bound) outside the
-held-out third. Defined cases: null and blank texts score 0; without labels of both kinds the others get the
+held-out third. The sample may hold the labels in other shares than all labels do; the log odds are
+shifted back, so a score means the same whatever the number of labels. Defined cases: null and blank texts score 0; without labels of both kinds the others get the
 smoothed base rate; rows that repeat an id are scored each for itself; an empty table gives no rows.
 """
 
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from tickerloom.llm.common import batched_texts, clean_names, concatenated, held_out, labelled_sample, word_bounds
-from tickerloom.llm.learn import Adam, runs, sigmoid, starts_of
+from tickerloom.llm.learn import Adam, base_rate, prior_shift, runs, sigmoid, starts_of
 
 PASSAGE, SAMPLE, CODE, GATE = 64, 4000, 16, 8
 THRESHOLD = 0.5
@@ -128,10 +129,10 @@ class Attention:
                 "w": (f["t"] * f["s"]).T @ g_e, "c": f["z"].T @ g_logit, "d": g_logit.sum(keepdims=True)}
 
 
-def fit(sample: Sequence[tuple[str, int]], seed: int = 8) -> dict:
-    """Train on (text, label) rows."""
+def fit(sample: Sequence[tuple[str, int]], taken: tuple[float, float] = (1.0, 1.0), seed: int = 8) -> dict:
+    """Train on (text, label) rows, which are the shares ``taken`` of all rows of label 0 and 1."""
     y = np.array([label for _, label in sample], dtype=np.float64)
-    base = float((y.sum() + 0.5) / (len(y) + 1))
+    base = base_rate(y, taken)
     texts, lots = [t for t, _ in sample], []
     for a, b in batched_texts(texts):
         text, x = passages(texts[a:b])
@@ -153,6 +154,7 @@ def fit(sample: Sequence[tuple[str, int]], seed: int = 8) -> dict:
             lot = order[i:i + BATCH]
             rows = np.concatenate([np.arange(start[d], start[d + 1]) for d in lot])
             adam.step(net.gradients(x[rows], starts_of(size[lot]), np.repeat(np.arange(len(lot)), size[lot]), y[lot]))
+    net.p["d"] = net.p["d"] + prior_shift(taken)
     return {"params": net.p, "mean": mean, "std": std, "base": base}
 
 
@@ -183,7 +185,7 @@ def scored(docs: DataFrame, model: dict, out: str = "score") -> DataFrame:
 
 
 def trained(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> dict:
-    return fit(labelled_sample(docs, labels, "quality", rows, "quality:"))
+    return fit(*labelled_sample(docs, labels, "quality", rows, "quality:"))
 
 
 def quality_report(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> DataFrame:

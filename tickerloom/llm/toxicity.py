@@ -11,6 +11,7 @@ The model is linear in the embeddings: to score, each hashed n-gram has one numb
 megabyte that is broadcast. Whole texts are scored, a megabyte of a batch at a time.
 
 Fitted on at most ``SAMPLE`` labelled documents (a documented bound), outside the held-out third.
+The calibration is shifted by the share taken of either label to the shares among all labels.
 Defined cases: null and blank texts score 0; without labels of both kinds all others get the smoothed
 base rate; rows that repeat an id are scored each for itself; an empty table gives no rows.
 """
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from tickerloom.llm.common import batched_texts, clean_names, concatenated, held_out, labelled_sample, word_bounds
-from tickerloom.llm.learn import platt, runs, sigmoid, starts_of
+from tickerloom.llm.learn import base_rate, platt, prior_shift, runs, sigmoid, starts_of
 
 BUCKET_BITS, GRAMS, DIM = 17, (3, 4, 5, 6), 8
 WINDOW, SAMPLE, BATCH, ROUNDS = 4, 4000, 256, 4
@@ -144,13 +145,13 @@ def _windows(text: str) -> list[str]:
     return [" ".join(w for w, before in zip(lot, [None, *lot]) if w != before) for lot in lots]
 
 
-def fit(sample: Sequence[tuple[str, int]], seed: int = 5) -> dict:
-    """Train on (text, label) rows; returns table, bias and the calibration."""
+def fit(sample: Sequence[tuple[str, int]], taken: tuple[float, float] = (1.0, 1.0), seed: int = 5) -> dict:
+    """Train on (text, label) rows, which are the shares ``taken`` of all rows of label 0 and 1; returns table, bias and the calibration."""
     y = np.array([label for _, label in sample], dtype=np.int64)
-    base = (y.sum() + 0.5) / (len(y) + 1)
+    base = base_rate(y, taken)
     usable = [i for i in range(len(y)) if sample[i][0].split()]
     if min(sum(y[i] == 1 for i in usable), sum(y[i] == 0 for i in usable)) < 2:
-        return {"table": None, "base": float(base)}
+        return {"table": None, "base": base}
     rng = np.random.default_rng(seed)
     rng.shuffle(usable)
     aside = own = usable
@@ -184,7 +185,7 @@ def fit(sample: Sequence[tuple[str, int]], seed: int = 5) -> dict:
             model.fit([chosen[j][0] for j in order], labels[order], rate=0.3)
     table, bias = model.table()
     a, b = platt(worst(table, bias, [sample[i][0] for i in aside]), y[aside])
-    return {"table": table.astype(np.float32), "bias": bias, "a": max(a, 1e-3), "b": b, "base": float(base)}
+    return {"table": table.astype(np.float32), "bias": bias, "a": max(a, 1e-3), "b": b + prior_shift(taken), "base": base}
 
 
 def score(model: dict, texts: Sequence[str | None]) -> np.ndarray:
@@ -205,7 +206,7 @@ def scored(docs: DataFrame, model: dict, out: str = "score") -> DataFrame:
 
 
 def trained(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> dict:
-    return fit(labelled_sample(docs, labels, "toxic", rows, "toxic:"))
+    return fit(*labelled_sample(docs, labels, "toxic", rows, "toxic:"))
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> DataFrame:
