@@ -133,3 +133,29 @@ def test_scores_mean_the_same_when_the_sample_evens_the_labels_out(spark):
     few = [("x", 0)] * 40 + [("x", 1)]
     assert abs(Q.fit([("", y) for _, y in few], (0.1, 1.0))["base"] - 1.5 / 402) < 1e-9
     assert abs(T.fit(few, (0.1, 1.0))["base"] - 1.5 / 402) < 1e-9
+
+
+def test_toxic_phrase_counts_wherever_it_stands():
+    rng = np.random.default_rng(8)
+    table = rng.normal(size=1 << T.BUCKET_BITS)
+    phrase, fill = "vile rotten wretched scum", "so it is"
+    weigh = lambda t: T.word_scores(table, *T.prepared([t])[:3])
+    table -= weigh(fill).max() + 9
+    for w in phrase.split():  # toxic words, and no others, have high scores
+        for b in (b for _, b in T.buckets(T.prepared([w])[0])):
+            table[b] = 9.0
+    whole = T.worst(table, 0.5, [phrase])[0]
+    for before in range(9):
+        text = " ".join([*(fill.split() * 3)[:before], phrase, fill])
+        assert abs(T.worst(table, 0.5, [text])[0] - whole) < 1e-9
+    # all windows against one at a time, in a batch with short, blank and repeating texts
+    texts = ["a", None, "x y z", "b b b b c", "one two two three four five five", " \n", "p q r s"]
+    text, odds = T.window_scores(table, 0.5, texts)
+    want = []
+    for i, t in enumerate(texts):
+        words = (t or "").split()
+        for at in range(max(len(words) - T.WINDOW + 1, min(len(words), 1))):
+            lot = words[at:at + T.WINDOW]
+            one = [weigh(w)[0] for w, before in zip(lot, [None, *lot]) if w != before]
+            want.append((i, sum(one) / T.WINDOW + 0.5))
+    assert text.tolist() == [i for i, _ in want] and np.allclose(odds, [v for _, v in want])

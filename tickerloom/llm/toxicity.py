@@ -1,8 +1,8 @@
 """Toxicity from bags of subwords, averaged into a linear softmax.
 
 A word is the mean of the embeddings of its byte 3- to 6-grams (hashed, with its boundaries), a window of
-``WINDOW`` places is the mean of its words (a place is empty at a text's end, and where a word repeats the
-one before), and a linear softmax over the window gives the odds of the label. Embeddings and softmax are trained together in numpy. Labels belong to documents, so
+``WINDOW`` places is the mean of its words (a place is empty in a text of fewer words, and where a word repeats
+the one before). Windows begin at every word, so what counts is nearness, not the number of words before. A linear softmax over the window gives the odds of the label. Embeddings and softmax are trained together in numpy. Labels belong to documents, so
 training goes in rounds: first all windows of a toxic document count as toxic, then those that the
 model finds most toxic, against clean documents' worst and random windows. A document's odds are
 those of its worst window, turned into a probability on documents kept out of the fit.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from tickerloom.llm.common import batched_texts, clean_names, concatenated, held_out, labelled_sample, word_bounds
-from tickerloom.llm.learn import base_rate, platt, prior_shift, runs, sigmoid, starts_of
+from tickerloom.llm.learn import base_rate, platt, prior_shift, sigmoid, starts_of
 
 BUCKET_BITS, GRAMS, DIM = 17, (3, 4, 5, 6), 8
 WINDOW, SAMPLE, BATCH, ROUNDS = 4, 4000, 256, 4
@@ -65,16 +65,22 @@ def word_scores(table: np.ndarray, buf: np.ndarray, start: np.ndarray, end: np.n
 
 
 def window_scores(table: np.ndarray, bias: float, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Text and odds of every window."""
+    """Text and odds of every window: one begins at each word that has ``WINDOW - 1`` after it; a shorter text is one."""
     buf, start, end, count = prepared(texts)
-    text, words = runs(count, WINDOW)
+    n = np.where(count >= WINDOW, count - WINDOW + 1, np.minimum(count, 1))
+    text = np.repeat(np.arange(len(count)), n)
     if not len(text):
         return text, np.empty(0)
-    first = starts_of(words)
     score = word_scores(table, buf, start, end)
-    again = np.append(False, (score[1:] == score[:-1]) & (np.diff(end - start) == 0))  # the word before once more
-    again[first] = False
-    return text, np.add.reduceat(np.where(again, 0.0, score), first) / WINDOW + bias
+    # the word before once more; scores come from running sums and are equal but for rounding
+    again = np.append(False, (np.abs(np.diff(score)) < 1e-6) & (np.diff(end - start) == 0))
+    once = np.concatenate((np.where(again, 0.0, score), np.zeros(WINDOW)))
+    first = np.arange(len(text)) + np.repeat(starts_of(count) - starts_of(n), n)
+    stop = np.repeat(np.cumsum(count), n)
+    total = score[first]  # a window's first word has none before it
+    for k in range(1, WINDOW):
+        total = total + np.where(first + k < stop, once[first + k], 0.0)
+    return text, total / WINDOW + bias
 
 
 def worst(table: np.ndarray, bias: float, texts: Sequence[str | None]) -> np.ndarray:
@@ -139,10 +145,20 @@ class Bag:
             self.e[slots] -= rate * ge / np.sqrt(self.sum_e[slots])
 
 
-def _windows(text: str) -> list[str]:
-    words = text.split()
-    lots = (words[i:i + WINDOW] for i in range(0, len(words), WINDOW))
-    return [" ".join(w for w, before in zip(lot, [None, *lot]) if w != before) for lot in lots]
+def _window(words: Sequence[str], at: int) -> str:
+    lot = words[at:at + WINDOW]
+    return " ".join(w for w, before in zip(lot, [None, *lot]) if w != before)
+
+
+def _worst_apart(order: Sequence[int], most: int) -> list[int]:
+    """The first ``most`` of windows in an order that share no word."""
+    out: list[int] = []
+    for i in order:
+        if all(abs(i - j) >= WINDOW for j in out):
+            out.append(i)
+            if len(out) == most:
+                break
+    return out
 
 
 def fit(sample: Sequence[tuple[str, int]], taken: tuple[float, float] = (1.0, 1.0), seed: int = 5) -> dict:
@@ -157,25 +173,26 @@ def fit(sample: Sequence[tuple[str, int]], taken: tuple[float, float] = (1.0, 1.
     aside = own = usable
     if len(usable) >= 1000:
         aside, own = usable[::5], [i for k, i in enumerate(usable) if k % 5]
-    docs = {i: _windows(sample[i][0]) for i in own}
+    # words by the rule of prepared()
+    words = {i: [w.decode("utf-8", "surrogatepass") for w in sample[i][0].lower().encode("utf-8", "surrogatepass").split()] for i in own}
     model = Bag(seed)
     for turn in range(ROUNDS):
         chosen: list[tuple[str, int]] = []
         table, bias = model.table()
         for label in (1, 0):
             part = [i for i in own if y[i] == label]
-            flat = [w for i in part for w in docs[i]]
-            size = np.array([len(docs[i]) for i in part])
-            odds = np.concatenate([window_scores(table, bias, flat[a:b])[1] for a, b in batched_texts(flat)])
-            for w, s in zip(starts_of(size), size):
-                order = w + np.argsort(-odds[w:w + s])
+            texts = [sample[i][0] for i in part]
+            odds = np.concatenate([window_scores(table, bias, texts[a:b])[1] for a, b in batched_texts(texts)])
+            size = np.array([max(len(words[i]) - WINDOW + 1, 1) for i in part])
+            for i, w, s in zip(part, starts_of(size), size):
+                order = np.argsort(-odds[w:w + s])
                 if turn == 0:
-                    take = rng.permutation(order)[:16]
+                    take = rng.permutation(np.arange(rng.integers(min(WINDOW, s)), s, WINDOW))[:16]
                 elif label:
-                    take = order[:max(1, s // 4)][:4]
+                    take = _worst_apart(order, min(4, max(1, len(words[i]) // (4 * WINDOW))))
                 else:
-                    take = np.unique(np.concatenate([order[:2], rng.choice(order, 2)]))
-                chosen += [(flat[j], label) for j in take]
+                    take = np.unique([*_worst_apart(order, 2), *rng.choice(order, 2)])
+                chosen += [(_window(words[i], j), label) for j in take]
         # either label as often as the other
         labels = np.array([c[1] for c in chosen])
         less = int(labels.mean() < 0.5)
