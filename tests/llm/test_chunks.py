@@ -110,3 +110,35 @@ def test_nulls_repeated_ids_and_no_rows(spark):
     assert {r["text"] for r in left if r["doc_id"] == 1} == {p, "other " + p + " end"}
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert C.spans(empty).count() == 0 and C.deduplicated(empty).count() == 0
+
+
+def copied_words(a, b):
+    """Most words of neighbouring chunks of b that are chunks of a."""
+    def parts(t):
+        _, first, last, _, words, buf, _ = C.cut([t])
+        return [(buf[i:j].tobytes(), n) for i, j, n in zip(first, last, words)]
+
+    held, run, best = {p for p, _ in parts(a)}, 0, 0
+    for p, n in parts(b):
+        run = run + n if p in held else 0
+        best = max(best, run)
+    return best
+
+
+def test_shared_passages_of_repeated_words_are_found():
+    rng = random.Random(6)
+    for period in (1, 1, 1, 2, 2, 3, 4) * 20:
+        cycle = some_words(rng, period)
+        passage = [cycle[i % period] for i in range(rng.choice([51, 60, 90]))]
+        a, b = (" ".join([*some_words(rng, rng.randrange(5, 60)), *p, *some_words(rng, 30)]) for p in (passage, passage[rng.randrange(period):]))
+        assert copied_words(a, b) >= C.MIN_WORDS
+    # stretches of one word after the other
+    for _ in range(40):
+        passage = [w for w in some_words(rng, 3) for _ in range(20)]
+        a, b = (" ".join([*some_words(rng, rng.randrange(5, 60)), *passage, *some_words(rng, 30)]) for _ in range(2))
+        assert copied_words(a, b) >= C.MIN_WORDS
+    # a text's chunks do not depend on its batch
+    texts = [" ".join(["again"] * n) for n in (1, 3, 40, 100)] + [None, "x y " * 50]
+    both = C.cut(texts)
+    for i, t in enumerate(texts):
+        assert C.cut([t])[4].tolist() == both[4][both[0] == i].tolist()

@@ -3,7 +3,9 @@
 A gear hash rolls over the bytes (16-bit state, so it knows the last 16 bytes). A chunk may begin at
 a word whose preceding bytes hash below a bound, unless one of the two words before does so as well;
 a cut thus depends on nearby text alone, and an insertion moves chunks without changing them. Chunks
-are at least three words, seven on average. They are compared by a 64-bit digest of their bytes
+are at least three words, seven on average. That rule is silent where words repeat, as their hashes are
+low in a row or never; there, a second one cuts where one run of a word meets the next, in runs, and before
+the least of the hashes of ``NEAR`` words on either side, some words apart, so equal stretches of repeated words give equal chunks wherever they begin. Chunks are compared by a 64-bit digest of their bytes
 without the white space at the end.
 
 The document with the smallest id keeps a digest; in every later document its chunk is a copy.
@@ -38,6 +40,8 @@ from tickerloom.llm.common import WORD, batched_texts, concatenated, word_bounds
 MIN_WORDS = 20
 #: Share of words that may begin a chunk, before those too close to another are taken out.
 BOUND = (1 << 16) // 3
+#: Words on either side that the second rule looks at, how many of them all repeat one of the NEAR before, and words between its cuts.
+NEAR, REPEATS, APART = 6, 9, 4
 GEAR = np.random.default_rng(16).integers(0, 1 << 16, 256, dtype=np.uint16)
 
 
@@ -51,6 +55,59 @@ def gear(buf: np.ndarray) -> np.ndarray:
     return h
 
 
+def _word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of each word: sum over bytes times powers of an odd base, mixed."""
+    longest = int((end - start).max())
+    powers = np.full(longest + 1, 0x9E3779B97F4A7C15, dtype=np.uint64)
+    powers[0] = 1
+    np.multiply.accumulate(powers, out=powers)
+    place = np.arange(len(buf))
+    place[start[0]:] -= np.repeat(start, np.diff(np.append(start, len(buf))))
+    value = (buf.astype(np.uint64) + np.uint64(1)) * powers[np.clip(place, 0, longest)]
+    value[(buf == 32) | ((buf >= 9) & (buf <= 13))] = 0
+    h = np.add.reduceat(value, start)
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
+
+
+def _among_repeats(word: np.ndarray, begins: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Words before which the second rule cuts: no cut of the first one and no text's border within NEAR words."""
+    n, none = len(word), np.empty(0, np.int64)
+    wide = 2 * NEAR + 1
+    if n < wide:
+        return none
+    again = np.zeros(n, dtype=bool)
+    for k in range(1, NEAR + 1):
+        again[k:] |= (word[k:] == word[:-k]) & (text[k:] == text[:-k])
+
+    def around(x: np.ndarray) -> np.ndarray:  # how many of the words within NEAR, for words from NEAR on
+        run = np.concatenate(([0], np.cumsum(x)))
+        return run[wide:] - run[:-wide]
+
+    quiet = (around(begins) == 0) & (around(again) >= REPEATS) & (text[wide - 1:] == text[:1 - wide])
+    if not quiet.any():
+        return none
+    key = word.copy()
+    for k in range(1, NEAR):
+        key[:-k] += np.where(text[k:] == text[:-k], word[k:] * np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) & (2**64 - 1)), np.uint64(0))
+    at = np.flatnonzero(quiet) + NEAR
+    least = key[at]
+    for k in range(-NEAR, NEAR + 1):
+        np.minimum(least, key[at + k], out=least)
+    before, after = word[at - 1], word[at]
+    alike = (word[at - 2] == before) & (word[at - 3] == before) & (word[at + 1] == after) & (word[at + 2] == after)
+    # between two runs of one word; and where the hash is least, or within a run
+    border, other = at[alike & (before != after)], at[(key[at] == least) | (alike & (before == after))]
+    following = np.append(border, n + APART)[np.searchsorted(border, other)]
+    other = other[following - other >= APART]
+    chosen, last, fixed = [], -APART, set(border.tolist())
+    for i in np.union1d(border, other).tolist():
+        if i in fixed or i - last >= APART:
+            chosen.append(i)
+            last = i
+    return np.array(chosen, dtype=np.int64)
+
+
 def cut(texts: list[str | None]) -> tuple[np.ndarray, ...]:
     """Chunks of a batch: text number, first byte, byte after the last word, byte where the next begins, words; the bytes and where texts begin."""
     buf, offsets = concatenated(texts)
@@ -68,6 +125,7 @@ def cut(texts: list[str | None]) -> tuple[np.ndarray, ...]:
     close[1:] |= low[:-1]
     close[2:] |= low[:-2] & ~first[1:-1]
     begins = first | (low & ~close)
+    begins[_among_repeats(_word_hashes(buf, start, end), begins, np.searchsorted(offsets, start, side="right"))] = True
     at = np.flatnonzero(begins)
     words = np.diff(np.append(at, len(start)))
     text = np.searchsorted(offsets, start[at], side="right") - 1
