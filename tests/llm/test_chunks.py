@@ -142,3 +142,15 @@ def test_shared_passages_of_repeated_words_are_found():
     both = C.cut(texts)
     for i, t in enumerate(texts):
         assert C.cut([t])[4].tolist() == both[4][both[0] == i].tolist()
+
+
+def test_chunks_of_different_documents_are_no_passage(spark):
+    rng = random.Random(11)
+    text = " ".join(some_words(rng, 400))
+    parts = [text.encode()[s:e].decode() for s, e, *_ in slow_cuts(text)]
+    half = len(parts) // 2
+    # each chunk of the later text stands in an earlier document: no two side by side, but for the last half
+    rows = [(i, p) for i, p in enumerate(parts[:half])] + [(1000, " ".join(parts[half - 4:])), (2000, text)]
+    found = C.spans(spark.createDataFrame(rows, "doc_id long, text string")).filter("doc_id = 2000").collect()
+    begin = len(" ".join(parts[:half - 4]).encode())
+    assert len(found) == 1 and found[0]["at"] > begin and found[0]["kept_doc_id"] == 1000

@@ -9,13 +9,14 @@ the least of the hashes of ``NEAR`` words on either side, some words apart, so e
 without the white space at the end.
 
 The document with the smallest id keeps a digest; in every later document its chunk is a copy.
-Copies that follow each other form a run, and runs of ``MIN_WORDS`` words or more are spans to
+Copies that follow each other form a run where an earlier document holds both side by side, and runs of ``MIN_WORDS`` words or more are spans to
 remove. So a passage of over fifty words that stands in two documents is found through the chunks that
 lie wholly in it, and words that documents share by chance stay. What a document repeats within
 itself stays as well.
 
 Digests are counted with map-side combining, so a passage in a third of all documents is one row a
-task; finding the copies is a join on the digest that adaptive execution may split. Runs are found
+task; finding the copies is a join on the digest that adaptive execution may split. Pairs of neighbours
+have digests of their own, counted and joined likewise, for chunks that more than one document holds. Runs are found
 per document, over its copies only.
 
 Defined cases: a null text is an empty one; documents without an id come after all others and keep
@@ -137,7 +138,7 @@ def cut(texts: list[str | None]) -> tuple[np.ndarray, ...]:
 
 
 def chunk_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, row (tells apart rows that repeat an id), digest, at and stop (byte range), words, of every chunk."""
+    """doc_id, row (tells apart rows that repeat an id), digest, pair (digest of the chunk before and this one, null at a text's begin), at and stop (byte range), words, of every chunk."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         of = xxhash.xxh3_64_intdigest
@@ -147,12 +148,16 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
                 text, first, last, stop, words, buf, offsets = cut(texts[a:b])
                 raw = buf.tobytes()
                 digest = np.array([of(raw[i:j]) for i, j in zip(first.tolist(), last.tolist())], dtype=np.uint64).view(np.int64)
+                own = digest.view(np.uint64)
+                pair = (np.append(np.uint64(0), own[:-1]) * np.uint64(0x9E3779B97F4A7C15) + own) * np.uint64(0xBF58476D1CE4E5B9)
+                pair = pd.array((pair ^ (pair >> np.uint64(31))).view(np.int64), dtype="Int64")
+                pair[np.append(True, text[1:] != text[:-1])[:len(text)]] = pd.NA
                 base = offsets[text]
-                yield pd.DataFrame({"doc_id": ids[a:b].take(text).array, "row": row[a:b][text], "digest": digest,
+                yield pd.DataFrame({"doc_id": ids[a:b].take(text).array, "row": row[a:b][text], "digest": digest, "pair": pair,
                                     "at": first - base, "stop": stop - base, "words": words})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text")
-    return rows.mapInPandas(run, "doc_id long, row long, digest long, at long, stop long, words long")
+    return rows.mapInPandas(run, "doc_id long, row long, digest long, pair long, at long, stop long, words long")
 
 
 def spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -161,10 +166,14 @@ def spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     rank = F.coalesce("doc_id", F.lit(2**63 - 1))
     kept = chunks.groupBy("digest").agg(F.min(rank).alias("kept"), F.max(rank).alias("_last"))
     kept = kept.filter("kept < _last").select("digest", "kept")
-    copies = chunks.join(kept, "digest").filter(rank > F.col("kept")).drop("digest")
+    repeated = chunks.join(kept, "digest").drop("digest")
+    pairs = repeated.filter("pair IS NOT NULL").groupBy("pair").agg(F.min(rank).alias("_pair_kept"), F.max(rank).alias("_last"))
+    pairs = pairs.filter("_pair_kept < _last").select("pair", "_pair_kept")
+    copies = repeated.filter(rank > F.col("kept")).join(pairs, "pair", "left")
+    copies = copies.withColumn("_held", F.coalesce(rank > F.col("_pair_kept"), F.lit(False))).drop("pair", "_pair_kept")
     order = Window.partitionBy("doc_id", "row").orderBy("at")
     copies = copies.filter("words > 0").withColumn("_again", F.lag("at").over(order).eqNullSafe(F.col("at"))).filter("NOT _again")
-    copies = copies.withColumn("_joined", F.lag("stop").over(order).eqNullSafe(F.col("at")).cast("int"))
+    copies = copies.withColumn("_joined", (F.lag("stop").over(order).eqNullSafe(F.col("at")) & F.col("_held")).cast("int"))
     copies = copies.withColumn("_run", F.sum(1 - F.col("_joined")).over(order))
     runs = copies.groupBy("doc_id", "row", "_run").agg(
         F.min("at").alias("at"), F.max("stop").alias("stop"), F.sum("words").alias("words"), F.count(F.lit(1)).alias("chunks"),
