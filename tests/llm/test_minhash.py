@@ -94,3 +94,18 @@ def test_near_duplicates_lose_no_link(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for limit in (M.LIST, 4):
         assert {r["doc_id"]: r["class_id"] for r in M.near_duplicates(df, limit=limit).collect()} == dict(enumerate(group))
+
+
+def test_pairs_at_the_threshold_share_a_band(spark):
+    rng, texts = random.Random(9), []
+    for _ in range(150):
+        words = [str(rng.random()) for _ in range(100)]
+        other = words[:89] + [str(rng.random()) for _ in range(11)]
+        other[89] = words[89]
+        texts += [" ".join(words), " ".join(other)]
+    for a, b in zip(texts[::2], texts[1::2]):
+        s, t = shingle_set(a), shingle_set(b)
+        assert 0.8 <= len(s & t) / len(s | t) < 0.83
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in M.near_duplicates(df).collect()}
+    assert got == {i: i - i % 2 for i in range(len(texts))}

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tickerloom.llm.common import batched_texts, concatenated, word_bounds, written
 from tickerloom.llm.components import connected
 
-SHINGLE, PERMS, BANDS = 5, 128, 16
+SHINGLE, PERMS, BANDS = 5, 128, 32
 THRESHOLD, MARGIN = 0.8, 0.15
 LIST = 1024
 _RNG = np.random.default_rng(20240607)
