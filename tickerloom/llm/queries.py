@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickerloom.llm import chunks, forest, licenses, minhash, mixing, packing, quality, simhash, token_files, toxicity
+from tickerloom.llm import chunks, forest, infill, licenses, minhash, mixing, packing, quality, simhash, token_files, toxicity
 from tickerloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,8 @@ def projection_forest(spark: SparkSession, root: str) -> DataFrame:
 @query("op2_license_families")
 def license_families(spark: SparkSession, root: str) -> DataFrame:
     return licenses.license_report(table(spark, root, "documents"))
+
+
+@query("op13_rotation_infill", infill.SQL)
+def rotation_infill(spark: SparkSession, root: str) -> DataFrame:
+    return infill.infill_report(table(spark, root, "documents"))
