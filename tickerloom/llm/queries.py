@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickerloom.llm import chunks, divergence, forest, infill, licenses, minhash, mixing, packing, quality, simhash, token_files, toxicity
+from tickerloom.llm import chunks, divergence, forest, infill, licenses, minhash, mixing, packing, quality, residual, simhash, token_files, toxicity
 from tickerloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,8 @@ def rotation_infill(spark: SparkSession, root: str) -> DataFrame:
 @query("op11_source_divergence", divergence.SQL)
 def source_divergence(spark: SparkSession, root: str) -> DataFrame:
     return divergence.audit(table(spark, root, "documents"))
+
+
+@query("op12_residual_packing")
+def residual_packing(spark: SparkSession, root: str) -> DataFrame:
+    return residual.pack_report(table(spark, root, "documents"))
