@@ -98,8 +98,8 @@ def test_tree_of_any_height(spark, parts, batch):
         used, total = check(R.placed(cut, 64, fan=3, batch=batch).collect(), docs, 64, tok)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
-    if batch > 100:
-        assert used <= -(-total // 64) + 2
+    # few pieces a partition leave little choice; the bound is the number of full sequences
+    assert used <= (-(-total // 64) + 2 if parts == 1 else 1.03 * total / 64)
 
 
 def test_wide_items_are_not_sent_up(spark):
