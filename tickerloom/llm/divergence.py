@@ -40,6 +40,8 @@ from tickerloom.llm.common import written
 MIN_DOCS, PRIOR, SCALE, TOP = 30, 5, 1_000_000_000, 50
 #: Terms of a block, and of a stretch of the shorter list that gallops at once.
 BLOCK, STRETCH = 4096, 256
+#: Tables of languages or groups up to so many rows are broadcast; beyond, they are joined by shuffle.
+FEW = 100_000
 #: Partial counts a task holds before it sends them on.
 HELD = 400_000
 #: Counts of a term travel as one number: occurrences above, documents in the low bits, sent on before these are full.
@@ -175,19 +177,23 @@ def _whole_task(top: int):
     return task
 
 
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
 def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, block: int = BLOCK) -> DataFrame:
     """lang, source, part, item, value, rank: distances to the other sources, and the terms a group favours."""
     counts, _ = written(kept_counts(docs, min_docs), "divergence-counts")
+    total = F.greatest(F.col("n") + PRIOR * F.col("v"), F.lit(1)).alias("total")  # 1 where there is nothing to price
     langs = counts.groupBy("lang").agg(F.count_if(F.col("lead") & (F.col("term") != "")).alias("v"), F.sum("n").alias("n"))
+    langs = _small(written(langs.select("lang", "v", total), "divergence-langs")[0])
     groups = counts.groupBy("lang", "source").agg(F.sum("n").alias("n")).join(langs.select("lang", "v"), "lang")
-    total = F.greatest(F.col("n") + PRIOR * F.col("v"), F.lit(1))  # 1 where there is nothing to price
-    groups, _ = written(groups.select("lang", "source", "v", total.alias("total")), "divergence-groups")
-    langs = langs.select("lang", "v", total.alias("total"))
+    groups = written(groups.select("lang", "source", "v", total), "divergence-groups")[0]
 
-    # term numbers within hashed blocks, then one row a group and block
+    # term numbers within hashed blocks, then one row a group and block; dealt by both keys, as a language may be most of the table
     dealt = (
         counts.filter("term <> ''").join(langs.select("lang", "v"), "lang")
-        .withColumn("block", F.pmod(F.xxhash64("term"), F.expr(f"v div {block} + 1")))
+        .withColumn("block", F.pmod(F.xxhash64("term"), F.expr(f"v div {block} + 1"))).repartition("lang", "block")
         .withColumn("id", (F.dense_rank().over(Window.partitionBy("lang", "block").orderBy("term")) - 1).cast("int")))
     listed = lambda n: F.array_sort(F.collect_list(F.struct("id", F.col(n).alias("n"))))
     dealt, _ = written(dealt.select("lang", "source", "block", "id", "n", "whole", "lead", "term"), "divergence-blocks")
@@ -217,7 +223,7 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, block: int
     own = rows.withColumnRenamed("source", "a").join(
         groups.select("lang", F.col("source").alias("a"), F.col("total").alias("total_a")), ["lang", "a"]).join(
         langs.select("lang", F.col("total").alias("total_b")), "lang")
-    all_of = groups.select("lang", F.col("source").alias("a")).join(whole, "lang")
+    all_of = whole.join(_small(groups.select("lang", F.col("source").alias("a"))), "lang")
     all_of = all_of.select(*[F.col(c).alias(c) for c in all_of.columns])
     key = ["lang", "a", "block"]
     favoured = own.groupBy(*key).cogroup(all_of.groupBy(*key)).applyInPandas(_whole_task(top), _PART)
