@@ -4,6 +4,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+from tickerloom.operators import construction as con
 from tickerloom.operators import hierarchy as H
 
 DAYS, T = (dt.date(2024, 1, 31), dt.date(2024, 4, 30)), 30
@@ -73,7 +74,7 @@ def by_day(df):
 
 
 # rounds over several blocks down to one cluster; rounds and then one task; all in one task
-@pytest.mark.parametrize("linkage,block,finish", [(k, 7, 1) for k in H.LINKAGES] + [("average", 9, 8), ("ward", 11, 8), ("complete", 1024, 64), ("single", 1024, 64)])
+@pytest.mark.parametrize("linkage,block,finish", [("single", 7, 1), ("complete", 7, 1), ("average", 14, 5), ("ward", 14, 5), ("complete", 1024, 64), ("single", 1024, 64)])
 def test_weights_equal_a_naive_version(universe, linkage, block, finish):
     data, df = universe
     got = by_day(H.hrp(df, T, linkage, block, finish))
@@ -112,3 +113,26 @@ def test_equal_assets_and_unknown_linkage(spark):
         assert len(got) == 9 and sum(got.values()) == pytest.approx(1.0) and min(got.values()) > 0
     with pytest.raises(ValueError):
         H.hrp(df, 4, "median")
+
+
+def test_portfolio_modes(spark, make_bars):
+    rng = np.random.default_rng(2)
+    bars = make_bars({f"T{i}": 100 * np.exp(np.cumsum(0.01 * rng.normal(size=70))) for i in range(5)})
+    panel = bars.withColumn("sig", (bars["close"] / 100 - 1)).cache()
+    equity = panel.select("date").distinct().toPandas().sort_values("date")
+    equity["equity"] = [100.0] * 40 + [70.0] * 30
+    equity = spark.createDataFrame(equity, "date date, equity double")
+    plain = con.build_portfolio(panel, "hrp", None, 30, 30, "ward")
+    assert plain.columns == ["ticker", "date", "weight", "method"]
+    rows = plain.toPandas()
+    assert len(rows) == 350 and rows["weight"].notna().all() and set(rows["method"]) == {"hrp"}
+    totals = rows.groupby("date")["weight"].sum().to_numpy()
+    assert np.allclose(totals[:29], 0) and np.allclose(totals[29:], 1)
+    cut = con.build_portfolio(panel, "hrp", "sig", 30, 30, "ward", equity).toPandas()
+    assert set(cut["leverage_scale"][cut["weight"] != 0]) == {0.5, 1.0}
+    both = cut.merge(rows, on=["ticker", "date"])
+    assert np.allclose(both["weight_x"], both["weight_y"] * both["signal_value"] * both["leverage_scale"])
+    result = con.compare(panel, con.returns_from_prices(panel), "sig", lookback=30, every=30).toPandas()
+    assert set(result["method"]) == set(con.MODES) and (result["num_dates"] == 70).all()
+    with pytest.raises(ValueError):
+        con.build_portfolio(panel, "median")

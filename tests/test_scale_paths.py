@@ -158,10 +158,39 @@ def test_risk_parity_equalises_contributions(blocks):
     x, df = blocks
     t = x.shape[1]
     shrink = con.shrinkage(df, t, 0.2)
-    w = con.risk_parity(df, t, shrink, iterations=60)
+    w = con.risk_parity(df, t, shrink)
     share = con.risk_contributions(w, shrink, t).toPandas()
     assert (share["weight"] > 0).all() and share["weight"].sum() == pytest.approx(1.0)
-    assert np.allclose(share["share"], 1 / len(x), atol=2e-3) and share["share"].sum() == pytest.approx(1.0)
+    assert np.allclose(share["share"], 1 / len(x), rtol=1e-5) and share["share"].sum() == pytest.approx(1.0)
+    scaled = con.risk_parity(df, t, shrink, target_risk=0.1).toPandas()
+    w = scaled.set_index("ticker")["w"].sort_index().to_numpy()
+    cov = 0.8 * x @ x.T / t + 0.2 * np.diag((x * x).mean(axis=1))
+    assert np.sqrt(w @ cov @ w * 252) == pytest.approx(0.1)
+
+
+@pytest.mark.parametrize("delta", [0.0, 0.1, 1.0])
+def test_risk_parity_with_more_assets_than_dates(spark, delta):
+    """Against a plain fixed-point on the whole matrix: cyclical descent, one asset at a time."""
+    rng = np.random.default_rng(8)
+    n, t = 60, 12
+    x = 0.01 * (rng.normal(size=(n, t)) + 1.5 * rng.normal(size=(1, t))) * rng.uniform(0.2, 4, (n, 1))
+    x -= x.mean(axis=1, keepdims=True)
+    days = [dt.date(2024, 1, 31), dt.date(2024, 2, 29)]
+    rows = [(days[0], f"T{i:02d}", x[i].tolist()) for i in range(n)] + [(days[1], f"T{i:02d}", (3 * x[i]).tolist()) for i in range(5)]
+    df = spark.createDataFrame(rows, "rebalance_date date, ticker string, x array<double>").repartition(3)
+    got = con.risk_parity(df, t, con.shrinkage(df, t, delta)).toPandas()
+    for day, m, scale in ((days[0], n, 1), (days[1], 5, 3)):
+        d, y = max(delta, 1e-3), scale * x[:m]
+        cov = (1 - d) * y @ y.T / t + d * np.diag((y * y).mean(axis=1))
+        c, w = np.trace(cov) / m, 1 / np.sqrt(np.diag(cov))
+        for _ in range(3000):
+            for i in range(m):
+                a = cov[i] @ w - cov[i, i] * w[i]
+                w[i] = (-a + np.sqrt(a * a + 4 * cov[i, i] * c)) / (2 * cov[i, i])
+        mine = got[got["rebalance_date"] == day].set_index("ticker")["w"].sort_index().to_numpy()
+        assert np.allclose(mine, w / w.sum(), rtol=1e-4)
+        share = mine * (cov @ mine) / (mine @ cov @ mine)
+        assert np.allclose(share, 1 / m, rtol=1e-4)
 
 
 def test_trade_order_holds_at_large_keys_and_prices(spark):

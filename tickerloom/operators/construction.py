@@ -8,6 +8,7 @@ date, or one array of T returns per asset. Nothing of size N × N is formed.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -177,57 +178,113 @@ def inverse_volatility(windows: DataFrame, lookback: int) -> DataFrame:
     return rows.join(F.broadcast(total), "rebalance_date").withColumn("w", F.col("_i") / F.col("_all")).drop("_i", "_all")
 
 
+def _dual_sums(lookback: int):
+    """Per rebalance date and partition: what one Newton step in the portfolio's T-vector needs."""
+
+    def run(batches):
+        sums: dict = {}
+        for pdf in batches:
+            for day, part in pdf.groupby("rebalance_date", sort=False):
+                x, var = np.stack(part["x"].to_numpy()), part["variance"].to_numpy()
+                p, c, delta = np.asarray(part["p"].iloc[0]), float(part["c"].iloc[0]), float(part["delta"].iloc[0])
+                k, b = (1 - delta) / lookback, delta * var
+                a = k * (x @ p)
+                root = np.sqrt(a * a + 4 * b * c)
+                w = np.where(a > 0, 2 * c / (root + a), (root - a) / (2 * b))  # both are the root; neither cancels
+                new = [x.T @ w, k * (x.T * (w / root)) @ x, float((a * w + b * w * w / 2 - c * np.log(w)).sum()),
+                       float((w * k * np.sqrt(lookback * var)).max() / c)]
+                if day in sums:
+                    old = sums[day]
+                    new = [old[0] + new[0], old[1] + new[1], old[2] + new[2], max(old[3], new[3])]
+                sums[day] = new
+        for day, (g, h, low, reach) in sums.items():
+            yield pd.DataFrame({"rebalance_date": [day], "g": [g], "h": [h.ravel()], "low": [low], "reach": [reach]})
+
+    return run
+
+
+_DUAL = "rebalance_date date, g array<double>, h array<double>, low double, reach double"
+
+
+def _dual_added(pdf: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"rebalance_date": [pdf["rebalance_date"].iloc[0]], "g": [np.sum(np.stack(pdf["g"].to_numpy()), axis=0)],
+                         "h": [np.sum(np.stack(pdf["h"].to_numpy()), axis=0)], "low": [pdf["low"].sum()], "reach": [pdf["reach"].max()]})
+
+
+def _dual_solved(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The portfolio that the assets' answers make up, and the inverse of I + H."""
+    row = _dual_added(pdf).iloc[0]
+    t = len(row["g"])
+    inverse = np.linalg.inv(np.eye(t) + np.asarray(row["h"]).reshape(t, t))
+    return pd.DataFrame({"rebalance_date": [row["rebalance_date"]], "g": [row["g"]], "h": [inverse.ravel()], "low": [row["low"]], "reach": [row["reach"]]})
+
+
 def risk_parity(
     windows: DataFrame, lookback: int, shrink: DataFrame | None = None, target_risk: float | None = None,
-    iterations: int = 60, tol: float = 1e-6,
+    tol: float = 1e-6, rounds: int = 100,
 ) -> DataFrame:
     """Long-only weights with equal risk contributions, one row per (rebalance_date, ticker).
 
-    Each step needs only the portfolio's T-vector per rebalance date. Given it, every asset solves
-    its own quadratic δ·v·w² + (1-δ)·(x·p/T)·w = c. Old and new vectors are averaged, which is the
-    same as averaging the weights, so the state between steps is one vector per date: that is what
-    comes to the driver, T + 3 numbers per rebalance date.
+    Weights minimise variance / 2 - c Σ log w. Given the portfolio's T-vector p, every asset answers with the
+    root w of its own quadratic δ·v·w² + (1-δ)·(x·p/T)·w = c, and p is right when the answers' portfolio Σ w·x
+    is p itself. That is the zero of the gradient of a strictly convex function of T numbers, found by
+    Newton's method with halved steps: a round is one job that adds up T and T × T numbers a date by
+    partitions, then over 64 groups, then a date. It ends when no asset's contribution can be off by more than
+    ``tol`` of an equal one, and fails rather than return weights that are not there after ``rounds``.
+    What comes to the driver is T × (T + 1) numbers per rebalance date, whatever the number of assets.
+    The shrinkage is at least 1e-3, as more assets than dates have no equal contributions without it.
     """
     spark = windows.sparkSession
     shrink = shrinkage(windows, lookback, 0.1) if shrink is None else shrink
     start = inverse_volatility(windows, lookback).join(F.broadcast(shrink.select("rebalance_date", "delta")), "rebalance_date")
     start = start.withColumn("delta", F.greatest("delta", F.lit(1e-3)))
-    base = settled(start)  # read once per step
-    state = {r["rebalance_date"]: r for r in _portfolio_vector(base, lookback).collect()}
-    p = {k: np.array(r["p"]) for k, r in state.items()}
+    base = settled(start)  # read once per round
     delta = {r["rebalance_date"]: r["delta"] for r in base.groupBy("rebalance_date").agg(F.max("delta").alias("delta")).collect()}
-    own = {k: r["own"] for k, r in state.items()}
-    n = {k: r["n"] for k, r in state.items()}
+    at, trial, c = {}, {}, {}  # accepted state, point asked for, and scale of each date
+    for r in _portfolio_vector(base, lookback).collect():
+        day, p = r["rebalance_date"], np.array(r["p"])
+        trial[day] = p
+        c[day] = float(((1 - delta[day]) * p @ p / lookback + delta[day] * r["own"]) / r["n"])
     schema = "rebalance_date date, p array<double>, c double"
+    done: dict = {}
+
+    def book(points: dict) -> DataFrame:
+        return F.broadcast(spark.createDataFrame([(k, p.tolist(), c[k]) for k, p in points.items()], schema))
 
-    def step() -> DataFrame:
-        rows = [(k, [float(v) for v in p[k]],
-                 float(((1 - delta[k]) * p[k] @ p[k] / lookback + delta[k] * own[k]) / n[k])) for k in p]
-        book = F.broadcast(spark.createDataFrame(rows, schema))
-        a = (1 - F.col("delta")) * dot(F.col("x"), F.col("p")) / lookback
-        b = F.col("delta") * F.col("variance")
-        root = (F.sqrt(a * a + 4 * b * F.col("c")) - a) / (2 * b)
-        return base.drop("w").join(book, "rebalance_date").withColumn("w", root)
-
-    for _ in range(iterations):
-        new = {r["rebalance_date"]: r for r in _portfolio_vector(step().select("rebalance_date", "x", "variance", "w"), lookback).collect()}
-        moved = 0.0
-        for k, r in new.items():
-            scale = 1.0 / r["w_sum"]
-            q = np.array(r["p"]) * scale
-            moved = max(moved, float(np.abs(q - p[k]).max() / (np.abs(p[k]).max() + 1e-300)))
-            p[k] = (p[k] + q) / 2
-            own[k] = (own[k] + r["own"] * scale * scale) / 2
-        if moved < tol:
+    for _ in range(rounds):
+        if not trial:
             break
-    out = step()
+        asked = base.select("rebalance_date", "x", "variance", "delta").join(book(trial), "rebalance_date")
+        parts = asked.mapInPandas(_dual_sums(lookback), _DUAL).withColumn("_part", F.spark_partition_id() % 64)
+        parts = parts.groupBy("rebalance_date", "_part").applyInPandas(_dual_added, _DUAL)
+        for r in parts.groupBy("rebalance_date").applyInPandas(_dual_solved, _DUAL).collect():
+            day, p, g = r["rebalance_date"], trial[r["rebalance_date"]], np.array(r["g"])
+            k = (1 - delta[day]) / lookback
+            off, value = p - g, k * float(p @ p) / 2 - r["low"]
+            if r["reach"] * float(np.sqrt(off @ off)) <= tol:
+                done[day] = trial.pop(day)
+                continue
+            old = at.get(day)
+            if old is None or value <= old["value"] + 1e-4 * old["t"] * old["slope"] + 1e-13 * abs(old["value"]):
+                step = -np.array(r["h"]).reshape(lookback, lookback) @ off
+                at[day] = {"p": p, "value": value, "step": step, "slope": k * float(off @ step), "t": 1.0}
+            else:
+                old["t"] /= 2
+            trial[day] = at[day]["p"] + at[day]["t"] * at[day]["step"]
+    if trial:
+        raise ArithmeticError(f"risk parity has not converged on {sorted(trial)}")
+    a = (1 - F.col("delta")) * dot(F.col("x"), F.col("p")) / lookback
+    b = F.col("delta") * F.col("variance")
+    root = F.sqrt(a * a + 4 * b * F.col("c"))
+    w = F.when(a > 0, 2 * F.col("c") / (root + a)).otherwise((root - a) / (2 * b))
+    out = base.drop("w").join(book(done), "rebalance_date").withColumn("w", w) if done else base.withColumns({"p": F.col("x"), "c": F.lit(0.0)})
     total = out.groupBy("rebalance_date").agg(F.sum("w").alias("_all"))
     out = out.join(F.broadcast(total), "rebalance_date").withColumn("w", F.col("w") / F.col("_all")).drop("_all", "p", "c")
     if target_risk is not None:
-        book = _portfolio_vector(out, lookback).join(shrink.select("rebalance_date", "delta"), "rebalance_date")
+        held = _portfolio_vector(out, lookback).join(shrink.select("rebalance_date", "delta"), "rebalance_date")
         d = F.col("delta")
         vol = F.sqrt(((1 - d) * dot(F.col("p"), F.col("p")) / lookback + d * F.col("own")) * DAYS)
-        out = out.join(F.broadcast(book.select("rebalance_date", (target_risk / nonzero(vol)).alias("_k"))), "rebalance_date")
+        out = out.join(F.broadcast(held.select("rebalance_date", (target_risk / nonzero(vol)).alias("_k"))), "rebalance_date")
         out = out.withColumn("w", F.col("w") * F.col("_k")).drop("_k")
     return out.select("rebalance_date", "ticker", "x", "w")
 
@@ -245,30 +302,54 @@ def hold_weights(panel: DataFrame, targets: DataFrame, method: str) -> DataFrame
         .withColumns({"weight": F.coalesce("w", F.lit(0.0)), "method": F.lit(method)}).drop("w", "rebalance_date"))
 
 
+MODES = ("kelly", "risk_parity", "hrp")
+
+
 def build_portfolio(
-    panel: DataFrame, mode: str = "risk_parity", signal: str | None = None, lookback: int = 63, every: int = 63
+    panel: DataFrame, mode: str = "risk_parity", signal: str | None = None, lookback: int = 63, every: int = 63,
+    linkage: str = "single", equity: DataFrame | None = None,
 ) -> DataFrame:
-    """ticker, date, weight, method (and signal_value when weights are modulated by a signal).
+    """ticker, date, weight, method; signal_value where weights follow or are modulated by a signal, leverage_scale with an equity curve.
 
-    Modes: kelly, risk_parity. One row per input (ticker, date); no NULL weights.
+    One row per input (ticker, date); no NULL weights. With ``equity`` (date, equity) weights are cut while the
+    drawdown breaker is tripped.
     """
+    if mode not in MODES:
+        raise ValueError(f"unknown mode {mode}")
     if mode == "kelly":
         from tickerloom.operators.sizing import kelly_weights
 
         if signal is None:
             raise ValueError("kelly needs a signal")
-        return kelly_weights(panel, signal).select(
-            "ticker", "date", F.col("position_weight").alias("weight"), F.lit("kelly").alias("method"), "signal_value")
-    if mode != "risk_parity":
-        raise ValueError(f"unknown mode {mode}")
-    windows = return_windows(returns_from_prices(panel), lookback, every)
-    target = risk_parity(windows, lookback)
-    keep = ["ticker", "date"] + ([signal] if signal else [])
-    out = hold_weights(panel.select(*keep), target, mode)
-    if signal:
-        out = out.withColumn("signal_value", F.coalesce(signal, F.lit(0.0))).withColumn("weight", F.col("weight") * F.col("signal_value"))
-        return out.select("ticker", "date", "weight", "method", "signal_value")
-    return out.select("ticker", "date", "weight", "method")
+        out = kelly_weights(panel, signal).select("ticker", "date", F.col("position_weight").alias("weight"), F.lit("kelly").alias("method"), "signal_value")
+    else:
+        windows = return_windows(returns_from_prices(panel), lookback, every)
+        if mode == "hrp":
+            from tickerloom.operators.hierarchy import hrp
+
+            target = hrp(windows, lookback, linkage)
+        else:
+            target = risk_parity(windows, lookback)
+        out = hold_weights(panel.select("ticker", "date", *([signal] if signal else [])), target, mode)
+        columns = ["ticker", "date", "weight", "method"]
+        if signal:
+            out = out.withColumn("signal_value", F.coalesce(signal, F.lit(0.0))).withColumn("weight", F.col("weight") * F.col("signal_value"))
+            columns.append("signal_value")
+        out = out.select(*columns)
+    if equity is not None:
+        from tickerloom.operators.risk import RiskConfig, drawdown_breaker, drawdown_series
+
+        scale = drawdown_breaker(drawdown_series(equity), RiskConfig()).select("date", "leverage_scale")  # a row a date
+        out = out.join(F.broadcast(scale), "date", "left").withColumn("leverage_scale", F.coalesce("leverage_scale", F.lit(1.0)))
+        out = out.withColumn("weight", F.col("weight") * F.col("leverage_scale"))
+    return out
+
+
+def compare(panel: DataFrame, returns: DataFrame, signal: str, modes: Sequence[str] = MODES, lookback: int = 63, every: int = 63) -> DataFrame:
+    """``analyze`` of several modes side by side, a row per mode."""
+    columns = ["ticker", "date", "weight", "method"]
+    books = [build_portfolio(panel, m, signal if m == "kelly" else None, lookback, every).select(*columns) for m in modes]
+    return analyze(reduce(DataFrame.unionByName, books), returns)
 
 
 def analyze(weights: DataFrame, returns: DataFrame) -> DataFrame:

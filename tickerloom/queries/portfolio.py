@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from tickerloom.operators import construction as con
-from tickerloom.operators import enrich, risk, signals, sizing
+from tickerloom.operators import enrich, hierarchy, risk, signals, sizing
 from tickerloom.queries.registry import query, r, rounded
 from tickerloom.queries.research import CORE, fwd, panel, panel_sql
 from tickerloom.queries.sql import BARS, SECTORS, ctes, frame, lag, pct, r as sr, rs
@@ -348,34 +348,79 @@ def returns_pivot(spark, root):
     return rounded(con.pivot_returns(returns(spark, root), names), *names)
 
 
-# Iterated weights have no SQL; that they are positive and sum to one has.
-@query(
-    "risk_parity_weights",
-    ctes(*CP) + " SELECT rebalance_date, count(*) AS assets, 1.0::DOUBLE AS total, TRUE AS all_positive FROM sv WHERE i = j AND s > 1e-18 GROUP BY rebalance_date",
-)
+# Iterated and clustered weights have no SQL: tests hold versions over the whole matrix.
+@query("risk_parity_weights")
 def risk_parity_weights(spark, root):
+    """Weights with the share of risk that each carries."""
     w = windows(spark, root)
     shrink = con.shrinkage(w, LOOK, 0.1)
-    weights = con.risk_parity(w, LOOK, shrink)
-    return weights.groupBy("rebalance_date").agg(
-        F.count(F.lit(1)).alias("assets"), r(F.sum("w")).alias("total"), (F.min("w") > 0).alias("all_positive"))
+    out = con.risk_contributions(con.risk_parity(w, LOOK, shrink), shrink, LOOK)
+    return rounded(out.select("rebalance_date", "ticker", "weight", "share"), "weight", "share")
+
+
+@query("risk_parity_target_risk")
+def risk_parity_target_risk(spark, root):
+    """Weights scaled to 10 % volatility a year."""
+    w = windows(spark, root)
+    out = con.risk_parity(w, LOOK, con.shrinkage(w, LOOK), target_risk=0.10)
+    return rounded(out.select("rebalance_date", "ticker", F.col("w").alias("weight")), "weight")
+
+
+def _hrp_query(linkage: str) -> None:
+    @query(f"hrp_weights_{linkage}")
+    def hrp_weights(spark, root):
+        return rounded(hierarchy.hrp(windows(spark, root), LOOK, linkage).withColumnRenamed("w", "weight"), "weight")
+
+
+for _linkage in hierarchy.LINKAGES:
+    _hrp_query(_linkage)
+
+
+@query("hrp_with_clusters")
+def hrp_with_clusters(spark, root):
+    return rounded(hierarchy.hrp_with_clusters(windows(spark, root), LOOK, 8).withColumnRenamed("w", "weight"), "weight")
 
 
 @query("portfolio_comparison")
 def portfolio_comparison(spark, root):
-    p = panel(spark, root)
-    cols = ["ticker", "date", "weight", "method"]
-    both = con.build_portfolio(p, "kelly", MOM).select(*cols).unionByName(
-        con.build_portfolio(p, "risk_parity", lookback=LOOK, every=EVERY).select(*cols))
-    return rounded(con.analyze(both, returns(spark, root)), "exposure_mean", "mean_weight", "volatility", "sharpe")
+    """Kelly, risk parity and hierarchical risk parity side by side; the first has SQL of its own below."""
+    return rounded(con.compare(panel(spark, root), returns(spark, root), MOM, lookback=LOOK, every=EVERY),
+                   "exposure_mean", "mean_weight", "volatility", "sharpe")
+
+
+@query(
+    "portfolio_kelly_analysis",
+    ctes(*kelly_sql(), RETURNS, "kw AS (SELECT ticker, date, w * least(1.0, coalesce(1.0 / nullif(gross, 0), 1.0)) AS weight FROM k5)",
+         """kd AS (SELECT kw.date, sum(abs(weight)) AS e, sum(weight * coalesce(ret, 0)) AS x, avg(weight) AS w, count(*) AS n
+  FROM kw LEFT JOIN rets ON rets.ticker = kw.ticker AND rets.date = kw.date GROUP BY kw.date)""")
+    + f""" SELECT 'kelly' AS method, {sr('avg(e)')} AS exposure_mean, count(*) AS num_dates, {sr('sum(w * n) / sum(n)')} AS mean_weight,
+ {sr('stddev_samp(x) * sqrt(252.0)')} AS volatility, {sr('avg(x) / stddev_samp(x) * sqrt(252.0)')} AS sharpe FROM kd""",
+)
+def portfolio_kelly_analysis(spark, root):
+    return rounded(con.compare(panel(spark, root), returns(spark, root), MOM, ("kelly",)), "exposure_mean", "mean_weight", "volatility", "sharpe")
 
 
 @query(
-    "portfolio_modulated",
-    ctes(BARS, panel_sql()) + f" SELECT ticker, date, {sr(f'coalesce({MOM}, 0)')} AS signal_value, TRUE AS within_signal, TRUE AS same_side FROM panel",
+    "portfolio_with_breaker",
+    ctes(*kelly_sql(), RETURNS, EQUITY, BREAK, "kw AS (SELECT ticker, date, signal_value, w * least(1.0, coalesce(1.0 / nullif(gross, 0), 1.0)) AS weight FROM k5)")
+    + f""" SELECT kw.ticker, kw.date, {sr('weight * coalesce(leverage_scale, 1.0)')} AS weight, 'kelly' AS method, {sr('signal_value')} AS signal_value,
+ coalesce(leverage_scale, 1.0)::DOUBLE AS leverage_scale FROM kw LEFT JOIN br ON br.date = kw.date""",
 )
+def portfolio_with_breaker(spark, root):
+    """Kelly weights under an equity curve: halved while the drawdown breaker is tripped."""
+    out = con.build_portfolio(panel(spark, root), "kelly", MOM, equity=equity(spark, root))
+    return rounded(out, "weight", "signal_value").select("ticker", "date", "weight", "method", "signal_value", "leverage_scale")
+
+
+@query("portfolio_modulated")
 def portfolio_modulated(spark, root):
-    """A weight between 0 and 1 times the signal: never beyond it, never against it."""
+    """Risk parity weights times the signal."""
     out = con.build_portfolio(panel(spark, root), "risk_parity", MOM, LOOK, EVERY)
-    w, s = F.col("weight"), F.col("signal_value")
-    return out.select("ticker", "date", r("signal_value").alias("signal_value"), (F.abs(w) <= F.abs(s)).alias("within_signal"), (w * s >= 0).alias("same_side"))
+    return rounded(out, "weight", "signal_value")
+
+
+@query("portfolio_hrp_modulated")
+def portfolio_hrp_modulated(spark, root):
+    """Hierarchical risk parity weights times the signal, under an equity curve."""
+    out = con.build_portfolio(panel(spark, root), "hrp", MOM, LOOK, EVERY, "ward", equity(spark, root))
+    return rounded(out, "weight", "signal_value")
