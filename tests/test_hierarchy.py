@@ -6,6 +6,7 @@ import pytest
 
 from tickerloom.operators import construction as con
 from tickerloom.operators import hierarchy as H
+from tickerloom.operators.signals import with_forward_returns
 
 DAYS, T = (dt.date(2024, 1, 31), dt.date(2024, 4, 30)), 30
 
@@ -117,8 +118,8 @@ def test_equal_assets_and_unknown_linkage(spark):
 
 def test_portfolio_modes(spark, make_bars):
     rng = np.random.default_rng(2)
-    bars = make_bars({f"T{i}": 100 * np.exp(np.cumsum(0.01 * rng.normal(size=70))) for i in range(5)})
-    panel = bars.withColumn("sig", (bars["close"] / 100 - 1)).cache()
+    bars = make_bars({f"T{i}": (100 * np.exp(np.cumsum(0.01 * rng.normal(size=70)))).tolist() for i in range(5)})
+    panel = with_forward_returns(bars.withColumn("sig", bars["close"] / 100 - 1), [1]).cache()
     equity = panel.select("date").distinct().toPandas().sort_values("date")
     equity["equity"] = [100.0] * 40 + [70.0] * 30
     equity = spark.createDataFrame(equity, "date date, equity double")

@@ -13,7 +13,8 @@ from tickerloom.functions.rolling import ema
 from tickerloom.operators import construction as con
 from tickerloom.operators import ledger, monitor
 from tickerloom.operators.scan import affine_scan
-from tickerloom.plans.ranks import average_ranks, series_rank, value_band
+from tickerloom.plans import ranks
+from tickerloom.plans.ranks import average_ranks, series_rank
 from tickerloom.sources import market
 
 
@@ -30,33 +31,35 @@ def skewed(spark):
     return pdf
 
 
-@pytest.mark.parametrize("rank", [average_ranks, series_rank])
-def test_average_rank_matches_pandas(spark, skewed, rank):
+@pytest.mark.parametrize("rank,rows", [(average_ranks, 1_000_000), (average_ranks, 40), (average_ranks, 7), (series_rank, 0)])
+def test_average_rank_matches_pandas(spark, monkeypatch, skewed, rank, rows):
+    monkeypatch.setattr(ranks, "BAND_ROWS", rows)
     df = spark.createDataFrame(skewed.astype(object).where(skewed.notna(), None), "g bigint, v double, i bigint")
-    df = df.withColumn("u", F.when(F.col("v") > 0, F.round("v", 1)))
-    got = rank(df, ["g"], {"v": "rk", "u": "ru"}).toPandas().sort_values("i")
+    df = df.withColumn("u", F.when(F.col("v") > 0, F.round("v", 1))).withColumn("g", F.nullif("g", F.lit(3)))
+    got = rank(df, ["g"], {"v": "rk", "u": "ru"}, count="_n").toPandas().sort_values("i")
     assert len(got) == len(skewed)
     for value, out in (("v", "rk"), ("u", "ru")):
-        want = got.groupby("g")[value].rank(method="average").to_numpy()
-        assert np.allclose(got[out].to_numpy(), want, equal_nan=True)
+        groups = got.groupby(got["g"].fillna(-1))[value]
+        assert np.allclose(got[out].to_numpy(), groups.rank(method="average").to_numpy(), equal_nan=True)
+        known = got[value].notna()
+        assert (got[out + "_n"][known] == groups.transform("count")[known]).all()
 
 
-def test_narrow_values_far_from_zero_are_cut_into_many_bands(spark):
-    """Prices of 1000 to 1003, two such clusters, and outliers: exact ranks, and no band with more than a few hundredths of a group."""
+def test_hot_values_and_narrow_ranges_fall_into_small_bands(spark, monkeypatch):
+    """Half of the rows equal, the rest in a narrow range far from zero with outliers: exact ranks, no large band to sort."""
+    monkeypatch.setattr(ranks, "BAND_ROWS", 50)
     rng = np.random.default_rng(7)
-    v = np.concatenate([rng.uniform(1000, 1003, 3000), rng.uniform(-5e6, -5e6 + 1, 1500), [1e12, -1e12, 0.0]])
-    pdf = pd.DataFrame({"g": 1, "v": v, "i": range(len(v))})
+    v = np.concatenate([np.full(3000, 1001.5), rng.uniform(1000, 1003, 2000), rng.uniform(-5e6, -5e6 + 1, 1000), [1e12, -1e12, 0.0]])
+    pdf = pd.DataFrame({"g": 1, "v": rng.permutation(v), "i": range(len(v))})
     df = spark.createDataFrame(pdf)
     got = average_ranks(df, ["g"], {"v": "rk"}, count="_n").toPandas().sort_values("i")
     assert np.allclose(got["rk"], pdf["v"].rank()) and set(got["rk_n"]) == {len(v)}
-    centre = df.agg(F.min_by("v", F.xxhash64("v", F.lit(0)))).first()[0]
-    sizes = df.groupBy(value_band(F.col("v") - centre)).count().toPandas()["count"]
-    assert len(sizes) > 60
-
-
-def test_value_bands_never_fall(spark, skewed):
-    out = spark.createDataFrame(skewed[["v"]].dropna()).select("v", value_band(F.col("v")).alias("b")).toPandas().sort_values("v")
-    assert (np.diff(out["b"]) >= 0).all() and out["b"].nunique() > 100
+    cuts = df.agg(F.array_distinct(F.percentile_approx("v", [(j + 1) / 121 for j in range(120)], 10_000))).first()[0]
+    band = ranks._band(F.col("v"), F.array(*[F.lit(c) for c in cuts]), 120)
+    sizes = df.groupBy(band.alias("b"), (band % 2 == 1).alias("cut")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("v").alias("values")).toPandas()
+    assert sizes[~sizes["cut"]]["n"].max() < 150 and (sizes[sizes["cut"]]["values"] == 1).all() and sizes["n"].max() >= 3000
+    ordered = df.select("v", band.alias("b")).toPandas().sort_values("v")["b"]
+    assert (np.diff(ordered) >= 0).all()
 
 
 @pytest.mark.parametrize("chunk", [None, "c"])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tickerloom.functions.rolling import rolling_mean, series
 from tickerloom.operators.signals import signal_columns
 from tickerloom.plans.ranks import average_ranks, series_rank
+from tickerloom.plans.scale import settled
 
 MIN_POOLED = 100
 
@@ -30,6 +31,14 @@ def to_long(
     return df.select(*keys, F.inline(cells))
 
 
+def pooled_long(
+    df: DataFrame, signals: Sequence[str], horizons: Sequence[int], keys: Sequence[str], target: str = "forward_return_{h}"
+) -> DataFrame:
+    """``to_long`` for ranks over whole groups, which read their input several times: the wide rows are written once."""
+    wide = df.select(*dict.fromkeys([*keys, *signals, *[target.format(h=h) for h in horizons]]))
+    return to_long(settled(wide), signals, horizons, keys, target)
+
+
 def safe_corr(x: str, y: str) -> Column:
     """Correlation of two complete columns; NULL where either does not vary (corr itself raises then)."""
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
@@ -58,12 +67,12 @@ def rank_ic_by(long: DataFrame, keys: Sequence[str], min_rows: int = 2) -> DataF
 def rank_ic(df: DataFrame, signal: str, target: str, min_rows: int = MIN_POOLED) -> DataFrame:
     """Pooled rank IC of one signal: one row (ic, win_rate, n_obs); ic NULL under ``min_rows``."""
     pooled = df.select(F.lit(1).alias("_all"), F.col(signal).cast("double").alias("s"), F.col(target).cast("double").alias("f")).dropna()
-    return rank_ic_by(pooled, ["_all"], min_rows).drop("_all")
+    return rank_ic_by(settled(pooled), ["_all"], min_rows).drop("_all")
 
 
 def ic_decay(df: DataFrame, signals: Sequence[str], horizons: Sequence[int]) -> DataFrame:
     """Pooled IC of each signal at each horizon."""
-    return rank_ic_by(to_long(df, signals, horizons, []), ["signal", "horizon"], MIN_POOLED)
+    return rank_ic_by(pooled_long(df, signals, horizons, []), ["signal", "horizon"], MIN_POOLED)
 
 
 def signal_stats(df: DataFrame, signals: Sequence[str]) -> DataFrame:
@@ -134,7 +143,7 @@ def compare_universes(
     """IC of each signal in two row sets, their difference, its tier and the relative improvement."""
     sides = F.array_compact(F.array(F.when(base, F.lit("base")), F.when(other, F.lit("other"))))
     tagged = df.withColumn("side", F.explode(sides))
-    ic = rank_ic_by(to_long(tagged, signals, horizons, ["side"]), ["side", "signal", "horizon"], MIN_POOLED)
+    ic = rank_ic_by(pooled_long(tagged, signals, horizons, ["side"]), ["side", "signal", "horizon"], MIN_POOLED)
     out = ic.groupBy("signal", "horizon").agg(
         F.max(F.when(F.col("side") == "base", F.col("ic"))).alias("base_ic"),
         F.max(F.when(F.col("side") == "other", F.col("ic"))).alias("other_ic"),
@@ -148,7 +157,7 @@ def compare_universes(
 def forward_test(df: DataFrame, horizons: Sequence[int] = (1, 5, 21), signals: Sequence[str] | None = None) -> DataFrame:
     """IC and win rate per signal and horizon, pooled (scope 'ALL') and per ticker."""
     signals = signal_columns(df) if signals is None else signals
-    long = to_long(df, signals, horizons, ["ticker"])
+    long = pooled_long(df, signals, horizons, ["ticker"])
     pooled = rank_ic_by(long.drop("ticker"), ["signal", "horizon"], MIN_POOLED).withColumn("scope", F.lit("ALL"))
     single = rank_ic_by(long, ["ticker", "signal", "horizon"], MIN_POOLED).withColumnRenamed("ticker", "scope")
     return pooled.unionByName(single).select("scope", "signal", "horizon", "ic", "win_rate", "n_obs")

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickerloom.operators.metrics import MIN_POOLED, rank_ic_by, signal_stats, to_long
+from tickerloom.operators.metrics import MIN_POOLED, pooled_long, rank_ic_by, signal_stats
 from tickerloom.operators.signals import Signal, generate, mean_reversion, momentum, with_forward_returns
 
 PERCENTS = (-20, -10, 0, 10, 20)
@@ -47,7 +47,7 @@ def perturb(df: DataFrame, families: Sequence[str], percents: Sequence[float] =
             variants.append((name, next(iter(tunable(build(base)))), base, value, build(value)))
     panel = generate(with_forward_returns(df, [horizon]), list({v[4].column: v[4] for v in variants}.values()))
     cols = sorted({v[4].column for v in variants})
-    ic = rank_ic_by(to_long(panel, cols, [horizon], []), ["signal", "horizon"], MIN_POOLED)
+    ic = rank_ic_by(pooled_long(panel, cols, [horizon], []), ["signal", "horizon"], MIN_POOLED)
     found = signal_stats(panel, cols).join(ic, "signal", "left")
     keys = df.sparkSession.createDataFrame(
         [(n, p, b, v, s.column) for n, p, b, v, s in variants], "name string, parameter string, base int, value int, signal string")

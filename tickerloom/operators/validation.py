@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tickerloom.functions.rolling import series
 from tickerloom.operators.features import calendar_window
-from tickerloom.operators.metrics import rank_ic_by, to_long
+from tickerloom.operators.metrics import pooled_long, rank_ic_by
 from tickerloom.operators.signals import signal_columns
 
 SEGMENTS = ("train", "validation", "hold_back")
@@ -195,7 +195,7 @@ def fold_metrics(
     if target == "return":
         outcome = {h: F.try_divide(c, F.col("close")) - 1 for h, c in outcome.items()}
     rows = rows.withColumns({f"_f{h}": c for h, c in outcome.items()})
-    ic = rank_ic_by(to_long(rows, signals, horizons, ["fold"], target="_f{h}"), ["fold", "signal", "horizon"])
+    ic = rank_ic_by(pooled_long(rows, signals, horizons, ["fold"], target="_f{h}"), ["fold", "signal", "horizon"])
     ic = ic.withColumn("ic", F.coalesce("ic", F.lit(0.0)))
     return ic.join(F.broadcast(bounds), "fold")
 

@@ -9,18 +9,11 @@ from pyspark.sql import functions as F
 
 from tickerloom.plans.scale import settled
 
-BANDS_PER_OCTAVE = 64
-CENTRES = 3
-
-
-def value_band(x: Column) -> Column:
-    """A whole number that never falls as ``x`` rises, and cuts every octave on either side of 0 into bands."""
-    a = F.abs(x)
-    octave = F.floor(F.log2(F.greatest(a, F.lit(1e-300))))
-    within = F.floor((a / F.pow(F.lit(2.0), octave) - 1) * BANDS_PER_OCTAVE)
-    within = F.greatest(F.lit(0), F.least(F.lit(BANDS_PER_OCTAVE - 1), within))
-    band = (octave + 1100) * BANDS_PER_OCTAVE + within + 1
-    return F.when(a == 0, F.lit(0)).when(x < 0, -band).otherwise(band).cast("long")
+#: Rows a band should hold, and the most cuts a group is given; beyond, bands grow (a window spills them).
+BAND_ROWS, MOST_CUTS = 1_000_000, 10_000
+#: Cells of a table of cuts that are broadcast; beyond, it is joined by shuffle.
+FEW_CELLS = 2_000_000
+SALTS = 64
 
 
 def series_rank(df: DataFrame, keys: Sequence[str], values: Mapping[str, str], count: str = "") -> DataFrame:
@@ -36,51 +29,59 @@ def series_rank(df: DataFrame, keys: Sequence[str], values: Mapping[str, str], c
     return df
 
 
+def _band(x: Column, cuts: Column, most: int) -> Column:
+    """Twice the number of cuts below ``x``, by halving steps, plus one where it is a cut itself."""
+    steps = F.array(*[F.lit(1 << j) for j in reversed(range(most.bit_length()))])
+    below = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.try_element_at(cuts, at + step) < x, at + step).otherwise(at))
+    return F.transform(F.array(below), lambda n: 2 * n + F.when(F.try_element_at(cuts, n + 1) == x, 1).otherwise(0))[0]
+
+
 def average_ranks(df: DataFrame, keys: Sequence[str], values: Mapping[str, str], count: str = "") -> DataFrame:
     """Add ``out``, the 1-based average-tie rank of a double column within ``keys``, for each ``value: out``; NULLs get none.
 
     ``count`` (a suffix to ``out``) asks for the number of ranked rows of the group as well.
 
-    All columns are ranked in one pass. Equal values collapse before the shuffle, so a value that fills
-    a third of the table is one row. A group is then cut into bands: octaves of the distance to a few of
-    its own values, drawn by hash. Wherever a group's values crowd, such a value lies among them, so a
-    narrow range far from zero is cut as finely as a wide one. Ordering happens inside a band; a small
-    table of band counts supplies what lies before it. Bands depend on the values alone, never on
-    a sample of rows, so a recomputed task cuts the same ones.
+    A group is cut at approximate quantiles of its own into bands of about ``BAND_ROWS`` rows. Every cut is a
+    band of its own: its rows are equal, so their rank follows from the numbers of rows before and in the
+    band, without sorting, however many they are; and any value with more rows than a band has is
+    a cut. The other bands are sorted each on its own, which is the only exchange of rows a column
+    takes; a small table of band sizes supplies what lies before. The cuts are written once, so a
+    recomputed task uses the same ones. ``df`` is read once more than there are columns, twice for cuts and sizes.
     """
-    keys, df = list(keys), settled(df)  # read for the distinct values, and once for each column
-    tagged = [F.struct(F.lit(i).alias("_tag"), (F.col(v).cast("double") + F.lit(0.0)).alias("_v")) for i, v in enumerate(values)]
-    stacked = df.select(*keys, F.inline(F.array(*tagged))).filter("_v IS NOT NULL")
-    group = [*keys, "_tag"]
-    distinct = stacked.groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    centres = [f"_c{i}" for i in range(CENTRES)]
-    cuts = distinct.groupBy(*group).agg(
-        *[F.min_by("_v", F.xxhash64("_v", F.lit(i))).alias(c) for i, c in enumerate(centres)], F.sum("_n").alias("_whole"))
-    same = F.col("d._tag") == F.col("c._tag")
-    for k in keys:
-        same &= F.col(f"d.{k}").eqNullSafe(F.col(f"c.{k}"))
-    bands = [f"_b{i}" for i in range(CENTRES)]
-    banded = distinct.alias("d").join(cuts.alias("c"), same).select(
-        "d.*", "_whole", *[value_band(F.col("_v") - F.col(c)).alias(b) for c, b in zip(centres, bands)])
-    # each band number never falls with the value, so their order as a tuple doesn't either
-    inside = Window.partitionBy(*group, *bands).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ordered = banded.withColumn("_upto", F.sum("_n").over(inside))
-    before = Window.partitionBy(*group).orderBy(*bands).rowsBetween(Window.unboundedPreceding, -1)
-    heads = banded.groupBy(*group, *bands).agg(F.sum("_n").alias("_bn"))
-    heads = heads.withColumn("_before", F.coalesce(F.sum("_bn").over(before), F.lit(0))).drop("_bn")
-    same = F.col("o._tag") == F.col("h._tag")
-    for k in keys:
-        same &= F.col(f"o.{k}").eqNullSafe(F.col(f"h.{k}"))
-    for b in bands:
-        same &= F.col(f"o.{b}") == F.col(f"h.{b}")
-    rank = F.col("_before") + F.col("_upto") - (F.col("_n") - 1) / F.lit(2.0)
-    ranks = ordered.alias("o").join(heads.alias("h"), same).select("o._tag", *[F.col(f"o.{k}").alias(f"_k_{k}") for k in keys], "_v", rank.alias("_rank"), "_whole")
-    for i, (value, out) in enumerate(values.items()):
-        own = ranks.filter(F.col("_tag") == i).select(*[f"_k_{k}" for k in keys], F.col("_v").alias("_rv"), F.col("_rank").alias(out),
-                                                     *([F.col("_whole").alias(out + count)] if count else []))
-        # a hot value is a skewed key with one match, which adaptive execution splits
-        on = (F.col(value).cast("double") + F.lit(0.0)) == F.col("_rv")
-        for k in keys:
-            on &= F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-        df = df.join(own, on, "left").drop("_rv", *[f"_k_{k}" for k in keys])
-    return df
+    keys, tags = list(keys), list(enumerate(values.items()))
+    df = df.withColumns({f"_v{i}": F.col(v).cast("double") + F.lit(0.0) for i, (v, _) in tags})
+    biggest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.count(F.lit(1))).first()
+    most = max(1, min(MOST_CUTS, -(-(biggest[0] or 0) // BAND_ROWS)))
+    shares = [(j + 1) / (most + 1) for j in range(most)]
+    cuts = settled(df.groupBy(*keys).agg(
+        *[F.array_distinct(F.percentile_approx(f"_v{i}", shares, max(10_000, 20 * most))).alias(f"_c{i}") for i, _ in tags],
+        *[F.count(f"_v{i}").alias(f"_n{i}") for i, _ in tags]))
+    few = biggest[1] * most * len(tags) <= FEW_CELLS
+
+    def attached(rows: DataFrame, table: DataFrame, on: Sequence[str]) -> DataFrame:
+        table = table.select(*[F.col(k).alias(f"_k_{k}") for k in on], *[c for c in table.columns if c not in on])
+        same = F.lit(True)
+        for k in on:
+            same &= F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+        return rows.join(F.broadcast(table) if few else table, same, "left").drop(*[f"_k_{k}" for k in on])
+
+    df = attached(df, cuts, keys)
+    bands = {i: _band(F.col(f"_v{i}"), F.col(f"_c{i}"), most) for i, _ in tags}
+    df = df.withColumns({f"_b{i}": F.when(F.col(f"_v{i}").isNotNull(), b) for i, b in bands.items()})
+    df = df.withColumns({f"_on{i}": F.col(f"_b{i}") % 2 == 1 for i, _ in tags})
+    df = df.drop(*[f"_c{i}" for i, _ in tags])
+    counted = df
+    for i, (_, out) in tags:
+        heads = counted.filter(F.col(f"_b{i}").isNotNull()).groupBy(*keys, f"_b{i}").agg(F.count(F.lit(1)).alias("_size"))
+        before = Window.partitionBy(*keys).orderBy(f"_b{i}").rowsBetween(Window.unboundedPreceding, -1)  # a row a band
+        df = attached(df, heads.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0))), [*keys, f"_b{i}"])
+        # rows of cuts and NULLs need no order: they are dealt out
+        salt = F.when(F.col(f"_on{i}") | F.col(f"_v{i}").isNull(), F.pmod(F.xxhash64(*[f"_v{j}" for j, _ in tags]), F.lit(SALTS))).otherwise(-1)
+        w = Window.partitionBy(*keys, f"_b{i}", f"_s{i}").orderBy(f"_v{i}")
+        peers = F.count(F.lit(1)).over(w.rangeBetween(Window.currentRow, Window.currentRow))
+        inside = F.when(F.col(f"_on{i}"), (F.col("_size") + 1) / F.lit(2.0)).otherwise(F.rank().over(w) + (peers - 1) / F.lit(2.0))
+        df = df.withColumn(f"_s{i}", salt).withColumn(out, F.when(F.col(f"_v{i}").isNotNull(), F.col("_before") + inside))
+        if count:
+            df = df.withColumn(out + count, F.when(F.col(f"_v{i}").isNotNull(), F.col(f"_n{i}")))
+        df = df.drop("_size", "_before", f"_s{i}")
+    return df.drop(*[f"_{x}{i}" for i, _ in tags for x in ("v", "n", "b", "on")])
