@@ -43,6 +43,10 @@ def test_files_give_back_every_document_in_order(spark, monkeypatch):
     for r in got:
         assert r["start"] == at and (r["n_tokens"], r["ids_crc32"]) in {(len(b) // 4, zlib.crc32(b)) for b in by_id[r["doc_id"]]}
         at += r["n_tokens"]
+    path = T.shared_folder(spark, "test-token-files")
+    T.write(df, path)
+    whole = T.read(spark, path).collect()
+    assert sorted((r["doc_id"] or -1, len(r["ids"]) // 4, zlib.crc32(r["ids"])) for r in whole) == sorted((r["doc_id"] or -1, r["n_tokens"], r["ids_crc32"]) for r in got)
 
 
 def test_empty_table(spark):

@@ -15,6 +15,7 @@ are documents of their own, in the order of their texts' hashes; an empty table
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -76,13 +77,18 @@ def write(docs: DataFrame, path: str, end_id: int = END_ID, vocabulary: str | No
     rows.mapInPandas(encode, BLOCKS).write.option("compression", "none").parquet(path)
 
 
-def read(spark: SparkSession, path: str, vocabulary: str | None = None) -> DataFrame:
-    """file, start (ids of the file's documents before), doc_id, ids (little-endian uint32) of each document."""
+def read(spark: SparkSession, path: str, vocabulary: str | None = None, digests: bool = False) -> DataFrame:
+    """file, start (ids of the file's documents before), doc_id, ids (little-endian uint32) of each document.
+
+    With ``digests`` the number of ids and their crc32 come in place of the ids, taken as the blocks are decoded.
+    """
+
+    schema = "file long, start long, doc_id long, " + ("n_tokens long, ids_crc32 long" if digests else "ids binary")
 
     def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         size = encoder(vocabulary, SMALL_CACHE).tokenizer.get_vocab_size()
         now = -1
-        at, doc_id, want, parts, got = 0, None, 0, [], 0
+        at, doc_id, want, parts, got, crc = 0, None, 0, [], 0, 0
 
         def lots() -> Iterator[pd.DataFrame]:
             waiting: list[pd.DataFrame] = []
@@ -111,22 +117,25 @@ def read(spark: SparkSession, path: str, vocabulary: str | None = None) -> DataF
                         if got != want:
                             raise ValueError(f"file {now} lacks ids of a document")
                         doc_id, want, place = docs[i]
-                        parts, got = [], 0
+                        parts, got, crc = [], 0, 0
                     stop = starts[i + 1]
                     if stop > place:
-                        parts.append(raw[4 * place:4 * stop])
+                        part = raw[4 * place:4 * stop]
                         got += stop - place
+                        if digests:
+                            crc = zlib.crc32(part, crc)
+                        else:
+                            parts.append(part)
                         if got == want:
-                            out.append((now, at, doc_id, b"".join(parts)))
+                            out.append((now, at, doc_id, *((got, crc) if digests else (b"".join(parts),))))
                             at += got
                             parts = []
-            yield pd.DataFrame(out, columns=["file", "start", "doc_id", "ids"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")]).astype({"doc_id": "Int64"})
         if got != want:
             raise ValueError(f"file {now} ends inside a document")
 
     rows = spark.read.schema(BLOCKS).parquet(path).select("file", "block", "data")
-    return rows.repartition("file").sortWithinPartitions("file", "block").mapInPandas(
-        decode, "file long, start long, doc_id long, ids binary")
+    return rows.repartition("file").sortWithinPartitions("file", "block").mapInPandas(decode, schema)
 
 
 def offsets(spark: SparkSession, path: str) -> DataFrame:
@@ -141,6 +150,6 @@ def round_trip(docs: DataFrame, path: str | None = None, **options) -> DataFrame
     spark = docs.sparkSession
     path = path or shared_folder(spark, "token-files")
     write(docs, path, **options)
-    rows = read(spark, path, options.get("vocabulary")).join(offsets(spark, path), "file")
-    return rows.select("doc_id", (F.col("before") + F.col("start")).alias("start"),
-                       F.expr("cast(length(ids) / 4 as long)").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+    # a row a file: small beside the files themselves, and no document travels to meet it
+    rows = read(spark, path, options.get("vocabulary"), digests=True).join(F.broadcast(offsets(spark, path)), "file")
+    return rows.select("doc_id", (F.col("before") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
