@@ -1,4 +1,6 @@
 import random
+
+import pytest
 import re
 
 import xxhash
@@ -54,8 +56,30 @@ def test_whole_operator_against_brute_force(spark):
     groups = slow_groups(list(zip(ids, prints)))
     want = [(ids[i], f"{prints[i]:016x}", groups[i]) for i in range(len(ids))]
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
-    kept = [r["doc_id"] for r in S.one_of_each(df).collect()]
-    assert sorted(kept) == sorted({g for g in groups.values() if g is not None})
+    kept = S.one_of_each(df).collect()
+    assert {r["doc_id"] for r in kept} == set(groups.values())
+    # one row of every group, also where groups share an id
+    own = slow_groups(list(enumerate(prints)))
+    place = {texts[i]: own[i] for i in range(len(texts))}
+    assert sorted(place[r["text"]] for r in kept) == sorted(set(own.values()))
+
+
+@pytest.mark.parametrize("rows,want", [
+    ([(1, "a"), (2, "a"), (2, "b")], {(1, "a"), (2, "b")}),
+    ([(2, "a"), (2, "b"), (3, "b")], {(2, "a"), (2, "b")}),
+    ([(4, "a"), (4, "a"), (None, "a"), (None, "c"), (None, "c")], {(4, "a"), (None, "c")}),
+    ([(5, None), (6, ""), (5, " ")], None),
+])
+def test_no_group_loses_its_only_text(spark, rows, want):
+    """Ids that repeat with other texts, equal rows, rows without ids."""
+    texts = {"a": "one two three four five six seven", "b": "alpha beta gamma delta epsilon zeta", "c": "red green blue black white grey"}
+    df = spark.createDataFrame([(i, texts.get(t, t), "x") for i, t in rows], "doc_id long, text string, root string").repartition(3)
+    got = {(r["doc_id"], r["text"]) for r in S.one_of_each(df).collect()}
+    if want is None:  # all empty: one group, of which one row of the smallest id stays
+        assert len(got) == 1 and got <= {(5, None), (5, " ")}
+    else:
+        assert got == {(i, texts[t]) for i, t in want}
+    assert S.one_of_each(df).count() == len(got)
 
 
 def test_long_lists_are_split_and_lose_no_link(spark):

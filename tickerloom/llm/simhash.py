@@ -149,14 +149,14 @@ def links(fps: DataFrame, limit: int = LIST) -> DataFrame:
     return rows.repartition("list").sortWithinPartitions("list", "fp").mapInPandas(_links, "a long, b long")
 
 
-def grouped(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id) of every row of ``docs``."""
-    prints, _ = written(docs.select("doc_id", fingerprint("text").alias("fp")), "simhash")
+def grouped(docs: DataFrame, *keys: Column) -> DataFrame:
+    """(doc_id, fp, root, component_id) of every row of ``docs``, and further ``keys`` of it; ``root`` names the component."""
+    prints, _ = written(docs.select("doc_id", fingerprint("text").alias("fp"), *keys), "simhash")
     fps = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = connected(links(fps.select("fp")))
     named = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    return prints.join(named.join(smallest, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return prints.join(named.join(smallest, "root").select("fp", "root", "component_id"), "fp")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -165,16 +165,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` less all but one document of each group: that with the smallest id stays.
+    """``docs`` less all but one row of each group: that with the smallest id stays, rows without an id last.
 
-    Rows that repeat an id are one document. Of documents without an id one stays if their group
-    has no id at all.
+    Rows that repeat an id with other texts are documents of their own groups. Among rows of the smallest id
+    of one group the order of fingerprint and of a hash of the row decides, so reruns keep the same one;
+    rows that are equal in every column are one.
     """
-    names = docs.columns
-    groups = grouped(docs)
-    stay = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(stay, docs["doc_id"] == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
-    nameless = groups.filter("component_id IS NULL").select(F.col("fp").alias("_f")).distinct()
-    unnamed = docs.filter("doc_id IS NULL").withColumn("_fp", fingerprint("text"))
-    unnamed = unnamed.join(nameless, unnamed["_fp"] == F.col("_f"), "left_semi").dropDuplicates(["_fp"])
-    return kept.select(*names).unionByName(unnamed.select(*names))
+    plain = [c for c, t in docs.dtypes if "map<" not in t]  # maps have no hash
+    marks = [F.xxhash64(F.lit(i), *plain).alias(f"_h{i}") for i in (1, 2)]
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "fp", "_h1", "_h2"))
+    stay = grouped(docs, *marks).groupBy("root").agg(first.alias("s")).select("s._h1", "s._h2")
+    kept = docs.withColumns({f"_h{i}": m for i, m in zip((1, 2), marks)}).join(stay, ["_h1", "_h2"], "left_semi")
+    return kept.dropDuplicates(["_h1", "_h2"]).select(*docs.columns)
