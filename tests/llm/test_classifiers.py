@@ -159,3 +159,16 @@ def test_toxic_phrase_counts_wherever_it_stands():
             one = [weigh(w)[0] for w, before in zip(lot, [None, *lot]) if w != before]
             want.append((i, sum(one) / T.WINDOW + 0.5))
     assert text.tolist() == [i for i, _ in want] and np.allclose(odds, [v for _, v in want])
+
+
+def test_sample_is_bounded_where_ids_repeat(spark):
+    """50,000 rows of one labelled id and a text beyond the bound: one row an id, whatever the rows."""
+    from tickerloom.llm.common import LONGEST, labelled_sample
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1]
+    rows = spark.range(50_000).selectExpr(f"{ids[0]} AS doc_id", "concat('copy ', id % 7) AS text")
+    rows = rows.union(spark.createDataFrame([(i, f"text {i}") for i in ids[1:]] + [(ids[1], "text")], "doc_id int, text string"))
+    rows = rows.union(spark.range(1).selectExpr("99 AS doc_id", f"repeat('x', {LONGEST + 1}) AS text"))
+    labels = spark.createDataFrame([(i, i % 2) for i in [*ids, 99]], "doc_id int, toxic int")
+    got, _ = labelled_sample(rows, labels, "toxic", 4000, "toxic:")
+    again, _ = labelled_sample(rows.repartition(5), labels, "toxic", 4000, "toxic:")
+    assert len(got) == len(ids) and got == again and max(len(t) for t, _ in got) < 20

@@ -15,6 +15,8 @@ from tickerloom.session import ensure_checkpoint_dir
 #: White space of the word rule ``[^\x20\x09-\x0D]+``, which is also what ``bytes.split()`` splits on.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
+#: Characters of the longest text that a classifier learns from; texts of any length are scored.
+LONGEST = 500_000
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -60,7 +62,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, s
 
     Ids are drawn by hash, so the sample depends on neither row order nor partitions. A label is
     used once per id: ids that the labels mark both ways are left out. The sampled labels have a
-    known bound and are broadcast, so no text is shuffled.
+    known bound and are broadcast. An id gives one text, that with the smallest hash where rows repeat it, and none
+    that is longer than ``LONGEST`` characters, so what comes to the driver is bounded in rows and in size.
     """
     known = (
         labels.select(F.col("doc_id"), F.col(label).cast("int").alias("y"))
@@ -79,7 +82,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, s
     for k in counts:
         keep |= (F.col("y") == k) & (F.col("_h") < F.lit(int(share[k] * 2**32)))
     chosen = known.filter(keep).select("doc_id", "y")
-    got = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id").collect()
+    texts = docs.select("doc_id", text_of().alias("text")).filter(F.length("text") <= LONGEST)
+    got = (
+        texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y")
+        .agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).collect())
     return sorted((r["text"], r["y"]) for r in got), (share.get(0, 1.0), share.get(1, 1.0))
 
 
