@@ -156,6 +156,32 @@ def test_meta_learner(panel):
     assert m.evaluate(panel).first()["auc"] > 0.5
 
 
+def test_meta_learner_against_a_walk_of_its_trees(panel):
+    m = meta.MetaLearner(CORE, maxIter=4).fit(panel, dt.date(2019, 12, 1))
+    rows = m.signal(panel).join(m.predict(panel).select("ticker", "date", "ml_probability"), ["ticker", "date"]).toPandas()
+
+    def walk(node, x):
+        while node.subtreeDepth() > 0:
+            split = node.split()
+            node = node.leftChild() if x[split.featureIndex()] <= split.threshold() else node.rightChild()
+        return node.prediction()
+
+    trees = [t._java_obj.rootNode() for t in m._model.trees]
+    few = rows.sample(40, random_state=1)
+    for _, r in few.iterrows():
+        x = [0.0 if np.isnan(r[c]) else r[c] for c in CORE]
+        margin = sum(w * walk(t, x) for w, t in zip(m._model.treeWeights, trees))
+        assert r["ml_probability"] == pytest.approx(1 / (1 + np.exp(-2 * margin)))
+        assert r["signal_lightgbm_ml"] == pytest.approx(2 * r["ml_probability"] - 1)
+    known = rows.dropna(subset=["forward_return_5"])
+    y, p = (known["forward_return_5"] > 0).to_numpy(), known["ml_probability"].to_numpy()
+    rank = known["ml_probability"].rank().to_numpy()
+    auc = (rank[y].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (~y).sum())
+    got = m.evaluate(panel).first()
+    assert got["n"] == len(known) and got["auc"] == pytest.approx(auc, abs=2e-3)
+    assert got["logloss"] == pytest.approx(-np.log(np.where(y, p, 1 - p)).mean())
+
+
 def test_kelly_numbers(spark):
     k = lambda *a: spark.range(1).select(sizing.kelly_fraction(*[F.lit(x) for x in a[:3]], a[3]).alias("k")).first()["k"]
     assert k(0.6, 0.02, 0.01, 0.25) == pytest.approx(0.1)
