@@ -1,4 +1,6 @@
 import numpy as np
+import pandas as pd
+import pytest
 
 from tickerloom.llm import forest as R
 
@@ -22,7 +24,10 @@ def rows_of(df):
     return out
 
 
-def test_recall_and_exact_scores(spark):
+@pytest.mark.parametrize("sample", [R.SAMPLE, 500])
+def test_recall_and_exact_scores(spark, monkeypatch, sample):
+    # with 500, most vectors were not there when the forest was fitted
+    monkeypatch.setattr(R, "SAMPLE", sample)
     df = spark.read.parquet(f"{ROOT}/embeddings.parquet").repartition(3)
     table = df.toPandas()
     ids, x = table["vec_id"].to_numpy(), np.stack(table["embedding"]).astype(float)
@@ -56,3 +61,23 @@ def test_rows_that_take_no_part(spark):
     got = rows_of(R.nearest(df))
     assert got == {0: [(20, 0.5), (3, 0.0), (-20, -1.0)], 20: [(0, 0.5), (3, 0.5), (-20, -0.5)], -20: [(3, 0.0), (20, -0.5), (0, -1.0)]}
     assert R.nearest(df.limit(0)).count() == 0 and R.nearest(df.filter("vec_id = 0")).count() == 0
+
+
+def test_forest_alone_on_many_vectors():
+    """Recall of the opened leaves, the share of the table they hold, and that a bar cuts off none of the nearest found."""
+    rng, k, n = np.random.default_rng(7), 20, 50_000
+    x = rng.normal(size=(n, 4)) @ rng.normal(size=(4, 32)) + 0.01 * rng.normal(size=(n, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    index = R.Index(pd.DataFrame({"entry": np.arange(R.SAMPLE), "v": list(x[:R.SAMPLE])}), n, k, R.TREES, None)
+    leaf, hit, read = index.forest.leaf(x), [], []
+    asked = np.arange(n - 200, n)
+    for i, (found, bar) in zip(asked, index.ask(x[asked], k)):
+        candidate = np.isin(leaf, found).any(axis=1)
+        candidate[i] = False
+        score = x @ x[i]
+        score[i] = -np.inf
+        own = np.sort(score[candidate])[-k:]
+        assert len(own) == k and own[0] >= bar
+        hit.append(np.mean(candidate[np.argsort(-score)[:k]]))
+        read.append(candidate.mean())
+    assert np.mean(hit) >= 0.9 and np.mean(read) <= 0.1, (np.mean(hit), np.mean(read))

@@ -3,12 +3,17 @@
 A tree halves a node's vectors by their projection on a random direction, between the means of two handfuls
 drawn from the node, at the median. Directions and medians come from a bounded, documented sample of
 ``SAMPLE`` vectors; all vectors then go to their leaf in every tree. A query walks all trees at once: one priority queue holds the
-branches not taken, keyed by the largest distance to a threshold on the way, and the nearest leaf of
-any tree is opened next until a number of leaves is open. That number is measured: queries of the sample
+branches not taken, keyed by the sum of the squared distances to the thresholds on the wrong side of which they
+lie, and the nearest leaf of any tree is opened next until a number of leaves is open. That number is measured: queries of the sample
 are held against brute force over the sample, and as many leaves are opened as reach ``RECALL`` there. Its
 candidates are all vectors of these leaves; their inner products with the query are computed in double
-precision on the original vectors. A query's k-th best among ``BAR`` vectors of the sample, which are
-candidates too, is a bar below which nothing can be among its nearest, so a leaf returns little.
+precision on the original vectors, and nothing else is scored for a result. ``BAR`` vectors of the sample are known
+with their leaves; the k-th best of those that lie in a query's open leaves, which are candidates of its own, is a bar
+below which none of its candidates can be among its nearest found, so a leaf returns little.
+
+Leaves hold ``LEAF`` vectors up to some two million different vectors (``MOST_LEVELS``) and grow from there. How much of the
+table a query must read for a recall depends on the vectors: those that fill their space evenly in 64
+dimensions need half of it, those near a surface of few dimensions less than a tenth (which a test holds).
 
 Equal vectors collapse to one entry with its smallest ids, as many as a result can hold, so copies
 of one vector cannot fill a leaf. A leaf is stored in parts of at most about ``PART`` vectors, and a
@@ -93,7 +98,7 @@ class Forest:
                     while node < nodes:
                         g = own[node]
                         near = 2 * node + 2 if g >= 0 else 2 * node + 1
-                        heapq.heappush(queue, (max(far, abs(g)), t, 4 * node + 3 - near))
+                        heapq.heappush(queue, (far + g * g, t, 4 * node + 3 - near))
                         node = near
                     found.append(node - nodes + (t << self.levels))
                 yield found
@@ -144,7 +149,7 @@ def _matrix(column: pd.Series) -> np.ndarray:
 
 
 class Index:
-    """What tasks get: the forest, how many leaves to open, and the vectors and ids the bars come from."""
+    """What tasks get: the forest, how many leaves to open, and the vectors the bars come from, with their leaves."""
 
     def __init__(self, sample: pd.DataFrame, n: int, k: int, trees: int, leaves: int | None):
         width = sample["v"].map(len).mode()[0]
@@ -155,7 +160,21 @@ class Index:
         self.forest = Forest(x, levels, trees)
         self.leaves = leaves or self.forest.enough(x, k)
         self.dimension = int(width)
-        self.bar, self.bar_ids = _matrix(sample["v"][:BAR]), sample["ids"].iloc[:BAR].map(np.asarray).to_list()
+        self.bar = x[:BAR]
+        self.bar_leaf = self.forest.leaf(self.bar)
+
+    def ask(self, queries: np.ndarray, k: int) -> Iterator[tuple[list[int], float]]:
+        """For each query the leaves it opens and its bar."""
+        for q, found in zip(queries, self.forest.search(queries, self.leaves)):
+            is_open = np.zeros(len(self.forest.cuts) << self.forest.levels, dtype=bool)
+            is_open[found] = True
+            score = self.bar[is_open[self.bar_leaf].any(axis=1)] @ q
+            if len(score) <= k:
+                yield found, -np.inf
+                continue
+            # one more than k: the query may itself be among them
+            bar = np.partition(score, -(k + 1))[-(k + 1)]
+            yield found, bar - 1e-9 * abs(bar)
 
 
 def fitted(entries: DataFrame, k: int, trees: int = TREES, leaves: int | None = None) -> Index | None:
@@ -193,25 +212,8 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, leaves: int | None
             f = f[f["v"].map(len) == own.dimension]
             if not len(f):
                 continue
-            q = _matrix(f["v"])
-            score = q @ own.bar.T
-            copies = np.array([min(len(i), k + 1) for i in own.bar_ids])
-            ordered = np.sort(np.repeat(score, copies, axis=1), axis=1)
-            # k-th best of the others: the query may itself be among them
-            bar = ordered[:, -(k + 1)] if ordered.shape[1] > k else np.full(len(q), -np.inf)
-            bar = bar - 1e-9 * np.abs(bar)
-            for (i, (_, r)), found in zip(enumerate(f.iterrows()), own.forest.search(q, own.leaves)):
-                yield pd.DataFrame({"query_id": r["vec_id"], "leaf": found, "bar": bar[i], "v": [r["v"]] * len(found)})
-
-    def known(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """The best among the vectors the bars come from."""
-        own = shared.value
-        owner, ids = np.repeat(np.arange(len(own.bar_ids)), list(map(len, own.bar_ids))), np.concatenate(own.bar_ids)
-        for f in frames:
-            f = f[f["v"].map(len) == own.dimension]
-            if len(f):
-                q, queries = _matrix(f["v"]), f["vec_id"].to_numpy()
-                yield _spread(q @ own.bar.T, np.full(len(q), -np.inf), owner, ids, queries)
+            for (_, r), (found, bar) in zip(f.iterrows(), own.ask(_matrix(f["v"]), k)):
+                yield pd.DataFrame({"query_id": r["vec_id"], "leaf": found, "bar": bar, "v": [r["v"]] * len(found)})
 
     def _spread(score: np.ndarray, bar: np.ndarray, owner: np.ndarray, ids: np.ndarray, queries: np.ndarray) -> pd.DataFrame:
         """At most the k + 1 best (query, id) pairs of each query that reach its bar."""
@@ -234,7 +236,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, leaves: int | None
         owner, flat = np.repeat(np.arange(len(ids)), list(map(len, ids))), np.concatenate(ids)
         queries, bar = asked["query_id"].to_numpy().astype(np.int64), asked["bar"].to_numpy()
         q = _matrix(asked["v"])
-        lots = [_spread(q[i:i + 512] @ x.T, bar[i:i + 512], owner, flat, queries[i:i + 512]) for i in range(0, len(q), 512)]
+        lots = [_spread(q[i:i + 256] @ x.T, bar[i:i + 256], owner, flat, queries[i:i + 256]) for i in range(0, len(q), 256)]
         return pd.concat(lots, ignore_index=True)
 
     placed, _ = written(entries.mapInPandas(place, f"entry long, v {kind}, ids array<long>, leaf long"), "vectors")
@@ -247,7 +249,6 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, leaves: int | None
     wanted = wanted.select("leaf", "part", "query_id", "bar", F.lit(None).cast("long").alias("entry"), "v", F.lit(None).cast("array<long>").alias("ids"))
     result = "query_id long, vec_id long, score double"
     found = stored.unionByName(wanted).groupBy("leaf", "part").applyInPandas(rerank, result)
-    found = found.unionByName(queries.mapInPandas(known, result))
     # the same candidate comes from several trees
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
