@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from tickerloom.llm import chunks as C
 
@@ -56,7 +57,10 @@ def slow_spans(rows):
     return out
 
 
-def test_spans_against_brute_force_and_passages_are_caught(spark):
+@pytest.mark.parametrize("hot", [C.HOT, 10**6])
+def test_spans_against_brute_force_and_passages_are_caught(spark, monkeypatch, hot):
+    # with a million, every digest is hot and dealt over the salts
+    monkeypatch.setattr(C, "HOT", hot)
     rng = random.Random(2)
     passages = [some_words(rng, n) for n in (51, 60, 90, 200)]
     rows, planted, clean = [], set(), set()

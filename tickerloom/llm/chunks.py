@@ -15,9 +15,11 @@ lie wholly in it, and words that documents share by chance stay. What a document
 itself stays as well.
 
 Digests are counted with map-side combining, so a passage in a third of all documents is one row a
-task; finding the copies is a join on the digest that adaptive execution may split. Pairs of neighbours
+task. Finding the copies is a join on the digest; a digest of more than a ``HOT``-th of the rows that will match, of which
+there are fewer than ``HOT``, is dealt over ``SALTS`` salts on both sides of the join, the others once. Pairs of neighbours
 have digests of their own, counted and joined likewise, for chunks that more than one document holds. Runs are found
-per document, over its copies only.
+per document, over its copies only. The chunks that more than one document holds and the counts are written
+to the shared folder, so texts are cut twice.
 
 Defined cases: a null text is an empty one; documents without an id come after all others and keep
 nothing from each other; rows that repeat an id are one document, whose texts are told apart by a hash;
@@ -36,13 +38,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from tickerloom.llm.common import WORD, batched_texts, concatenated, word_bounds
+from tickerloom.llm.common import WORD, batched_texts, concatenated, word_bounds, written
 
 MIN_WORDS = 20
 #: Share of words that may begin a chunk, before those too close to another are taken out.
 BOUND = (1 << 16) // 3
 #: Words on either side that the second rule looks at, how many of them all repeat one of the NEAR before, and words between its cuts.
 NEAR, REPEATS, APART = 6, 9, 4
+#: A digest is hot from this share of the joined rows on, 1 / HOT, and is spread over as many salts.
+HOT, SALTS = 1000, 64
 GEAR = np.random.default_rng(16).integers(0, 1 << 16, 256, dtype=np.uint16)
 
 
@@ -160,16 +164,33 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, "doc_id long, row long, digest long, pair long, at long, stop long, words long")
 
 
+def _held_by_several(rows: DataFrame, key: str, kept: str) -> DataFrame:
+    """``key``, the smallest id that holds it, and its rows, of keys that more than one id holds; written."""
+    rank = F.coalesce("doc_id", F.lit(2**63 - 1))
+    found = rows.groupBy(key).agg(F.min(rank).alias(kept), F.max(rank).alias("_last"), F.count(F.lit(1)).alias("_n"))
+    return written(found.filter(F.col(kept) < F.col("_last")).drop("_last"), "chunks")[0]
+
+
+def _joined(rows: DataFrame, keys: DataFrame, key: str, how: str) -> DataFrame:
+    """``rows`` with the columns of ``keys`` (one row a key, its rows in ``_n``), no task being given a hot key or all nulls."""
+    total = keys.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    hot = F.col("_n") > total / HOT
+    # fewer than HOT keys can have more than a HOT-th of all rows each
+    names = keys.filter(hot).select(key, F.lit(True).alias("_hot"))
+    salt = F.pmod(F.xxhash64("doc_id", "row", "at"), F.lit(SALTS))
+    dealt = rows.join(F.broadcast(names), key, "left")
+    dealt = dealt.withColumn("_salt", F.when(F.col("_hot") | F.col(key).isNull(), salt).otherwise(F.lit(0).cast("long"))).drop("_hot")
+    salts = F.when(hot, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    return dealt.join(keys.withColumn("_salt", F.explode(salts)).drop("_n"), [key, "_salt"], how).drop("_salt")
+
+
 def spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, row, at, stop (byte range), words, chunks and kept_doc_id of every run of copies."""
     chunks = chunk_rows(docs)
     rank = F.coalesce("doc_id", F.lit(2**63 - 1))
-    kept = chunks.groupBy("digest").agg(F.min(rank).alias("kept"), F.max(rank).alias("_last"))
-    kept = kept.filter("kept < _last").select("digest", "kept")
-    repeated = chunks.join(kept, "digest").drop("digest")
-    pairs = repeated.filter("pair IS NOT NULL").groupBy("pair").agg(F.min(rank).alias("_pair_kept"), F.max(rank).alias("_last"))
-    pairs = pairs.filter("_pair_kept < _last").select("pair", "_pair_kept")
-    copies = repeated.filter(rank > F.col("kept")).join(pairs, "pair", "left")
+    repeated, _ = written(_joined(chunks, _held_by_several(chunks, "digest", "kept"), "digest", "inner").drop("digest"), "chunks")
+    pairs = _held_by_several(repeated.filter("pair IS NOT NULL"), "pair", "_pair_kept")
+    copies = _joined(repeated.filter(rank > F.col("kept")), pairs, "pair", "left")
     copies = copies.withColumn("_held", F.coalesce(rank > F.col("_pair_kept"), F.lit(False))).drop("pair", "_pair_kept")
     order = Window.partitionBy("doc_id", "row").orderBy("at")
     copies = copies.filter("words > 0").withColumn("_again", F.lag("at").over(order).eqNullSafe(F.col("at"))).filter("NOT _again")
@@ -200,7 +221,7 @@ def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     names = docs.columns
     # a document's list of spans is bounded by its text
     cuts = spans(docs, min_words).groupBy("doc_id", "row").agg(F.array_sort(F.collect_list(F.struct("at", "stop"))).alias("_cuts"))
-    cuts = cuts.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "_cuts")
+    cuts, _ = written(cuts.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "_cuts"), "chunks")
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_row"))
     with_cuts = docs.join(cuts, same, "left")
     untouched = with_cuts.filter("_cuts IS NULL").select(*names)
