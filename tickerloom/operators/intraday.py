@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tickerloom.functions.rolling import clip, nonzero, pct_change, rolling_mean, rolling_std, rolling_sum, rolling_z
 from tickerloom.functions.timeframe import interval
+from tickerloom.plans.scale import settled
 
 NEW_YORK = "America/New_York"
 # Days without trading, as month-day.
@@ -49,6 +51,19 @@ def resample(bars: DataFrame, timeframe: str, offset: str | None = None, with_vw
     return out.select("ticker", F.col("w.start").alias("datetime"), *[c for c in out.columns if c not in ("ticker", "w")])
 
 
+def bar_ladder(bars: DataFrame, timeframes: Sequence[str]) -> dict[str, DataFrame]:
+    """Bars of several lengths, each a multiple of the one before, from one scan.
+
+    A bar (first, max, min, last, sum) can be built from finer bars as well as from ticks: the finest ones are
+    written once, and every further length is made from the one before, which has fewer rows.
+    """
+    out, finer = {}, bars
+    for timeframe in timeframes:
+        finer = settled(resample(finer, timeframe))
+        out[timeframe] = finer
+    return out
+
+
 def completed_only(resampled: DataFrame, source: DataFrame, timeframe: str) -> DataFrame:
     """Drop each ticker's last window unless a later source bar shows that it is over."""
     seen = source.groupBy("ticker").agg(F.max("datetime").alias("_last"))

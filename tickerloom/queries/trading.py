@@ -12,6 +12,7 @@ from tickerloom.queries.portfolio import MOM, RETURNS, equity as equity_frame, r
 from tickerloom.queries.portfolio import EQUITY, WP
 from tickerloom.queries.registry import query, r, rounded
 from tickerloom.queries.research import CORE, HORIZONS, avg_rank, ic_sql, long_sql, panel, panel_sql
+from tickerloom.queries.signals import FORMULAS
 from tickerloom.queries.sql import BARS, ctes, frame, pct, r as sr, rm, rs, rz, stages, z60
 from tickerloom.sources import market
 from tickerloom.streaming import jobs
@@ -273,16 +274,19 @@ def last_trading_days(spark, root):
 
 
 # ── IC over ticker × timeframe × signal × horizon ──
-FRAMES = {"30m": "time_bucket(INTERVAL '30 minutes', datetime)", "1h": "date_trunc('hour', datetime)"}
-GRID = ("roc", "relative_volume", "cross_asset_momentum")
+FRAMES = {"15m": "time_bucket(INTERVAL '15 minutes', datetime)", "30m": "time_bucket(INTERVAL '30 minutes', datetime)",
+          "1h": "date_trunc('hour', datetime)"}
+GRID = ("roc", "volume_momentum", "hurst", "relative_volume", "cross_asset_momentum", "order_flow", "macd")
+GRID_HORIZONS = (5, 20)
 
 
 def grid_long(spark, root):
+    """Scores are rounded to nine digits, so that equal ones are ties whatever the order of a sum."""
     out = None
-    for tf in FRAMES:
-        b = intraday.resample(minutes(spark, root), tf)
-        s = signals.generate(signals.with_forward_returns(b, (5, 20), ts="datetime"), GRID, ts="datetime")
-        long = metrics.to_long(s, [f"signal_{g}" for g in GRID], (5, 20), ["ticker"]).withColumn("timeframe", F.lit(tf))
+    for tf, b in intraday.bar_ladder(minutes(spark, root), list(FRAMES)).items():
+        s = signals.generate(signals.with_forward_returns(b, GRID_HORIZONS, ts="datetime"), GRID, ts="datetime")
+        s = s.withColumns({f"signal_{g}": r(f"signal_{g}", 9) for g in GRID})
+        long = metrics.to_long(s, [f"signal_{g}" for g in GRID], GRID_HORIZONS, ["ticker"]).withColumn("timeframe", F.lit(tf))
         out = long if out is None else out.unionByName(long)
     return out
 
@@ -290,18 +294,16 @@ def grid_long(spark, root):
 def grid_sql() -> tuple[str, ...]:
     parts, cells = [], []
     for tf, bucket in FRAMES.items():
-        n = f"g{tf}"
-        k, t = "ticker", "datetime"
-        parts += [
-            f"{n}0 AS (SELECT ticker, {bucket} AS datetime, {IN_PX} FROM minutes GROUP BY ALL)",
-            f"""{n}1 AS (SELECT *, {pct('close', 10, k, t)} AS a, volume / nullif({rm('volume', 60, 30, k, t)}, 0) - 1 AS b,
-  lead(close, 5) OVER (PARTITION BY ticker ORDER BY datetime) / nullif(close, 0) - 1 AS f5, lead(close, 20) OVER (PARTITION BY ticker ORDER BY datetime) / nullif(close, 0) - 1 AS f20 FROM {n}0)""",
-            f"{n}2 AS (SELECT *, a / nullif({rs('a', 20, 10, k, t)}, 0) AS c FROM {n}1)",
-            f"{n}3 AS (SELECT *, {z60('a', k, t)} AS sa, {z60('b', k, t)} AS sb, {z60('c', k, t)} AS sc FROM {n}2)",
-        ]
-        for col, name in (("sa", "roc"), ("sb", "relative_volume"), ("sc", "cross_asset_momentum")):
-            for h in (5, 20):
-                cells.append(f"SELECT ticker, '{tf}' AS timeframe, 'signal_{name}' AS signal, {h} AS horizon, {col} AS s, f{h} AS f FROM {n}3")
+        ahead = ", ".join(f"lead(close, {h}) OVER (PARTITION BY ticker ORDER BY date) / nullif(close, 0) - 1 AS f{h}" for h in GRID_HORIZONS)
+        parts += [f"g{tf}0 AS (SELECT ticker, {bucket} AS date, {IN_PX} FROM minutes GROUP BY ALL)", f"g{tf} AS (SELECT *, {ahead} FROM g{tf}0)"]
+        for g in GRID:
+            steps, score = FORMULAS[g]
+            text, last = stages(f"g{tf}", *steps, {"s": score})
+            for i in range(len(steps) + 1):
+                text = text.replace(f"t{i} AS (", f"{g}{tf}_{i} AS (").replace(f"FROM t{i})", f"FROM {g}{tf}_{i})")
+            parts.append(text)
+            cells += [f"SELECT ticker, '{tf}' AS timeframe, 'signal_{g}' AS signal, {h} AS horizon, {sr('s', 9)} AS s, f{h} AS f FROM {g}{tf}_{len(steps)}"
+                      for h in GRID_HORIZONS]
     return (TICKS, MINUTES, *parts, f"long AS (SELECT * FROM ({' UNION ALL '.join(cells)}) WHERE s IS NOT NULL AND f IS NOT NULL)",
             ic_sql("ticker, timeframe, signal, horizon", 100))
 
