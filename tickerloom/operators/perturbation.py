@@ -3,12 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickerloom.operators.metrics import MIN_POOLED, pooled_long, rank_ic_by, signal_stats
-from tickerloom.operators.signals import Signal, generate, mean_reversion, momentum, with_forward_returns
+from tickerloom.operators.metrics import MIN_POOLED, rank_ic_by, signal_stats, to_long
+from tickerloom.operators.signals import (
+    Signal,
+    bollinger,
+    generate,
+    macd,
+    mean_reversion,
+    momentum,
+    rsi,
+    trend_filter,
+    vol_scaled,
+    with_forward_returns,
+)
+from tickerloom.plans.scale import settled
 
 PERCENTS = (-20, -10, 0, 10, 20)
 # Names of parameters that are window lengths.
@@ -25,37 +38,57 @@ def tunable(signal: Signal) -> dict[str, int]:
     return {k: v for k, v in signal.params.items() if k in TUNABLE and isinstance(v, int) and v > 1}
 
 
-FAMILIES: dict[str, tuple[Callable[[int], Signal], int]] = {
-    "mean_reversion_21d": (mean_reversion, 21),
-    "mean_reversion_63d": (mean_reversion, 63),
-    "momentum_21d": (momentum, 21),
-    "momentum_63d": (momentum, 63),
-    "mean_reversion_ts_21d": (lambda n: mean_reversion(n, False), 21),
-    "momentum_ts_21d": (lambda n: momentum(n, False), 21),
+#: Per signal with a window, what builds it from its parameters, named as in ``Signal.params``.
+FAMILIES: dict[str, Callable[..., Signal]] = {
+    "mean_reversion_21d": lambda lookback=21: mean_reversion(lookback),
+    "mean_reversion_63d": lambda lookback=63: mean_reversion(lookback),
+    "momentum_21d": lambda formation_days=21: momentum(formation_days),
+    "momentum_63d": lambda formation_days=63: momentum(formation_days),
+    "mean_reversion_ts_21d": lambda lookback=21: mean_reversion(lookback, False),
+    "mean_reversion_ts_63d": lambda lookback=63: mean_reversion(lookback, False),
+    "momentum_ts_21d": lambda formation_days=21: momentum(formation_days, False),
+    "momentum_ts_63d": lambda formation_days=63: momentum(formation_days, False),
+    "bollinger_bands": lambda lookback=20: bollinger(lookback),
+    "rsi": lambda lookback=14: rsi(lookback),
+    "trend_filter": lambda fast_period=20, slow_period=60: trend_filter(fast_period, slow_period),
+    "vol_scaled": lambda formation_days=21: vol_scaled(formation_days),
+    "macd": lambda fast_period=12, slow_period=26: macd(fast_period, slow_period),
 }
 
 
-def perturb(df: DataFrame, families: Sequence[str], percents: Sequence[float] = PERCENTS, horizon: int = 5) -> DataFrame:
+def variants(families: Sequence[str], percents: Sequence[float] = PERCENTS) -> list[tuple[str, str, int, int, Signal]]:
+    """(name, parameter, base, value, signal): one parameter moved at a time, the others at their base."""
+    out = []
+    for name in families:
+        build = FAMILIES[name]
+        for parameter, base in tunable(build()).items():
+            for value in dict.fromkeys(perturbed(base, percents)):
+                signal = build(**{parameter: value})
+                if signal.name == name:  # its name doesn't tell the value
+                    signal = replace(signal, name=f"{name}__{parameter}_{value}") if signal.cross_section is None else signal
+                out.append((name, parameter, base, value, signal))
+    return out
+
+
+def perturb(df: DataFrame, families: Sequence[str] = tuple(FAMILIES), percents: Sequence[float] = PERCENTS, horizon: int = 5) -> DataFrame:
     """One row per (signal, parameter, value): IC, win rate, spread and mean, and their change against the base value.
 
     All variants are columns of one pass over the panel.
     """
-    variants = []
-    for name in families:
-        build, base = FAMILIES[name]
-        for value in dict.fromkeys(perturbed(base, percents)):
-            variants.append((name, next(iter(tunable(build(base)))), base, value, build(value)))
-    panel = generate(with_forward_returns(df, [horizon]), list({v[4].column: v[4] for v in variants}.values()))
-    cols = sorted({v[4].column for v in variants})
-    ic = rank_ic_by(pooled_long(panel, cols, [horizon], []), ["signal", "horizon"], MIN_POOLED)
+    moves = variants(families, percents)
+    panel = generate(with_forward_returns(df, [horizon]), list({v[4].column: v[4] for v in moves}.values()))
+    cols = sorted({v[4].column for v in moves})
+    panel = settled(panel.select(*cols, f"forward_return_{horizon}"))
+    ic = rank_ic_by(to_long(panel, cols, [horizon], []), ["signal", "horizon"], MIN_POOLED)
     found = signal_stats(panel, cols).join(ic, "signal", "left")
     keys = df.sparkSession.createDataFrame(
-        [(n, p, b, v, s.column) for n, p, b, v, s in variants], "name string, parameter string, base int, value int, signal string")
+        [(n, p, b, v, s.column) for n, p, b, v, s in moves], "name string, parameter string, base int, value int, signal string")
     rows = keys.join(found, "signal", "left")
-    start = rows.filter(F.col("value") == F.col("base")).select("name", F.col("ic").alias("_ic"), F.col("win_rate").alias("_win_rate"))
+    start = rows.filter(F.col("value") == F.col("base")).select(
+        "name", "parameter", F.col("ic").alias("_ic"), F.col("win_rate").alias("_win_rate"))
     moved = lambda c: F.when(F.col("value") != F.col("base"), F.when(F.col(f"_{c}") == 0, F.lit(0.0)).otherwise(
         (F.col(c) - F.col(f"_{c}")) / F.abs(f"_{c}") * 100))
-    return rows.join(start, "name", "left").select(
+    return rows.join(start, ["name", "parameter"], "left").select(
         "name", "parameter", "base", "value", "ic", "win_rate", "std", "mean",
         moved("ic").alias("ic_change_pct"), moved("win_rate").alias("win_rate_change_pct"))
 

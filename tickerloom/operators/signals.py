@@ -112,15 +112,16 @@ def _order_flow() -> Signal:
     return Signal("order_flow", "volume", ({"_flow": imbalance},), lambda w: z60("_flow", w))
 
 
-def _macd(fast: int = 12, slow: int = 26, smooth: int = 9) -> Signal:
+def macd(fast: int = 12, slow: int = 26, smooth: int = 9) -> Signal:
+    line, gap = f"_macd_{fast}_{slow}", f"_macd_gap_{fast}_{slow}_{smooth}"
     return Signal(
         "macd",
         "momentum",
         (
-            {"_macd": lambda w: ema("close", fast, w) - ema("close", slow, w)},
-            {"_macd_gap": lambda w: F.col("_macd") - ema("_macd", smooth, w)},
+            {line: lambda w: ema("close", fast, w) - ema("close", slow, w)},
+            {gap: lambda w: F.col(line) - ema(line, smooth, w)},
         ),
-        lambda w: z60("_macd_gap", w),
+        lambda w: z60(gap, w),
         params={"fast_period": fast, "slow_period": slow, "smooth": smooth},
     )
 
@@ -148,14 +149,14 @@ def momentum(formation_days: int = 21, cross_sectional: bool = True) -> Signal:
     return Signal(name, "time_series", (stage,), lambda w: F.tanh(rolling_z(raw, 252, w, 63)), None, params)
 
 
-def _bollinger(n: int = 20, width: float = 2.0) -> Signal:
+def bollinger(n: int = 20, width: float = 2.0) -> Signal:
     def score(w: WindowSpec) -> Column:
         return clip(-rolling_z("close", n, w) / width, -1.0, 1.0)
 
     return Signal("bollinger_bands", "mean_reversion", (), score, params={"lookback": n})
 
 
-def _rsi(n: int = 14) -> Signal:
+def rsi(n: int = 14) -> Signal:
     def score(w: WindowSpec) -> Column:
         up, down = rolling_mean("_up", n, w), rolling_mean("_down", n, w)
         return clip((down - up) / nonzero(up + down), -1.0, 1.0)
@@ -171,7 +172,7 @@ def _rsi(n: int = 14) -> Signal:
     )
 
 
-def _trend_filter(fast: int = 20, slow: int = 60) -> Signal:
+def trend_filter(fast: int = 20, slow: int = 60) -> Signal:
     def score(w: WindowSpec) -> Column:
         base = rolling_mean("close", slow, w)
         gap = rolling_mean("close", fast, w) / nonzero(base) - 1
@@ -180,12 +181,13 @@ def _trend_filter(fast: int = 20, slow: int = 60) -> Signal:
     return Signal("trend_filter", "momentum", (), score, params={"fast_period": fast, "slow_period": slow})
 
 
-def _vol_scaled(n: int = 21) -> Signal:
+def vol_scaled(n: int = 21) -> Signal:
+    raw = f"_vs_mom_{n}"
     return Signal(
         "vol_scaled",
         "momentum",
-        ({"_vs_ret": _ret(1), "_vs_mom": _ret(n)},),
-        lambda w: F.tanh(F.col("_vs_mom") / nonzero(rolling_std("_vs_ret", 63, w, 30) * (n**0.5))),
+        ({"_vs_ret": _ret(1), raw: _ret(n)},),
+        lambda w: F.tanh(F.col(raw) / nonzero(rolling_std("_vs_ret", 63, w, 30) * (n**0.5))),
         params={"formation_days": n},
     )
 
@@ -225,7 +227,7 @@ SIGNALS: dict[str, Signal] = {
         _relative_volume(),
         _cross_asset_momentum(),
         _order_flow(),
-        _macd(),
+        macd(),
         mean_reversion(21),
         mean_reversion(63),
         momentum(21),
@@ -234,10 +236,10 @@ SIGNALS: dict[str, Signal] = {
         mean_reversion(63, False),
         momentum(21, False),
         momentum(63, False),
-        _bollinger(),
-        _rsi(),
-        _trend_filter(),
-        _vol_scaled(),
+        bollinger(),
+        rsi(),
+        trend_filter(),
+        vol_scaled(),
         _volatility_regime(),
         _volume_anomaly(),
         _volume_price_divergence(),

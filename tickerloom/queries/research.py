@@ -10,7 +10,7 @@ from tickerloom.operators import ensemble, meta, metrics, perturbation, signals,
 from tickerloom.queries import lake
 from tickerloom.queries.registry import query, r, rounded
 from tickerloom.queries.signals import cs_z
-from tickerloom.queries.sql import BARS, LAKE, avg_rank, ctes, pct, r as sr, rm, rs, rz
+from tickerloom.queries.sql import BARS, LAKE, avg_rank, ctes, lag, pct, r as sr, rm, rs, rz
 from tickerloom.sources import market
 
 CORE = [f"signal_{s}" for s in signals.DAILY_CORE]
@@ -301,44 +301,81 @@ def walk_forward_hold_back(spark, root):
 
 
 # ── perturbation ──
-W21, W63 = [17, 19, 21, 23, 25], [50, 57, 63, 69, 76]
-PERTURBED = {"mean_reversion_21d": W21, "mean_reversion_63d": W63, "momentum_21d": W21, "momentum_63d": W63,
-             "mean_reversion_ts_21d": W21, "momentum_ts_21d": W21}
-
-
-def perturb_sql() -> str:
-    cols, squashed, cells = {}, {}, []
-    for name, values in PERTURBED.items():
-        for v in values:
-            raw = f"close / nullif({rm('close', v)}, 0) - 1" if name.startswith("mean") else pct("close", v)
-            cols[f"{name}_{v}"] = raw
-            sign = "-" if name.startswith("mean") else ""
-            squashed[f"s_{name}_{v}"] = f"tanh({rz(f'{name}_{v}', 252, 63)})" if "_ts_" in name else f"tanh({cs_z(f'{name}_{v}')})"
-            cells.append(f"SELECT '{name}' AS name, {v} AS value, {sign}s_{name}_{v} AS s, f FROM vz")
+W14, W20, W21, W63 = [11, 13, 14, 15, 17], [16, 18, 20, 22, 24], [17, 19, 21, 23, 25], [50, 57, 63, 69, 76]
+LOOK, FORM, FAST, SLOW = "lookback", "formation_days", "fast_period", "slow_period"
+PERTURBED = {
+    "mean_reversion_21d": {LOOK: W21}, "mean_reversion_63d": {LOOK: W63}, "momentum_21d": {FORM: W21}, "momentum_63d": {FORM: W63},
+    "mean_reversion_ts_21d": {LOOK: W21}, "momentum_ts_21d": {FORM: W21}}
+PERTURBED_WINDOWS = {
+    "bollinger_bands": {LOOK: W20}, "rsi": {LOOK: W14}, "trend_filter": {FAST: W20, SLOW: [48, 54, 60, 66, 72]}, "vol_scaled": {FORM: W21}}
+
+
+def variant_sql(name: str, parameter: str, v: int, c: str) -> tuple[dict[str, str], str]:
+    """Columns from the bars and the score from those, with names that begin with c."""
+    if name == "bollinger_bands":
+        return {c: f"-{rz('close', v)} / 2.0"}, f"CASE WHEN {c} IS NOT NULL THEN greatest(-1.0, least(1.0, {c})) END"
+    if name == "rsi":
+        u, d = rm(f"{c}_u", v), rm(f"{c}_d", v)
+        move = f"(close - {lag('close')})"
+        return ({f"{c}_u": f"CASE WHEN {move} > 0 THEN {move} WHEN {move} <= 0 THEN 0 END",
+                 f"{c}_d": f"CASE WHEN {move} < 0 THEN -{move} WHEN {move} >= 0 THEN 0 END"}, f"({d} - {u}) / nullif({d} + {u}, 0)")
+    if name == "trend_filter":
+        fast, slow = (v, 60) if parameter == FAST else (20, v)
+        return {}, f"tanh(10 * ({rm('close', fast)} / nullif({rm('close', slow)}, 0) - 1))"
+    if name == "vol_scaled":
+        return {f"{c}_r": pct("close", 1), c: pct("close", v)}, f"tanh({c} / nullif({rs(f'{c}_r', 63, 30)} * sqrt({v}.0), 0))"
+    raw = f"close / nullif({rm('close', v)}, 0) - 1" if name.startswith("mean") else pct("close", v)
+    sign = "-" if name.startswith("mean") else ""
+    return {c: raw}, f"{sign}tanh({rz(c, 252, 63)})" if "_ts_" in name else f"{sign}tanh({cs_z(c)})"
+
+
+def perturb_sql(families=PERTURBED) -> str:
+    first, scores, cells = {}, {}, []
+    for name, parameters in families.items():
+        for parameter, values in parameters.items():
+            base = values[2]
+            for v in values:
+                c = f"{name}_{parameter}_{v}"
+                columns, score = variant_sql(name, parameter, v, c)
+                first, scores = first | columns, scores | {f"s_{c}": score}
+                cells.append(f"SELECT '{name}' AS name, '{parameter}' AS parameter, {base} AS base, {v} AS value, s_{c} AS s, f FROM vz")
+    listed = lambda cols: ", ".join(f"{e} AS {n}" for n, e in cols.items())
     return ctes(
-        BARS, f"vr AS (SELECT *, {fwd(5)} AS f, {', '.join(f'{e} AS {n}' for n, e in cols.items())} FROM bars)",
-        f"vz AS (SELECT f, {', '.join(f'{e} AS {n}' for n, e in squashed.items())} FROM vr)",
-        f"cells AS ({' UNION ALL '.join(cells)})", "st AS (SELECT name, value, stddev_samp(s) AS std, avg(s) AS mean FROM cells GROUP BY name, value)",
-        "long AS (SELECT * FROM cells WHERE s IS NOT NULL AND f IS NOT NULL)", ic_sql("name, value", 100),
-        """pb AS (SELECT name, value, CASE WHEN name LIKE 'mean%' THEN 'lookback' ELSE 'formation_days' END AS parameter,
-  CAST(regexp_extract(name, '([0-9]+)d$', 1) AS INTEGER) AS base, ic, win_rate FROM ic)""",
+        BARS, f"vr AS (SELECT *, {fwd(5)} AS f, {listed(first)} FROM bars)",
+        f"vz AS (SELECT f, {listed(scores)} FROM vr)",
+        f"cells AS ({' UNION ALL '.join(cells)})", "st AS (SELECT name, parameter, value, stddev_samp(s) AS std, avg(s) AS mean FROM cells GROUP BY ALL)",
+        "long AS (SELECT * FROM cells WHERE s IS NOT NULL AND f IS NOT NULL)", ic_sql("name, parameter, base, value", 100),
+        "pb AS (SELECT name, parameter, base, value, ic, win_rate FROM ic)",
         """pr AS (SELECT pb.*, std, mean, CASE WHEN pb.value <> pb.base THEN CASE WHEN b.ic = 0 THEN 0 ELSE (pb.ic - b.ic) / abs(b.ic) * 100 END END AS chg,
   CASE WHEN pb.value <> pb.base THEN CASE WHEN b.win_rate = 0 THEN 0 ELSE (pb.win_rate - b.win_rate) / b.win_rate * 100 END END AS wchg
-  FROM pb JOIN st USING (name, value) JOIN pb b ON b.name = pb.name AND b.value = b.base)""",
+  FROM pb JOIN st USING (name, parameter, value) JOIN pb b ON b.name = pb.name AND b.parameter = pb.parameter AND b.value = b.base)""",
         "cl AS (SELECT name, min(chg) AS worst, CASE WHEN count(ic) = 0 THEN 'no_data' WHEN min(chg) IS NULL OR min(chg) >= -20 THEN 'robust' WHEN min(chg) <= -50 THEN 'fragile' ELSE 'sensitive' END AS classification FROM pr GROUP BY name)",
     )
 
 
-def _perturb(spark, root):
-    return perturbation.perturb(market.bars(spark, root), list(PERTURBED))
+def _perturb(spark, root, families=PERTURBED):
+    return perturbation.perturb(market.bars(spark, root), list(families))
 
 
-@query("perturbation_run", perturb_sql() + f" SELECT name, parameter, base, value, {sr('ic')} AS ic, {sr('win_rate')} AS win_rate, {sr('std')} AS std, {sr('mean')} AS mean, {sr('chg', 3)} AS ic_change_pct, {sr('wchg', 3)} AS win_rate_change_pct FROM pr")
-def perturbation_run(spark, root):
-    return rounded(_perturb(spark, root), "ic", "win_rate", "std", "mean").withColumns(
+RUN_SQL = (f" SELECT name, parameter, base, value, {sr('ic')} AS ic, {sr('win_rate')} AS win_rate, {sr('std')} AS std, {sr('mean')} AS mean, {sr('chg', 3)} AS ic_change_pct, {sr('wchg', 3)} AS win_rate_change_pct FROM pr")
+
+
+def _run(spark, root, families):
+    return rounded(_perturb(spark, root, families), "ic", "win_rate", "std", "mean").withColumns(
         {c: r(c, 3) for c in ("ic_change_pct", "win_rate_change_pct")})
 
 
+@query("perturbation_run", perturb_sql() + RUN_SQL)
+def perturbation_run(spark, root):
+    return _run(spark, root, PERTURBED)
+
+
+@query("perturbation_windows", perturb_sql(PERTURBED_WINDOWS) + RUN_SQL)
+def perturbation_windows(spark, root):
+    """The signals over bands, strength, averages and scaled momentum, both windows of the trend filter."""
+    return _run(spark, root, PERTURBED_WINDOWS)
+
+
 @query("perturbation_classes", perturb_sql() + f" SELECT name, {sr('worst', 3)} AS worst_change_pct, classification FROM cl")
 def perturbation_classes(spark, root):
     return perturbation.classify(_perturb(spark, root)).withColumn("worst_change_pct", r("worst_change_pct", 3))
