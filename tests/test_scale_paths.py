@@ -135,6 +135,29 @@ def test_cooldown_matches_a_walk(spark):
     assert sorted((r["alert_type"], r["ts"], r["alert_id"]) for r in got) == sorted(want)
 
 
+@pytest.mark.parametrize("seconds, chunk", [(300, "hour"), (5 * 3600, "hour")])
+def test_cooldown_over_hours_days_and_decades(spark, seconds, chunk):
+    """Maps composed in every round: gaps of seconds to decades, instants of before 1970, exact distances, one hot type."""
+    rng, rows = random.Random(seconds), []
+    for kind, n, gaps in (("hot", 3000, (1, 400)), ("slow", 400, (seconds - 1, seconds + 1)), ("rare", 60, (1, 10**8)), ("mixed", 500, None), ("one", 1, (1, 2))):
+        at = dt.datetime(1969, 12, 1)
+        for i in range(n):
+            at += dt.timedelta(seconds=rng.randint(*gaps) if gaps else rng.choice([0, 1, 60, seconds, 7200, 10**6]))
+            rows.append((kind, at, i))
+    want = []
+    for kind in {r[0] for r in rows}:
+        last = None
+        for _, ts, i in sorted(r for r in rows if r[0] == kind):
+            if last is None or (ts - last).total_seconds() >= seconds:
+                want.append((kind, ts, i))
+                last = ts
+    rows += [(None, dt.datetime(2024, 1, 1), 1), ("hot", None, 2)]
+    df = spark.createDataFrame(rows, "alert_type string, ts timestamp, alert_id bigint")
+    got = [tuple(r) for r in monitor.cooldown(df, seconds, chunk=chunk).collect()]
+    assert sorted(got) == sorted(want)
+    assert monitor.cooldown(df.limit(0), seconds).count() == 0
+
+
 @pytest.fixture(scope="module")
 def blocks(spark):
     rng = np.random.default_rng(4)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickerloom.functions.rolling import nonzero, rolling_mean, rolling_std, series
+from tickerloom.plans.scale import settled
 
 
 @dataclass(frozen=True)
@@ -115,21 +116,50 @@ def _next_allowed(times: np.ndarray, span: int) -> np.ndarray:
     return np.searchsorted(times, times + span, side="left")
 
 
+#: Children of a block when hour maps are composed: 2^6 of them, so three rounds take hours to spans of 30 years.
+FAN_BITS, ROUNDS = 6, 3
+#: "Nothing kept so far": earlier than any instant, with room to add a span.
+NEVER = -(1 << 62)
+
+
+def _step_map(ins: np.ndarray, outs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Entries with the same last kept instant as their successor say nothing new: the last of each run stays."""
+    last = np.append(outs[1:] != outs[:-1], True)
+    return ins[last], outs[last]
+
+
+def _follow(ins: np.ndarray, outs: np.ndarray, kept: np.ndarray, span: int) -> np.ndarray:
+    """Last kept instants behind a block, from those ahead of it; a block too young to be entered changes nothing."""
+    i = np.searchsorted(ins, kept + span, side="left")
+    return np.where(i < len(ins), outs[np.minimum(i, len(ins) - 1)], kept)
+
+
+def _children(pdf: pd.DataFrame) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    parts = pdf.sort_values(["_c", "_in"]).groupby("_c", sort=True)
+    return [(int(c), p["_in"].to_numpy(), p["_out"].to_numpy()) for c, p in parts]
+
+
 def cooldown(alerts: DataFrame, seconds: int = 300, key: str = "alert_type", ts: str = "ts", chunk: str = "hour") -> DataFrame:
     """Keep an alert only if the last kept one of its type is at least ``seconds`` old.
 
     Which rows are kept depends on the one kept before, so each (type, chunk) is first turned into a
-    table "if the walk enters at this instant, its last kept instant here is that". A walk that comes
-    from the chunk before can only enter within ``seconds`` of the chunk's first instant, so the
-    tables are short; they are chained per type, and then every chunk walks on its own.
+    map "if the walk enters up to this instant, its last kept instant here is that". A walk can only
+    enter within ``seconds`` of a chunk's first instant, and walks soon meet, so the maps are short.
+    Maps of neighbouring chunks compose to maps of blocks of 64, of 64 blocks, and so on; going
+    back down, every block and in the end every chunk learns what was kept ahead of it, and all chunks
+    walk on their own. A task holds 64 maps or one chunk of one type, however many alerts a type has;
+    a type as a whole has one map for every 30 years.
+
+    Equal instants of a type give one row, the smallest by its other columns. Alerts without a type or
+    an instant are dropped.
     """
     span = seconds * 1_000_000
-    length = {"hour": 3600, "day": 86400}[chunk] * 1_000_000
-    if span > length:
-        length = span
+    length = max({"hour": 3600, "day": 86400}[chunk] * 1_000_000, span)
     key_type = alerts.schema[key].dataType.simpleString()
     us = F.unix_micros(ts)
-    instants = alerts.select(key, F.floor(us / length).alias("_c"), us.alias("_us")).distinct()
+    instants = alerts.filter(F.col(key).isNotNull() & F.col(ts).isNotNull())
+    instants = instants.select(key, F.floor(us / length).alias("_c"), us.alias("_us")).distinct()
+    map_schema, entry_schema = f"{key} {key_type}, _c bigint, _in bigint, _out bigint", f"{key} {key_type}, _c bigint, _kept bigint"
 
     def exits(pdf: pd.DataFrame) -> pd.DataFrame:
         times = np.sort(pdf["_us"].to_numpy())
@@ -138,30 +168,44 @@ def cooldown(alerts: DataFrame, seconds: int = 300, key: str = "alert_type", ts:
         for i in range(n - 1, -1, -1):
             if nxt[i] < n:
                 last[i] = last[nxt[i]]
-        reach = max(1, int(np.searchsorted(times, times[0] + span, side="left")) + 1)
-        return pd.DataFrame({key: pdf[key].iloc[0], "_c": pdf["_c"].iloc[0], "_in": times[:reach], "_out": times[last][:reach]})
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, kept = [], None
-        for c, part in pdf.sort_values(["_c", "_in"]).groupby("_c", sort=True):
-            ins = part["_in"].to_numpy()
-            i = 0 if kept is None else int(np.searchsorted(ins, kept + span, side="left"))
-            if i == len(ins):  # nothing of this chunk is old enough
-                continue
-            rows.append((c, int(ins[i])))
-            kept = int(part["_out"].to_numpy()[i])
-        return pd.DataFrame({key: pdf[key].iloc[0], "_c": [r[0] for r in rows], "_in": [r[1] for r in rows]})
+        reach = int(np.searchsorted(times, times[0] + span, side="left")) + 1
+        ins, outs = _step_map(times[:reach], times[last][:reach])
+        return pd.DataFrame({key: pdf[key].iloc[0], "_c": pdf["_c"].iloc[0], "_in": ins, "_out": outs})
+
+    def composed(pdf: pd.DataFrame) -> pd.DataFrame:
+        *before, (_, ins, outs) = _children(pdf)
+        for _, a_in, a_out in reversed(before):
+            through = _follow(ins, outs, a_out, span)
+            # behind this child's own entries come those of walks too young to enter it
+            ins, outs = np.concatenate([a_in, ins]), np.concatenate([through, outs])
+            reach = int(np.searchsorted(ins, ins[0] + span, side="left")) + 1
+            ins, outs = _step_map(ins[:reach], outs[:reach])
+        return pd.DataFrame({key: pdf[key].iloc[0], "_c": pdf["_p"].iloc[0], "_in": ins, "_out": outs})
+
+    def entries(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows, kept = [], pdf["_kept"].to_numpy()[:1]
+        for c, ins, outs in _children(pdf):
+            rows.append((c, int(kept[0])))
+            kept = _follow(ins, outs, kept, span)
+        return pd.DataFrame({key: pdf[key].iloc[0], "_c": [r[0] for r in rows], "_kept": [r[1] for r in rows]})
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         times = np.sort(pdf["_us"].to_numpy())
-        nxt, keep, i = _next_allowed(times, span), [], int(np.searchsorted(times, pdf["_in"].iloc[0]))
+        nxt, keep = _next_allowed(times, span), []
+        i = int(np.searchsorted(times, int(pdf["_kept"].iloc[0]) + span, side="left"))
         while i < len(times):
             keep.append(int(times[i]))
             i = int(nxt[i])
         return pd.DataFrame({key: pdf[key].iloc[0], "_us": keep})
 
-    table = instants.groupBy(key, "_c").applyInPandas(exits, f"{key} {key_type}, _c bigint, _in bigint, _out bigint")
-    entry = table.groupBy(key).applyInPandas(chain, f"{key} {key_type}, _c bigint, _in bigint")
+    parent = F.shiftright("_c", FAN_BITS).alias("_p")
+    maps = [settled(instants.groupBy(key, "_c").applyInPandas(exits, map_schema))]
+    for _ in range(ROUNDS):
+        maps.append(maps[-1].select("*", parent).groupBy(key, "_p").applyInPandas(composed, map_schema))
+    entry = maps.pop().withColumn("_kept", F.lit(NEVER)).groupBy(key).applyInPandas(entries, entry_schema)
+    while maps:
+        ahead = entry.withColumnRenamed("_c", "_p")
+        entry = maps.pop().select("*", parent).join(ahead, [key, "_p"]).groupBy(key, "_p").applyInPandas(entries, entry_schema)
     kept = instants.join(entry, [key, "_c"]).groupBy(key, "_c").applyInPandas(walk, f"{key} {key_type}, _us bigint")
     others = [c for c in alerts.columns if c not in (key, ts)]
     first = F.min(F.struct(*others)).alias("_r") if others else F.lit(None).alias("_r")
