@@ -88,6 +88,28 @@ def test_warm_scores_emit_new_keys_only(spark):
     assert [r[s] for r in warm] == pytest.approx([r[s] for r in reversed(whole)])
 
 
+def test_scoring_keeps_a_bounded_state_over_batches_and_repeats(spark, tmp_path):
+    """Scores over many batches are those of the whole series; a batch that runs again changes nothing."""
+    bar = lambda k, i: (k, T0 + dt.timedelta(minutes=i), 100.0 + (i * i % 11), 10 + i % 3)
+    cols, s, folder = "ticker string, datetime timestamp, close double, volume bigint", "signal_vwap_mean_reversion_60b", str(tmp_path / "w")
+    cuts = [(0, 90), (90, 700), (690, 720), (720, 730)]  # the third brings ten bars again
+    batches = [spark.createDataFrame([bar("A", i) for i in range(a, b)] + ([bar("B", i) for i in range(a, a + 5)] if n != 2 else []), cols) for n, (a, b) in enumerate(cuts)]
+    step = jobs.scoring_batch(folder, intraday.vwap_mean_reversion, s)
+    for n, batch in enumerate(batches):
+        step(batch, n)
+    step(batches[3], 3)
+    whole = spark.createDataFrame([bar("A", i) for i in range(730)], cols)
+    want = {r["datetime"]: r[s] for r in intraday.vwap_mean_reversion(whole).collect()}
+    got = spark.read.parquet(f"{folder}/batch=*")
+    last = got.filter("ticker = 'A'").orderBy(F.col("datetime").desc()).limit(40).collect()
+    assert [r[s] for r in last] == pytest.approx([want[r["datetime"]] for r in last])
+    assert got.count() == sum(b - a for a, b in cuts) + 15 and {r[s] for r in got.filter("ticker = 'B'").collect()} == {0.0}
+    state = spark.read.parquet(f"{folder}/state-1")
+    assert {r["ticker"]: r["count"] for r in state.groupBy("ticker").count().collect()} == {"A": jobs.WARM_BARS, "B": 15}
+    # rows from bars older than two batches are nowhere read: only the state and the batch are
+    assert spark.read.parquet(f"{folder}/state-0").filter("ticker = 'A'").agg(F.max("datetime")).first()[0] == T0 + dt.timedelta(minutes=719)
+
+
 def test_session_hours_follow_daylight_saving(spark):
     rows = [("A", dt.datetime(2024, 1, 5, 14, 30)), ("A", dt.datetime(2024, 1, 5, 13, 30)), ("A", dt.datetime(2024, 7, 5, 13, 30)), ("A", dt.datetime(2024, 7, 5, 20, 0))]
     df = spark.createDataFrame(rows, "ticker string, datetime timestamp")

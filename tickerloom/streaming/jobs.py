@@ -74,6 +74,14 @@ def force_close(ticks: DataFrame, emitted: DataFrame, timeframe: str = "1min") -
     return bars_from_ticks(ticks, timeframe).join(emitted.select("ticker", "datetime"), ["ticker", "datetime"], "left_anti")
 
 
+def newest_bars(new: DataFrame, state: DataFrame | None) -> DataFrame:
+    """The last 500 bars of each ticker; a bar that comes again replaces the one kept."""
+    if state is not None:
+        new = new.unionByName(state.join(new.select("ticker", "datetime"), ["ticker", "datetime"], "left_anti").select(*new.columns))
+    recent = Window.partitionBy("ticker").orderBy(F.col("datetime").desc())
+    return new.withColumn("_n", F.row_number().over(recent)).filter(F.col("_n") <= WARM_BARS).drop("_n")
+
+
 def warm_scores(new: DataFrame, history: DataFrame | None, score: Callable[[DataFrame], DataFrame], signal: str) -> DataFrame:
     """Score new bars behind the last 500 stored ones; emit the new keys only, 0 until 60 bars are known."""
     rows = new.withColumn("_new", F.lit(True))
@@ -89,13 +97,18 @@ def warm_scores(new: DataFrame, history: DataFrame | None, score: Callable[[Data
 
 
 def scoring_batch(folder: str, score: Callable[[DataFrame], DataFrame], signal: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch step: history is the sink itself; a repeated batch overwrites its own folder."""
+    """foreachBatch step: the state is each ticker's last 500 bars, whatever number of batches came before.
+
+    Two state folders take turns, so a batch reads the one before it left and writes the other one. A
+    repeated batch finds its input as it was and overwrites its own rows and state.
+    """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        done = [f"{folder}/batch={i}" for i in range(batch_id)]
-        history = spark.read.parquet(*done) if done else None
-        warm_scores(batch, history, score, signal).write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+        before, after = (f"{folder}/state-{i % 2}" for i in (batch_id - 1, batch_id))
+        state = spark.read.schema(batch.schema).parquet(before) if batch_id else None
+        warm_scores(batch, state, score, signal).write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+        newest_bars(batch, state).write.mode("overwrite").parquet(after)
 
     return run
 
