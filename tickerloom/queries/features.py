@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickerloom.operators import enrich, features
-from tickerloom.queries.registry import query, r, rounded
+from tickerloom.queries.registry import ORACLES, query, r, rounded
 from tickerloom.queries.sql import BARS, SECTORS, avg_rank, ctes, frame, lag, pct, r as sr, rm, rs, rz, stages
 from tickerloom.sources import market
 
@@ -148,21 +148,23 @@ def features_kalman(spark, root):
     return rounded(out, "close", "kalman_level", "kalman_trend")
 
 
-REPORTED = ("return_1d", "return_21d", "return_63d", "log_return_1d", "relative_volume_21d", "volume_zscore_63d",
-            "accumulation_distribution", "volume_shock")
+def _report_sql() -> str:
+    """The report over the rows of the queries of all six categories."""
+    sources = {"price": ["features_price"], "volatility": ["features_volatility"], "volume": ["features_volume"],
+               "cross_sectional": ["features_cross_sectional"], "regime": ["features_regime"],
+               "advanced": ["features_hurst", "features_frac_diff", "features_kalman"]}
+    parts = []
+    for category, names in sources.items():
+        for name in names:
+            shown = [c for c in features.list_features(category) if len(names) == 1 or c.startswith(name.removeprefix("features_"))]
+            lines = ", ".join(
+                f"{{'feature': '{c}', 'nan_rate': {sr(f'count(*) FILTER ({c} IS NULL OR isnan({c}::DOUBLE)) / count(*)')}, "
+                f"'has_inf': coalesce(bool_or(isinf({c}::DOUBLE)), FALSE), 'is_constant': coalesce(min({c}) = max({c}), TRUE)}}" for c in shown)
+            parts.append(f"SELECT unnest(lines, recursive := true) FROM (SELECT [{lines}] AS lines FROM ({ORACLES[name]}))")
+    return " UNION ALL ".join(parts)
 
 
-@query(
-    "feature_report",
-    ctes(BARS, stages("bars", RET | {
-        "log_return_1d": f"ln(close / {lag('close')})", "relative_volume_21d": f"volume / nullif({rm('volume', 21, 10)}, 0)",
-        "volume_zscore_63d": rz("volume", 63, 30),
-        "accumulation_distribution": f"sum(coalesce((2 * close - high - low) / nullif(high - low, 0), 0) * volume) {frame(10**6)}"},
-        {"volume_shock": "CAST(coalesce(volume_zscore_63d > 2, FALSE) AS INTEGER)"})[0]) + " "
-    + " UNION ALL ".join(
-        f"SELECT '{c}' AS feature, {sr(f'count(*) FILTER ({c} IS NULL) / count(*)')} AS nan_rate, FALSE AS has_inf, coalesce(min({c}) = max({c}), TRUE) AS is_constant FROM t1"
-        for c in REPORTED),
-)
+@query("feature_report", _report_sql())
 def feature_report(spark, root):
-    _, report = features.compute_and_validate(market.bars(spark, root), ["price", "volume"])
+    _, report = features.compute_and_validate(enrich.enrich_with_sector(market.bars(spark, root), market.sectors(spark, root)))
     return rounded(report, "nan_rate")
