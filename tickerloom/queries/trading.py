@@ -685,17 +685,30 @@ def anomalous_returns(spark, root):
     return rounded(monitor.anomalous_returns(returns(spark, root)), "value", digits=4)
 
 
-@query(
-    "ic_degradation_alerts",
-    ctes(BARS, panel_sql(), long_sql("date"), ic_sql("date, signal, horizon"),
-         "m AS (SELECT *, CASE WHEN count(ic) OVER w >= 63 THEN avg(ic) OVER w END AS m FROM ic WHERE ic IS NOT NULL WINDOW w AS (PARTITION BY signal, horizon ORDER BY date ROWS 62 PRECEDING))",
-         f"l AS (SELECT *, CASE horizon {' '.join(f'WHEN {h} THEN lag(m, {h}) OVER x' for h in HORIZONS)} END AS k FROM m WINDOW x AS (PARTITION BY signal, horizon ORDER BY date))",
-         "o AS (SELECT *, lag(k, 63) OVER (PARTITION BY signal, horizon ORDER BY date) AS old FROM l)", "dr AS (SELECT *, CASE WHEN old > 0 THEN (old - k) / old END AS d FROM o)")
-    + f" SELECT date, signal, horizon, 'ic_degradation' AS alert_type, 'warning' AS severity, {sr('d', 4)} AS value, 0.3::DOUBLE AS threshold FROM dr WHERE d > 0.3",
-)
-def ic_degradation_alerts(spark, root):
+def _degradation_sql(drop: float) -> str:
+    return (
+        ctes(BARS, panel_sql(), long_sql("date"), ic_sql("date, signal, horizon"),
+             "m AS (SELECT *, CASE WHEN count(ic) OVER w >= 63 THEN avg(ic) OVER w END AS m FROM ic WHERE ic IS NOT NULL WINDOW w AS (PARTITION BY signal, horizon ORDER BY date ROWS 62 PRECEDING))",
+             f"l AS (SELECT *, CASE horizon {' '.join(f'WHEN {h} THEN lag(m, {h}) OVER x' for h in HORIZONS)} END AS k FROM m WINDOW x AS (PARTITION BY signal, horizon ORDER BY date))",
+             "o AS (SELECT *, lag(k, 63) OVER (PARTITION BY signal, horizon ORDER BY date) AS old FROM l)", "dr AS (SELECT *, CASE WHEN old > 0 THEN (old - k) / old END AS d FROM o)")
+        + f" SELECT date, signal, horizon, 'ic_degradation' AS alert_type, 'warning' AS severity, {sr('d', 4)} AS value, {drop}::DOUBLE AS threshold FROM dr WHERE d > {drop}"
+    )
+
+
+def _degradation(spark, root, t: monitor.Thresholds):
     cs = metrics.cross_sectional_ic(panel(spark, root), CORE, HORIZONS)
-    return rounded(monitor.ic_degradation(metrics.rolling_ic(cs, HORIZONS)), "value", digits=4)
+    return rounded(monitor.ic_degradation(metrics.rolling_ic(cs, HORIZONS), t), "value", digits=4)
+
+
+@query("ic_degradation_alerts", _degradation_sql(0.3))
+def ic_degradation_alerts(spark, root):
+    return _degradation(spark, root, monitor.Thresholds())
+
+
+@query("ic_degradation_alerts_tenth", _degradation_sql(0.1))
+def ic_degradation_alerts_tenth(spark, root):
+    """A fall by a tenth, which the given tables do hold."""
+    return _degradation(spark, root, monitor.Thresholds(ic_drop=0.1))
 
 
 def _alert_rows(spark, root):
