@@ -37,6 +37,30 @@ def test_feature_bounds(spark, make_bars):
     assert {r["feature"] for r in report.collect()} == set(features.list_features())
 
 
+def test_kalman_over_months_equals_a_loop(spark):
+    """Stretches composed by their maps: gaps of months, a series of one row, a null close, columns beside the inputs."""
+    rng, start = np.random.default_rng(3), dt.date(1999, 12, 25)
+    series = {"A": sorted(rng.choice(900, 400, replace=False)), "B": [5], "C": [0, 40, 41, 200, 2000], "N": list(range(30, 50))}
+    rows = [(k, start + dt.timedelta(days=int(d)), None if (k, i) == ("N", 12) else float(rng.uniform(50, 150)), i, -1.0)
+            for k, days in series.items() for i, d in enumerate(days)]
+    df = spark.createDataFrame(rows, "ticker string, date date, close double, i int, kalman_level double")
+    got = {(r["ticker"], r["i"]): r for r in features.kalman_features(df).collect()}
+    assert len(got) == len(rows)
+    gains = features.kalman_gains(500, 0.05, 0.001, 1.0)
+    level = trend = None
+    for k, date, close, i, _ in rows:
+        r = got[k, i]
+        if (k, i) >= ("N", 12):
+            assert r["kalman_level"] is None and r["kalman_trend"] is None or i < 12
+            if i >= 12:
+                continue
+        g0, g1 = gains[min(i, len(gains) - 1)]
+        level, trend = (close, 0.0) if i == 0 else (level + trend + g0 * (close - level - trend), trend + g1 * (close - level - trend))
+        assert (r["date"], r["close"]) == (date, close) and r["kalman_level"] == pytest.approx(level, rel=1e-10)
+        assert r["kalman_trend"] == pytest.approx(trend, rel=1e-8, abs=1e-10)
+    assert features.kalman_features(df.limit(0)).count() == 0
+
+
 def test_kalman_gains_follow_the_matrix_recursion():
     f, h = np.array([[1.0, 1.0], [0.0, 1.0]]), np.array([[1.0, 0.0]])
     q, p = np.diag([0.05, 0.001]), np.eye(2) * 1e3

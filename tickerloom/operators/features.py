@@ -9,10 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tickerloom.functions.rolling import nonzero, pct_change, rolling_mean, rolling_std, rolling_z, series
 from tickerloom.plans.crosssection import join_group_stats, with_cross_section_z
@@ -153,37 +153,72 @@ def kalman_gains(n: int, level_var: float, trend_var: float, noise_var: float) -
     return gains
 
 
+#: Rows of the longest series that gains are worked out for; they settle after some hundred rows unless a variance is 0.
+LONGEST = 36_525
+
+
+def _stretches(gains: list[tuple[float, float]], n: pd.Series, closes: pd.Series, level: np.ndarray, trend: np.ndarray):
+    """Run many stretches of rows side by side: yields which are still running and their states, row by row.
+
+    ``n`` counts a series' rows ahead of its stretch; a series begins at its first price, whatever is ahead of it.
+    """
+    lens, n = np.array([len(c) for c in closes]), n.to_numpy()
+    prices = np.full((lens.max(initial=0), len(lens)), np.nan)
+    prices.T[np.arange(len(prices)) < lens[:, None]] = np.concatenate(closes.tolist()) if len(lens) else []
+    table = np.array(gains)
+    for k, price in enumerate(prices):
+        live, first = lens > k, n + k == 0
+        g0, g1 = table[np.minimum(n + k, len(table) - 1)].T
+        ahead = level + trend
+        gap = price - ahead
+        level = np.where(live, np.where(first, price, ahead + g0 * gap), level)
+        trend = np.where(live, np.where(first, 0.0, trend + g1 * gap), trend)
+        yield live, level, trend
+
+
 def kalman_features(
-    df: DataFrame, level_var: float = 0.05, trend_var: float = 0.001, noise_var: float = 1.0
+    df: DataFrame, level_var: float = 0.05, trend_var: float = 0.001, noise_var: float = 1.0, chunk: str = "month"
 ) -> DataFrame:
     """kalman_level (filtered price) and kalman_trend (its trend).
 
-    The recursion runs inside each ticker's Arrow group; a group is one ticker's daily
-    series, bounded by the calendar.
+    Gains depend on a row's number alone, so a stretch of rows maps the state ahead of it to the one
+    behind it by a 2 x 2 matrix and a vector. Each (ticker, month) works out its map by itself,
+    the maps of the months before give its starting state, and it runs through its rows once more;
+    an Arrow batch of months runs side by side. From a null close on, a ticker's values are null.
     """
-    schema = T.StructType(
-        [f for f in df.schema if f.name not in ("kalman_level", "kalman_trend")]
-        + [T.StructField("kalman_level", T.DoubleType()), T.StructField("kalman_trend", T.DoubleType())]
-    )
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        gains = kalman_gains(len(pdf), level_var, trend_var, noise_var)
-        level = trend = None
-        levels, trends = [], []
-        for i, price in enumerate(pdf["close"].tolist()):
-            if level is None:
-                level, trend = price, 0.0
-            else:
-                g0, g1 = gains[min(i, len(gains) - 1)]
-                ahead = level + trend
-                gap = price - ahead
-                level, trend = ahead + g0 * gap, trend + g1 * gap
-            levels.append(level)
-            trends.append(trend)
-        return pdf.assign(kalman_level=levels, kalman_trend=trends)[[f.name for f in schema]]
-
-    return df.groupBy("ticker").applyInPandas(run, schema)
+    gains = kalman_gains(LONGEST, level_var, trend_var, noise_var)
+    cols = [c for c in df.columns if c not in ("kalman_level", "kalman_trend")]
+
+    @F.pandas_udf("l double, t double, a0 double, a1 double, b0 double, b1 double")
+    def mapped(n: pd.Series, closes: pd.Series) -> pd.DataFrame:
+        out, none = [], closes.map(np.zeros_like)
+        for y, level, trend in ((closes, 0.0, 0.0), (none, 1.0, 0.0), (none, 0.0, 1.0)):
+            state = np.full(len(n), level), np.full(len(n), trend)
+            for _, *state in _stretches(gains, n, y, *state):
+                pass
+            out += state
+        return pd.DataFrame(dict(zip(("l", "t", "a0", "a1", "b0", "b1"), out)))
+
+    @F.pandas_udf("array<double>")
+    def filtered(n: pd.Series, closes: pd.Series, level: pd.Series, trend: pd.Series) -> pd.Series:
+        steps = list(_stretches(gains, n, closes, level.to_numpy(), trend.to_numpy()))
+        levels, trends = (np.array([s[k] for s in steps]) for k in (1, 2))
+        return pd.Series([np.concatenate([levels[:m, j], trends[:m, j]]) for j, m in enumerate(closes.map(len))])
+
+    row = F.struct(F.col("date").alias("_o"), F.col("close").cast("double").alias("_y"), F.struct(*cols).alias("_r"))
+    parts = df.groupBy("ticker", F.date_trunc(chunk, "date").alias("_c")).agg(F.sort_array(F.collect_list(row)).alias("_rows"))
+    before = Window.partitionBy("ticker").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_n", F.coalesce(F.sum(F.size("_rows")).over(before), F.lit(0)))
+    parts = parts.withColumn("_map", mapped("_n", "_rows._y"))
+    zero = F.when(F.col("_n") >= 0, F.lit(0.0))  # nullable, as later states are
+    start = F.aggregate(
+        F.collect_list("_map").over(before), F.struct(zero.alias("l"), zero.alias("t")),
+        lambda s, m: F.struct((m["l"] + m["a0"] * s["l"] + m["b0"] * s["t"]).alias("l"), (m["t"] + m["a1"] * s["l"] + m["b1"] * s["t"]).alias("t")))
+    parts = parts.withColumn("_start", start).withColumn("_run", filtered("_n", "_rows._y", "_start.l", "_start.t"))
+    shown = [F.get("_run", k) for k in (F.col("_k"), F.col("_k") + F.col("_m"))]
+    rows = parts.select("_run", F.size("_rows").alias("_m"), F.posexplode("_rows").alias("_k", "_x"))
+    return rows.select("_x._r", *[F.when(~F.isnan(v), v).alias(c) for c, v in zip(("kalman_level", "kalman_trend"), shown)]).select(
+        "_r.*", "kalman_level", "kalman_trend")
 
 
 def compute_kalman_level(df: DataFrame) -> DataFrame:
