@@ -45,11 +45,16 @@ def drain(df: DataFrame, name: str, mode: str = "append", each: Callable[[DataFr
     """
     spark = df.sparkSession
     out = work_folder(spark, name)
-    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "1000000")  # late rows are summed over all batches
+    kept = "spark.sql.streaming.numRecentProgressUpdates"
+    usual = spark.conf.get(kept)
+    spark.conf.set(kept, "1000000")  # late rows are summed over all batches
     writer = df.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{out}/_checkpoint")
     writer = writer.foreachBatch(each) if each else writer.format("parquet").option("path", f"{out}/data")
-    query = writer.start()
-    query.awaitTermination()
+    try:
+        query = writer.start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(kept, usual)
     late = sum(op.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for op in p["stateOperators"])
     return f"{out}/data", late
 
