@@ -64,7 +64,7 @@ def count_checks(
         aggs["_zero"] = F.count_if(F.col("volume") == 0)
         n, share = F.col("_zero"), F.col("_zero") / F.col("_n")
         rows.append(_row(per_ticker & (share > MAX_ZERO_SHARE), "warning", "zero_volume", F.col("ticker"), n,
-                         F.format_string("%s: %d/%d (%.0f%%) days with zero volume", "ticker", n, "_n", share * 100)))
+                         F.format_string("%s: %d/%d (%d%%) days with zero volume", "ticker", n, "_n", F.expr("(200 * _zero + _n) div (2 * _n)"))))  # halves go up; a product of doubles misses them
     if "price_gaps" in checks:
         prev = F.lag(price).over(w)
         move = F.abs(F.col(price) / F.nullif(prev, F.lit(0.0)) - 1)
