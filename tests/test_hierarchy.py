@@ -2,7 +2,9 @@ import datetime as dt
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tickerloom.operators import construction as con
 from tickerloom.operators import hierarchy as H
@@ -137,3 +139,29 @@ def test_portfolio_modes(spark, make_bars):
     assert set(result["method"]) == set(con.MODES) and (result["num_dates"] == 70).all()
     with pytest.raises(ValueError):
         con.build_portfolio(panel, "median")
+
+
+@pytest.mark.parametrize("linkage", ["single", "average"])
+def test_a_date_in_one_task_merges_as_rounds_do(spark, monkeypatch, linkage):
+    """Rounds took minutes of small jobs on 6,000 assets; a date of some blocks is one task's, with the same tree."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(10, 12))
+    x -= x.mean(axis=1, keepdims=True)
+    rows = [(dt.date(2020, 1, 1), f"T{i:02d}", [float(v) for v in r]) for i, r in enumerate(x)]
+    windows = spark.createDataFrame(rows, "rebalance_date date, ticker string, x array<double>")
+    found = []
+    for whole in (8, 0):
+        monkeypatch.setattr(H, "WHOLE", whole)
+        tree = H.merge_tree(windows, linkage, block=4, finish=6)
+        rows = tree.collect()
+        assert len(rows) == 9
+        found.append(sorted(round(r["height"], 9) for r in rows))
+    assert found[0] == found[1]
+
+
+def test_equal_assets_merge_first_in_order_of_name():
+    z = np.array([[1.0, 0.0], [0.0, 1.0], [1.0, 0.0], [0.0, 1.0], [1.0, 0.0]])
+    pdf = pd.DataFrame({"rebalance_date": [dt.date(2020, 1, 1)] * 5, "ticker": list("ABCDE"), "z": list(z)})
+    for linkage in H.LINKAGES:
+        out = H._whole(linkage)(pdf)
+        assert list(zip(out["a"], out["b"])) == [("A", "C"), ("A", "E"), ("B", "D"), ("A", "B")]
