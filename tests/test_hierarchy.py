@@ -165,3 +165,37 @@ def test_equal_assets_merge_first_in_order_of_name():
     for linkage in H.LINKAGES:
         out = H._whole(linkage)(pdf)
         assert list(zip(out["a"], out["b"])) == [("A", "C"), ("A", "E"), ("B", "D"), ("A", "B")]
+
+
+def test_single_linkage_by_blocks_is_the_whole_tree(spark, universe):
+    """Blocks of 8 and trees merged in several steps; copies of an asset join it at height 0."""
+    data, df = universe
+    x = data[DAYS[0]]
+    copies = spark.createDataFrame([(DAYS[0], f"{c}{i:02d}", x[i].tolist()) for c in "UV" for i in (3, 7)], df.schema)
+    merges = H.merge_tree(df.filter("ticker <> 'flat'").unionByName(copies), "single", 2, 1).toPandas()
+    assert set(merges["rebalance_date"]) == set(DAYS)  # a date of one asset has no merge
+    for day, x in data.items():
+        own = merges[merges["rebalance_date"] == day].sort_values("height")
+        zero = own[own["height"] == 0]
+        assert sorted(zip(zero["a"], zero["b"])) == ([("T03", "U03"), ("T03", "V03"), ("T07", "U07"), ("T07", "V07")] if day == DAYS[0] else [])
+        assert np.allclose(own["height"][own["height"] > 0], sorted(m[0] for m in naive_tree(x, "single")[1]), atol=1e-12)
+    got = by_day(H.hrp(df, T, "single", 2, 1))
+    for day, x in data.items():
+        want = naive_bisect(naive_tree(x, "single")[0], x)
+        assert np.allclose([got[day][f"T{i:02d}"] for i in range(len(x))], want, atol=1e-12)
+
+
+def test_equal_distances_go_by_name(spark):
+    z = np.array([[1.0, 0, 0, 0], [0, 1, 0, 0], [0, 0, 1, 0], [0, 0, 0, 1]])
+    d = np.sqrt(np.maximum((1 - z @ z.T) / 2, 0))
+    a, b, _ = H._spanning_pair(d, np.array([2, 0, 3, 1]), False)
+    assert sorted((min(p), max(p)) for p in zip(a, b)) == [(0, 1), (0, 2), (0, 3)]
+
+
+def test_compare_measures_windows_once(spark, universe, monkeypatch):
+    made, plain = [], con.return_windows
+    monkeypatch.setattr(con, "return_windows", lambda *a, **k: made.append(1) or plain(*a, **k))
+    bars = [(f"T{i}", dt.date(2024, 1, 1) + dt.timedelta(d), 100.0 + (7 * i + 3 * d * (i + 1)) % 11) for i in range(4) for d in range(70)]
+    panel = with_forward_returns(spark.createDataFrame(bars, "ticker string, date date, close double"), [1]).withColumn("sig", F.lit(0.5))
+    rows = con.compare(panel, con.returns_from_prices(panel), "sig", lookback=30, every=30).collect()
+    assert len(made) == 1 and sorted(r["method"] for r in rows) == ["hrp", "kelly", "risk_parity"] and {r["num_dates"] for r in rows} == {70}
