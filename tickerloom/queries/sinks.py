@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tickerloom.operators import metrics
 from tickerloom.queries.lake import PX, SQL_PX
 from tickerloom.queries.registry import query, r, rounded
-from tickerloom.queries.research import CORE, FT, HORIZONS, panel
+from tickerloom.queries.research import CORE, FT, HORIZONS, lean_panel
 from tickerloom.queries.sql import BARS, TRADES, ctes, r as sr
 from tickerloom.queries.trading import ACCT, MINUTES, OHLC, PX as MIN_PX, SUM_COLS, TICKS, minutes, summary
 from tickerloom.sources import lake, market
@@ -65,7 +65,7 @@ def sink_csv(spark, root):
 @query("sink_json_report", ctes(*FT) + f" SELECT scope, signal, CAST(horizon AS INTEGER) AS horizon, {sr('ic')} AS ic, n_obs FROM ic")
 def sink_json_report(spark, root):
     path = work_folder(spark, "report")
-    lake.write_json(rounded(metrics.forward_test(panel(spark, root), HORIZONS, CORE), "ic").select("scope", "signal", "horizon", "ic", "n_obs"), path)
+    lake.write_json(rounded(metrics.forward_test(lean_panel(spark, root, written=False), HORIZONS, CORE), "ic").select("scope", "signal", "horizon", "ic", "n_obs"), path)
     return spark.read.schema("scope string, signal string, horizon int, ic double, n_obs bigint").json(path)
 
 
