@@ -6,8 +6,8 @@ is a Parquet folder with a row per block (file, block, ids, data), so Spark's co
 files whole when executors are lost, on any store that Spark writes to. ``read`` decodes a file's
 blocks and hands out each document's ids; ``offsets`` places the files one behind the other.
 
-Memory of a task: the blocks coded in lockstep (a bounded number) and, on reading, the ids of the
-document at hand. Only the sizes of files meet in one place.
+Memory of a task: the ids of two blocks, the block at hand and, on reading, the ids of the document
+at hand. Only the sizes of files meet in one place.
 
 Defined cases: a null or empty text is the end id alone; null ids come first; rows that repeat an id
 are documents of their own, in the order of their texts' hashes; an empty table gives no rows.
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from tickerloom.llm import rangecoder
 from tickerloom.llm.common import batched_texts, shared_folder
-from tickerloom.llm.rangecoder import BLOCK, LANES
-from tickerloom.llm.tokens import SMALL_CACHE, encoder
+from tickerloom.llm.rangecoder import BLOCK
+from tickerloom.llm.tokens import CACHE_WORDS, encoder
 
 END_ID = 2
 BLOCKS = "file long, block long, ids long, data binary"
@@ -35,28 +35,20 @@ BLOCKS = "file long, block long, ids long, data binary"
 
 def write(docs: DataFrame, path: str, end_id: int = END_ID, vocabulary: str | None = None) -> None:
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(vocabulary, SMALL_CACHE)
+        enc = encoder(vocabulary, CACHE_WORDS)
         size = enc.tokenizer.get_vocab_size()
         file, end = TaskContext.get().partitionId(), end_id.to_bytes(4, "little")
         held, docs_of, done = bytearray(), [], 0  # docs_of: (id, number of ids, place in held)
 
-        def blocks(n: int, last: bool) -> pd.DataFrame:
-            """The first n blocks of what is held; with last, the rest as a shorter one."""
-            nonlocal held, docs_of, done
-            ids = np.frombuffer(bytes(held[:4 * n * BLOCK]) if not last else bytes(held), dtype="<u4")
-            cut = [ids[i:i + BLOCK] for i in range(0, len(ids), BLOCK)]
-            begin: list[list] = [[] for _ in cut]
-            keep = []
-            for doc_id, k, at in docs_of:
-                if at < len(ids):
-                    begin[at // BLOCK].append((doc_id, k, at % BLOCK))
-                else:
-                    keep.append((doc_id, k, at - len(ids)))
-            data = rangecoder.encode_blocks(list(zip(cut, begin)), size)
-            held, docs_of = held[4 * len(ids):], keep
-            out = pd.DataFrame({"file": file, "block": range(done, done + len(cut)), "ids": [len(c) for c in cut], "data": data})
-            done += len(cut)
-            return out
+        def block(n: int) -> pd.DataFrame:
+            """A block of the first n ids of what is held."""
+            nonlocal docs_of, done
+            begin = [(doc_id, k, at) for doc_id, k, at in docs_of if at < n]
+            docs_of = [(doc_id, k, at - n) for doc_id, k, at in docs_of[len(begin):]]
+            data = rangecoder.encode_blocks([(np.frombuffer(bytes(held[:4 * n]), dtype="<u4"), begin)], size)
+            del held[:4 * n]
+            done += 1
+            return pd.DataFrame({"file": file, "block": done - 1, "ids": n, "data": data})
 
         for frame in frames:
             texts, doc_ids = frame["text"].tolist(), frame["doc_id"].tolist()
@@ -65,12 +57,10 @@ def write(docs: DataFrame, path: str, end_id: int = END_ID, vocabulary: str | No
                     docs_of.append((None if pd.isna(doc_id) else int(doc_id), len(ids) // 4 + 1, len(held) // 4))
                     held += ids
                     held += end
-                if len(held) >= 8 * LANES * BLOCK:  # two lots: the rest is then shared out evenly
-                    yield blocks(LANES, False)
-        while len(held) > 4 * LANES * BLOCK:
-            yield blocks(-(-len(held) // (8 * BLOCK)), False)
-        if held:
-            yield blocks(0, True)
+                while len(held) >= 8 * BLOCK:  # two blocks: the rest is then shared out evenly
+                    yield block(BLOCK)
+        while n := len(held) // 4:
+            yield block(-(-n // -(-n // BLOCK)))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id")
     rows = rows.sortWithinPartitions("doc_id", F.xxhash64("text"))
@@ -86,51 +76,39 @@ def read(spark: SparkSession, path: str, vocabulary: str | None = None, digests:
     schema = "file long, start long, doc_id long, " + ("n_tokens long, ids_crc32 long" if digests else "ids binary")
 
     def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        size = encoder(vocabulary, SMALL_CACHE).tokenizer.get_vocab_size()
+        size = encoder(vocabulary, CACHE_WORDS).tokenizer.get_vocab_size()
         now = -1
         at, doc_id, want, parts, got, crc = 0, None, 0, [], 0, 0
 
-        def lots() -> Iterator[pd.DataFrame]:
-            waiting: list[pd.DataFrame] = []
-            for frame in frames:
-                waiting.append(frame)
-                if sum(map(len, waiting)) >= 2 * LANES:
-                    whole = pd.concat(waiting, ignore_index=True)
-                    yield whole[:LANES]
-                    waiting = [whole[LANES:]]
-            rest = pd.concat(waiting, ignore_index=True) if waiting else pd.DataFrame()
-            k = -(-len(rest) // LANES)
-            for i in range(k):
-                yield rest[len(rest) * i // k:len(rest) * (i + 1) // k]
-
-        for lot in lots():
+        for file, data in ((f, d) for frame in frames for f, d in zip(frame["file"], frame["data"])):
             out = []
-            for file, (ids, docs) in zip(lot["file"], rangecoder.decode_blocks(list(lot["data"]), size)):
-                if file != now:
+            (ids, docs), = rangecoder.decode_blocks([data], size)
+            if file != now:
+                if got != want:
+                    raise ValueError(f"file {now} ends inside a document")
+                now, at, want, got = file, 0, 0, 0
+            raw, place = ids.tobytes(), 0
+            starts = [d[2] for d in docs] + [len(ids)]
+            for i in range(-1, len(docs)):
+                if i >= 0:
                     if got != want:
-                        raise ValueError(f"file {now} ends inside a document")
-                    now, at, want, got = file, 0, 0, 0
-                raw, place = ids.tobytes(), 0
-                starts = [d[2] for d in docs] + [len(ids)]
-                for i in range(-1, len(docs)):
-                    if i >= 0:
-                        if got != want:
-                            raise ValueError(f"file {now} lacks ids of a document")
-                        doc_id, want, place = docs[i]
-                        parts, got, crc = [], 0, 0
-                    stop = starts[i + 1]
-                    if stop > place:
-                        part = raw[4 * place:4 * stop]
-                        got += stop - place
-                        if digests:
-                            crc = zlib.crc32(part, crc)
-                        else:
-                            parts.append(part)
-                        if got == want:
-                            out.append((now, at, doc_id, *((got, crc) if digests else (b"".join(parts),))))
-                            at += got
-                            parts = []
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")]).astype({"doc_id": "Int64"})
+                        raise ValueError(f"file {now} lacks ids of a document")
+                    doc_id, want, place = docs[i]
+                    parts, got, crc = [], 0, 0
+                stop = starts[i + 1]
+                if stop > place:
+                    part = raw[4 * place:4 * stop]
+                    got += stop - place
+                    if digests:
+                        crc = zlib.crc32(part, crc)
+                    else:
+                        parts.append(part)
+                    if got == want:
+                        out.append((now, at, doc_id, *((got, crc) if digests else (b"".join(parts),))))
+                        at += got
+                        parts = []
+            if out:
+                yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")]).astype({"doc_id": "Int64"})
         if got != want:
             raise ValueError(f"file {now} ends inside a document")
 

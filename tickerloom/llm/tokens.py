@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 from array import array
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import regex
 
@@ -15,6 +15,8 @@ VOCABULARY = "byte_bpe_50k.json"
 CACHE_WORDS, SMALL_CACHE = 800_000, 120_000
 
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: The same of printable ASCII, where the letters, digits and white space are these.
+_PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^ A-Za-z0-9]+| +(?![^ ])| +")
 _ODD = re.compile(r" (?:\s|\Z)")
 
 
@@ -33,6 +35,19 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+class _Words(dict):
+    """Ids of words; one not held yet moves up from the generation before or is spelled out."""
+
+    def __init__(self, spell: Callable[[str], bytes], older: dict[str, bytes]):
+        super().__init__()
+        self.spell, self.older = spell, older
+
+    def __missing__(self, word: str) -> bytes:
+        got = self.older.get(word)
+        got = self[word] = self.spell(" " + word) if got is None else got
+        return got
+
+
 class Encoder:
     """Whole texts to ids, as the vocabulary file's own pipeline gives them.
 
@@ -55,22 +70,28 @@ class Encoder:
                         and conf.get("normalizer") is None and conf["model"]["type"] == "BPE")
         self.cache_words = cache_words
         self.letters = _byte_letters()
-        self.words: dict[str, bytes] = {}  # the word with a space before it
-        self.older: dict[str, bytes] = {}  # those of the generation before, from which words in use move up
+        self.space = self.letters[ord(" ")]
+        self.words = _Words(self._pieces, {})  # the word with a space before it
         self.others: dict[str, bytes] = {}  # pieces without a space
         self.model = self.tokenizer.model
 
     def _piece(self, piece: str) -> bytes:
-        spelled = piece.encode("utf-8").decode("latin-1").translate(self.letters)
+        if piece.isascii() and piece.isprintable():  # of these only the space has another letter
+            spelled = piece.replace(" ", self.space)
+        else:
+            spelled = piece.encode("utf-8").decode("latin-1").translate(self.letters)
         return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
 
     def _pieces(self, text: str) -> bytes:
+        plain = text.isascii() and text.isprintable()
+        if text[0] == " " and text[1:].isalpha() and (plain or max(text) < "\u0100"):  # a space and letters are one piece
+            return self._piece(text)
         out = []
-        for p in _PIECES.findall(text):
+        for p in (_PLAIN if plain else _PIECES).findall(text):
             known, key = (self.words, p[1:]) if p[0] == " " and len(p) > 1 else (self.others, p)
             got = known.get(key)
             if got is None:
-                got = self.older.get(key) if known is self.words else None
+                got = known.older.get(key) if known is self.words else None
                 got = known[key] = self._piece(p) if got is None else got
             out.append(got)
         return b"".join(out)
@@ -81,7 +102,6 @@ class Encoder:
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers; null is an empty text."""
         out = []
-        words, older = self.words, self.older
         for text in texts:
             if not text:
                 out.append(b"")
@@ -89,20 +109,13 @@ class Encoder:
             if not self.by_word or _ODD.search(text):
                 out.append(self._whole(text))
                 continue
-            if len(words) > self.cache_words:
-                self.words, self.older = {}, words
-                words, older = self.words, self.older
+            if len(self.words) > self.cache_words:
+                older, self.words.older = self.words, {}
+                self.words = _Words(self._pieces, older)
             if len(self.others) > self.cache_words:
                 self.others.clear()
             first, *rest = text.split(" ")
-            try:
-                tail = b"".join(map(words.__getitem__, rest))
-            except KeyError:
-                for w in set(rest):
-                    if w not in words:
-                        got = older.get(w)
-                        words[w] = self._pieces(" " + w) if got is None else got
-                tail = b"".join(map(words.__getitem__, rest))
+            tail = b"".join(map(self.words.__getitem__, rest))
             out.append(self._pieces(first) + tail if first else tail)
         return out
 
