@@ -97,3 +97,12 @@ def test_documents_cross_blocks(spark, monkeypatch):
     assert sizes.count() > 30 and sizes.filter("ids > 50").isEmpty()
     got = {r["doc_id"]: bytes(r["ids"]) for r in T.read(spark, path).collect()}
     assert got == {i: enc.encode([t])[0] + b"\x02\0\0\0" for i, t in enumerate(texts)}
+
+
+def test_unseen_words_get_the_ids_of_the_whole_pipeline():
+    rng = random.Random(9)
+    parts = ["ab", "Ünï", "é", "ß", "x1", "٣", "½", "中文", "жук", "'s", "'ll", "'", ".", ",&&&", "%%%", "-", "…", "»", "\n", "\n\n", "\t", "\r", "\x1f", "\xa0", " ", "é", "ª", "_", "😀", "\0"]
+    texts = [" ".join("".join(rng.choices(parts, k=rng.choice([1, 2, 3, 5]))) for _ in range(rng.choice([1, 4, 30]))) for _ in range(3000)]
+    enc = Encoder(cache_words=500)  # generations pass
+    for text, got in zip(texts, enc.encode(texts)):
+        assert np.frombuffer(got, "<u4").tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)

@@ -33,7 +33,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Lanes of a block at most, and ids of a lane at least where there are several.
-LANES, LANE = 4096, 512
+LANES, LANE = 8192, 512
 BLOCK = LANES * LANE
 REFRESH = (2, 8, 32, 128)
 ID_BITS, SLOTS_BITS = 17, 17
@@ -55,7 +55,7 @@ def prior(vocabulary: int) -> np.ndarray:
 
 def _tables(f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Where each id's interval begins, its width, and the id at each place; f fills the order-0 total."""
-    return (np.cumsum(f) - f).astype(np.float64), f.astype(np.float64), np.repeat(np.arange(len(f), dtype=np.int32), f)
+    return (np.cumsum(f) - f).astype(np.float64), f.astype(np.float64), np.repeat(np.arange(len(f), dtype=np.uint16 if len(f) <= 1 << 16 else np.int32), f)
 
 
 @lru_cache(maxsize=2)
@@ -64,10 +64,16 @@ def _start(vocabulary: int) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, n
     return f, _tables(f)
 
 
-#: Confidence after a miss (first 16) or a hit, above the id; 8 marks a slot that nothing has filled yet.
-CONFIDENCE = np.array([0, 0, 0, 0, 1, 1, 1, 1, 0, *[0] * 7, 1, 2, 3, 4, 5, 6, 7, 7, 1, *[0] * 7], dtype=np.int64) << ID_BITS
-#: Classes of an id by both confidences; from SAME on both slots name one id.
-CLASSES, SAME = 512, 256
+#: Confidence after a miss and after a hit; 8 marks a slot that nothing has filled yet.
+MISS, HIT = (0, 0, 0, 0, 1, 1, 1, 1, 0), (1, 2, 3, 4, 5, 6, 7, 7, 1)
+#: A slot holds its level above the id: of order 1 twice the confidence, of order 2 these and 32 times the confidence.
+#: The class of an id is the sum of both levels and 1 if both slots name one id.
+HIGHER, CLASSES = 512, 1024
+AFTER = np.zeros(CLASSES, dtype=np.int32)  # by the level, and 1 for a hit: the slot's next level, in its place
+for k in range(9):
+    AFTER[2 * k:2 * k + 2] = 2 * MISS[k], 2 * HIT[k]
+    AFTER[HIGHER + 32 * k:HIGHER + 32 * k + 2] = HIGHER + 32 * MISS[k], HIGHER + 32 * HIT[k]
+AFTER <<= ID_BITS
 
 
 class Mixer:
@@ -79,19 +85,21 @@ class Mixer:
     def __init__(self, lanes: int, vocabulary: int):
         self.lanes, self.vocabulary = lanes, vocabulary
         self.prior, (self.low, self.freq, self.place) = _start(vocabulary)
-        self.slots = np.full((1 << ID_BITS) + (1 << SLOTS_BITS), 8 << ID_BITS, dtype=np.int64)
+        self.slots = np.full((1 << ID_BITS) + (1 << SLOTS_BITS), 2 * 8 << ID_BITS, dtype=np.int32)
+        self.slots[1 << ID_BITS:] = HIGHER + 32 * 8 << ID_BITS
         self.at = np.zeros((2, lanes), dtype=np.int64)
         self.at[1] = 1 << ID_BITS
         self.before = np.zeros(lanes, dtype=np.uint32)
         self.tally = np.empty((3, CLASSES))  # ids of each class, hits of order 2, hits of order 1 alone
         self.tally[0], self.tally[1:] = 4, 1
-        self.every = 8 if lanes >= 256 else 1  # steps from one tally to the next
+        self.every = 16 if lanes >= 256 else 1  # steps from one tally to the next
         self.count = np.zeros(vocabulary, dtype=np.int64)
         self.seen: list[np.ndarray] = []
         self.t = 0
         self._weigh()
         # work space
-        self.held, self.guess, self.level = (np.empty((2, lanes), dtype=np.int64) for _ in range(3))
+        self.held, self.guess, self.level = (np.empty((2, lanes), dtype=np.int32) for _ in range(3))
+        self.next, self.now = np.empty((2, lanes), dtype=np.int64), np.empty(lanes, dtype=np.int32)
         self.kind, self.same = np.empty(lanes, dtype=np.int64), np.empty(lanes, dtype=bool)
         self.below, self.hit = (np.empty((2, lanes), dtype=bool) for _ in range(2))
         self.w, self.pair = (np.empty((2, lanes)) for _ in range(2))
@@ -102,19 +110,17 @@ class Mixer:
         n, two, one = self.tally
         two = np.minimum(np.floor(two * WEIGHT / n), 1000)
         one = np.minimum(np.floor(one * WEIGHT / n), 1016 - two)
-        one[SAME:] = 0
+        one[1::2] = 0
         self.weight0, self.weight1, self.weight2 = WEIGHT - two - one, one * ORDER0, two * ORDER0
 
     def predict(self) -> None:
         held, kind = self.held, self.kind
-        np.take(self.slots, self.at, out=held, mode="clip")
+        held[:] = self.slots[self.at]
         np.bitwise_and(held, (1 << ID_BITS) - 1, out=self.guess)
         np.right_shift(held, ID_BITS, out=self.level)
         np.equal(self.guess[0], self.guess[1], out=self.same)
-        np.multiply(self.same, SAME, out=kind, dtype=np.int64)
-        np.left_shift(self.level[1], 4, out=held[0])
-        kind += held[0]
-        kind += self.level[0]
+        np.add(self.level[0], self.level[1], out=kind)
+        kind += self.same
         np.take(self.weight0, kind, out=self.w0, mode="clip")
         np.take(self.weight1, kind, out=self.w[0], mode="clip")
         np.take(self.weight2, kind, out=self.w[1], mode="clip")
@@ -122,8 +128,9 @@ class Mixer:
     def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the mixture's interval of each id begins, and its width."""
         begin, width, pair = self.begin, self.width, self.pair
-        np.less(self.guess, ids, out=self.below)
-        np.equal(self.guess, ids, out=self.hit)
+        self.now[:] = ids
+        np.less(self.guess, self.now, out=self.below)
+        np.equal(self.guess, self.now, out=self.hit)
         np.take(self.low, ids, out=begin, mode="clip")
         np.take(self.freq, ids, out=width, mode="clip")
         begin *= self.w0
@@ -160,10 +167,9 @@ class Mixer:
             self.tally[2] += np.bincount(self.kind[self.hit[0] & ~self.hit[1]], minlength=CLASSES)
             self._weigh()
         held, h = self.held, self.h
-        np.multiply(self.hit, 16, out=held, dtype=np.int64)
-        held += self.level
-        np.take(CONFIDENCE, held, out=held, mode="clip")
-        held |= ids
+        np.add(self.level, self.hit, out=self.next)
+        np.take(AFTER, self.next, out=held, mode="clip")
+        held |= self.now
         self.slots[self.at] = held  # of lanes that meet in a slot the last one stays
         self.at[0] = ids
         h[:] = ids

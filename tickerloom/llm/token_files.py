@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tickerloom.llm import rangecoder
 from tickerloom.llm.common import batched_texts, shared_folder
 from tickerloom.llm.rangecoder import BLOCK
-from tickerloom.llm.tokens import CACHE_WORDS, encoder
+from tickerloom.llm.tokens import LARGE_CACHE, encoder
 
 END_ID = 2
 BLOCKS = "file long, block long, ids long, data binary"
@@ -35,7 +35,7 @@ BLOCKS = "file long, block long, ids long, data binary"
 
 def write(docs: DataFrame, path: str, end_id: int = END_ID, vocabulary: str | None = None) -> None:
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(vocabulary, CACHE_WORDS)
+        enc = encoder(vocabulary, LARGE_CACHE)
         size = enc.tokenizer.get_vocab_size()
         file, end = TaskContext.get().partitionId(), end_id.to_bytes(4, "little")
         held, docs_of, done = bytearray(), [], 0  # docs_of: (id, number of ids, place in held)
@@ -76,7 +76,7 @@ def read(spark: SparkSession, path: str, vocabulary: str | None = None, digests:
     schema = "file long, start long, doc_id long, " + ("n_tokens long, ids_crc32 long" if digests else "ids binary")
 
     def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        size = encoder(vocabulary, CACHE_WORDS).tokenizer.get_vocab_size()
+        size = encoder(vocabulary, LARGE_CACHE).tokenizer.get_vocab_size()
         now = -1
         at, doc_id, want, parts, got, crc = 0, None, 0, [], 0, 0
 

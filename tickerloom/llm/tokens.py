@@ -11,12 +11,15 @@ import regex
 
 #: Name of the default vocabulary file; its place is looked up where a task runs.
 VOCABULARY = "byte_bpe_50k.json"
-#: Words of a generation of the cache, of which two are kept; the smaller one is for workers that hold other large arrays.
-CACHE_WORDS, SMALL_CACHE = 800_000, 120_000
+#: Words of a generation of the cache, of which two are kept, some 200 bytes a word: as a rule, for workers that hold other
+#: large arrays, and for those that hold little else.
+CACHE_WORDS, SMALL_CACHE, LARGE_CACHE = 800_000, 120_000, 1_200_000
 
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: The same of printable ASCII, where the letters, digits and white space are these.
 _PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^ A-Za-z0-9]+| +(?![^ ])| +")
+#: Marks that end words; an apostrophe may begin a piece of letters.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _ODD = re.compile(r" (?:\s|\Z)")
 
 
@@ -36,13 +39,15 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Words(dict):
-    """Ids of words; one not held yet moves up from the generation before or is spelled out."""
+    """Ids of words, without line breaks; one not held yet moves up from the generation before or is spelled out."""
 
     def __init__(self, spell: Callable[[str], bytes], older: dict[str, bytes]):
         super().__init__()
         self.spell, self.older = spell, older
 
     def __missing__(self, word: str) -> bytes:
+        if "\n" in word:  # two words as a rule, and a pair seldom comes again
+            return self.spell(" " + word)
         got = self.older.get(word)
         got = self[word] = self.spell(" " + word) if got is None else got
         return got
@@ -71,6 +76,7 @@ class Encoder:
         self.cache_words = cache_words
         self.letters = _byte_letters()
         self.space = self.letters[ord(" ")]
+        self.numbers = [i.to_bytes(4, "little") for i in range(max(self.tokenizer.get_vocab().values(), default=-1) + 1)]
         self.words = _Words(self._pieces, {})  # the word with a space before it
         self.others: dict[str, bytes] = {}  # pieces without a space
         self.model = self.tokenizer.model
@@ -80,21 +86,29 @@ class Encoder:
             spelled = piece.replace(" ", self.space)
         else:
             spelled = piece.encode("utf-8").decode("latin-1").translate(self.letters)
-        return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+        return b"".join([self.numbers[t.id] for t in self.model.tokenize(spelled)])
+
+    def _known(self, piece: str) -> bytes:
+        held, key = (self.words, piece[1:]) if piece[0] == " " and len(piece) > 1 else (self.others, piece)
+        got = held.get(key)
+        if got is None:
+            got = held.older.get(key) if held is self.words else None
+            got = held[key] = self._piece(piece) if got is None else got
+        return got
 
     def _pieces(self, text: str) -> bytes:
+        if "\n" in text:
+            before, mid, after = text.partition("\n")
+            if before and after and not before[-1].isspace() and after.isprintable() and after[0] != " ":
+                return self._pieces(before) + self._known(mid) + self._pieces(after)
+        stem = text.rstrip(_MARKS)
+        letters = stem[1:] if stem[:1] == " " else stem
+        if letters.isalpha() and (letters.isascii() or max(letters) < "\u0100"):  # one piece, and the marks another
+            if len(stem) < len(text):
+                return self._known(stem) + self._known(text[len(stem):])
+            return self._piece(text) if text[0] == " " else self._known(text)
         plain = text.isascii() and text.isprintable()
-        if text[0] == " " and text[1:].isalpha() and (plain or max(text) < "\u0100"):  # a space and letters are one piece
-            return self._piece(text)
-        out = []
-        for p in (_PLAIN if plain else _PIECES).findall(text):
-            known, key = (self.words, p[1:]) if p[0] == " " and len(p) > 1 else (self.others, p)
-            got = known.get(key)
-            if got is None:
-                got = known.older.get(key) if known is self.words else None
-                got = known[key] = self._piece(p) if got is None else got
-            out.append(got)
-        return b"".join(out)
+        return b"".join(map(self._known, (_PLAIN if plain else _PIECES).findall(text)))
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
