@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tickerloom.operators import construction as con
 from tickerloom.operators import hierarchy as H
 from tickerloom.operators.signals import with_forward_returns
+from tickerloom.plans import linkage as linkage_plan
 
 DAYS, T = (dt.date(2024, 1, 31), dt.date(2024, 4, 30)), 30
 
@@ -199,3 +200,65 @@ def test_compare_measures_windows_once(spark, universe, monkeypatch):
     panel = with_forward_returns(spark.createDataFrame(bars, "ticker string, date date, close double"), [1]).withColumn("sig", F.lit(0.5))
     rows = con.compare(panel, con.returns_from_prices(panel), "sig", lookback=30, every=30).collect()
     assert len(made) == 1 and sorted(r["method"] for r in rows) == ["hrp", "kelly", "risk_parity"] and {r["num_dates"] for r in rows} == {70}
+
+
+# dates of a task each (the default, above) and by blocks, rounds and levels give the same
+@pytest.mark.parametrize("linkage,block,finish", [("single", 7, 1), ("complete", 7, 1), ("average", 14, 5), ("ward", 14, 5)])
+def test_dates_beyond_a_task_go_by_rounds(universe, monkeypatch, linkage, block, finish):
+    data, df = universe
+    monkeypatch.setattr(H, "ALONE", 0)
+    got = by_day(H.hrp(df, T, linkage, block, finish))
+    assert got.pop(dt.date(2024, 7, 31)) == {"alone": 1.0}
+    for day, x in data.items():
+        want = naive_bisect(naive_tree(x, linkage)[0], x)
+        assert np.allclose([got[day][f"T{i:02d}"] for i in range(len(x))], want, atol=1e-12)
+    got = by_day(H.hrp_with_clusters(df, T, 4, linkage, block, finish))
+    for day in data:
+        assert sum(got[day].values()) == pytest.approx(1.0)
+
+
+@pytest.mark.parametrize("linkage", H.LINKAGES)
+def test_a_date_over_its_matrix_is_still_one_task(spark, universe, monkeypatch, linkage):
+    """60,000 assets a date went by rounds whose blocks met again and again; now their vectors travel once."""
+    data, df = universe
+    monkeypatch.setattr(H, "WHOLE", 0)  # no matrix at all
+    monkeypatch.setattr(H, "leaf_order", lambda *a: pytest.fail("a date that fits a task went by blocks"))
+    copies = [(DAYS[1], f"V{i}", data[DAYS[1]][i].tolist()) for i in (3, 7, 7)]
+    got = by_day(H.hrp(df.unionByName(spark.createDataFrame([(d, f"{t}{k}", x) for k, (d, t, x) in enumerate(copies)], df.schema)), T, linkage))
+    x = data[DAYS[0]]
+    assert np.allclose([got[DAYS[0]][f"T{i:02d}"] for i in range(len(x))], naive_bisect(naive_tree(x, linkage)[0], x), atol=1e-12)
+    assert len(got[DAYS[1]]) == 26 and sum(got[DAYS[1]].values()) == pytest.approx(1.0)
+    assert len({round(got[DAYS[1]][t], 12) for t in ("V71", "V72")}) == 1
+
+
+@pytest.mark.parametrize("linkage", H.LINKAGES)
+@pytest.mark.parametrize("kind", ["noise", "groups", "copies", "ties"])
+def test_lists_make_the_tree_of_the_matrix(monkeypatch, linkage, kind):
+    """Short lists, small blocks and few gathered pairs; trees by the sets of members that they merge."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(150, 12))
+    if kind == "groups":
+        x += 3 * rng.normal(size=(6, 12))[rng.integers(0, 6, 150)]
+    if kind == "copies":
+        x = x[rng.integers(0, 60, 150)]
+    if kind == "ties":
+        x = np.eye(12)[rng.integers(0, 12, 150)]
+    x -= x.mean(axis=1, keepdims=True)
+    z = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for name, value in {"LISTED": 3, "SAMPLE": 40, "ROWS": 7, "COLUMNS": 32, "GATHERED": 50, "LARGE": 9}.items():
+        monkeypatch.setattr(linkage_plan, name, value)
+
+    def sets(a, b):
+        of, out = {i: frozenset([i]) for i in range(150)}, set()
+        at = list(range(150))
+        for u, v in zip(a, b):
+            u, v = at[u], at[v]
+            of[u] |= of[v]
+            at = [u if i == v else i for i in at]
+            out.add(of[u])
+        return out
+
+    whole, lists, mixed = (linkage_plan.merges(z, linkage, dense) for dense in (1000, 0, 20))
+    for a, b, heights in (lists, mixed):
+        assert len(heights) == 149 and np.allclose(np.sort(heights), np.sort(whole[2]), atol=1e-7)
+        assert kind in ("copies", "ties") or sets(a, b) == sets(*whole[:2])
