@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from tickerloom.functions.rolling import ema
 from tickerloom.operators import construction as con
-from tickerloom.operators import ledger, monitor
+from tickerloom.operators import ensemble, ledger, monitor, perturbation
 from tickerloom.operators.scan import affine_scan
-from tickerloom.plans import ranks
+from tickerloom.plans import rankic, ranks
 from tickerloom.plans.ranks import average_ranks, series_rank
+from tickerloom.plans.scale import discard, settled
 from tickerloom.sources import market
 
 
@@ -231,3 +232,54 @@ def test_ema_ages_over_gaps(spark):
     df = spark.createDataFrame(list(enumerate(values)), "i int, x double").withColumn("k", F.lit(1))
     got = [r["e"] for r in df.withColumn("e", ema("x", 3, Window.partitionBy("k").orderBy("i"))).orderBy("i").collect()]
     assert np.allclose(got, pd.Series(values, dtype=float).ewm(span=3).mean())
+
+
+def test_a_written_frame_leaves_no_shuffle_behind(spark):
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    before = files()
+    kept = settled(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    assert kept.count() == 7 and files() <= before + 2 * 8  # at most the last count's own
+    discard(kept)
+    with pytest.raises(Exception):
+        kept.collect()
+
+
+def test_a_sweep_never_holds_all_variants(spark, make_bars, monkeypatch):
+    """30 variants were one panel of 30 columns, ranked in one go."""
+    rng = np.random.default_rng(5)
+    df = make_bars({f"T{i}": (100 * np.exp(np.cumsum(0.02 * rng.normal(size=60)))).tolist() for i in range(6)}).select("ticker", "date", "close")
+    plain, widths, gone = perturbation.settled, [], []
+    monkeypatch.setattr(perturbation, "settled", lambda f: widths.append(len(f.columns)) or plain(f))
+    monkeypatch.setattr(perturbation, "discard", lambda f: gone.append(len(f.columns)))
+    families = ["momentum_21d", "bollinger_bands", "momentum_ts_21d"]
+    rows = lambda: sorted(str([round(v, 9) if isinstance(v, float) else v for v in r]) for r in perturbation.perturb(df, families).collect())
+    whole = rows()
+    assert max(widths) <= perturbation.COLUMNS + 1 and len(gone) == 3  # two panels and the prices
+    monkeypatch.setattr(perturbation, "COLUMNS", 4)
+    assert rows() == whole
+
+
+def test_signals_ranked_a_few_at_a_time(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    signals = [f"s{k}" for k in range(5)]
+    rows = [(*[None if rng.random() < 0.1 else float(v) for v in rng.integers(-9, 9, 5)], *rng.normal(size=2).tolist()) for _ in range(600)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in (*signals, "f1", "f5")))
+    outcomes, found = {1: "f1", 5: "f5"}, []
+    plain, written = rankic.settled, []
+    monkeypatch.setattr(rankic, "settled", lambda f: written.append(1) or plain(f))
+    monkeypatch.setattr(rankic, "TOGETHER", 2)
+    for values in (200, 10**7):
+        rows = rankic.pooled_rank_ic(df, [], signals, outcomes, values, 50).collect()
+        found.append({(r["signal"], r["horizon"]): (round(r["ic"], 12), r["win_rate"], r["n_obs"]) for r in rows})
+    assert len(written) == 6 and len(found[0]) == 10 and found[0] == found[1]
+
+
+def test_an_ensemble_is_validated_on_rows_written_once(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(dt.date(2024, 1, 1) + dt.timedelta(d), *rng.normal(size=3).tolist()) for d in range(30) for _ in range(5)]
+    df = spark.createDataFrame(rows, "date date, signal_a double, signal_ensemble double, forward_return_5 double")
+    plain, made = ensemble.needed, []
+    monkeypatch.setattr(ensemble, "needed", lambda *a: made.append(1) or plain(*a))
+    rows = lambda f: sorted(str([round(v, 9) if isinstance(v, float) else v for v in r]) for r in f.collect())
+    out = [rows(ensemble.validate_ensemble(df, ["signal_a"], written=w)) for w in (False, True)]
+    assert len(made) == 1 and out[0] == out[1] and len(out[0]) == 2
